@@ -81,26 +81,23 @@ def judge_urls(
     """Add host, path, rule and verdict to every row of `pages`."""
     made = ["host", "path", "rule", "verdict"]
     kept = [c for c in pages.columns if c not in made]
-    judged = pages.select(
-        *[F.col(f"`{c}`") for c in kept],
-        url_host(F.col(f"`{url_col}`")).alias("host"),
-        url_path(F.col(f"`{url_col}`")).alias("path"),
-    )
-    places = judged.select(F.col("host").alias("u_host"), F.col("path").alias("u_path")).distinct()
+    url = F.col(f"`{url_col}`")
+    judged = pages.select(*[F.col(f"`{c}`") for c in kept], url_host(url).alias("host"), url_path(url).alias("path"))
+    places = judged.select(F.col("host").alias("__host"), F.col("path").alias("__path")).distinct()
     expressions = (
-        places.withColumn("u_suffix", F.explode(host_suffixes(F.col("u_host"))))
-        .withColumn("u_prefix", F.explode(slash_prefixes(F.col("u_path"))))
+        places.withColumn("u_suffix", F.explode(host_suffixes(F.col("__host"))))
+        .withColumn("u_prefix", F.explode(slash_prefixes(F.col("__path"))))
         .withColumn("u_digest", _digest(F.col("u_suffix"), F.col("u_prefix")))
         .withColumn("u_short", F.substring("u_digest", 1, SHORT_DIGITS))
-        .select("u_host", "u_path", "u_digest", "u_short")
+        .select("__host", "__path", "u_digest", "u_short")
     )
     table = indexed_rules(rules)
     if table.limit(broadcast_rules + 1).count() <= broadcast_rules:
         table = F.broadcast(table)
     best = (
         expressions.join(table, F.col("u_short") == F.col("r_short"))
-        .where((F.col("u_digest") == F.col("r_digest")) & F.col("u_path").startswith(F.col("r_path")))
-        .groupBy("u_host", "u_path")
+        .where((F.col("u_digest") == F.col("r_digest")) & F.col("__path").startswith(F.col("r_path")))
+        .groupBy("__host", "__path")
         .agg(
             F.max(
                 F.struct(
@@ -110,15 +107,15 @@ def judge_urls(
                     F.concat("r_host", "r_path").alias("rule"),
                     F.col("r_verdict").alias("verdict"),
                 )
-            ).alias("best")
+            ).alias("__best")
         )
     )
     return judged.join(
-        best, (F.col("host") == F.col("u_host")) & (F.col("path") == F.col("u_path")), "left"
+        best, (F.col("host") == F.col("__host")) & (F.col("path") == F.col("__path")), "left"
     ).select(
         *[F.col(f"`{c}`") for c in kept],
         "host",
         "path",
-        F.col("best.rule").alias("rule"),
-        F.coalesce("best.verdict", F.lit(default)).alias("verdict"),
+        F.col("__best.rule").alias("rule"),
+        F.coalesce("__best.verdict", F.lit(default)).alias("verdict"),
     )
