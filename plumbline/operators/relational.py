@@ -107,3 +107,12 @@ def relational_division(needs: DataFrame, has: DataFrame, owner: str, item: str)
     there = needs.join(has.select(item).distinct().withColumn("__ok", F.lit(1)), item, "left")
     counts = there.groupBy(owner).agg(F.count(F.lit(1)).alias("n_needed"), F.count("__ok").alias("n_there"))
     return counts.where("n_needed = n_there").select(owner, "n_needed")
+
+
+def refresh_generation(old: DataFrame, new: DataFrame, key: str, generation: int) -> DataFrame:
+    """Soft delete and insert: live old rows whose key is in the new ones are marked as deleted by the generation."""
+    hit = new.select(F.col(key).alias("__k")).distinct()
+    live = F.col("deleted_by").isNull() & F.col("__k").isNotNull()
+    marked = old.join(hit, F.col(key) == F.col("__k"), "left").withColumn("deleted_by", F.when(live, F.lit(generation).cast("long")).otherwise(F.col("deleted_by"))).drop("__k")
+    added = new.withColumn("deleted_by", F.lit(None).cast("long")).withColumn("generation", F.lit(generation))
+    return marked.unionByName(added)
