@@ -31,7 +31,7 @@ SAMPLE_CHARS = 3_000_000
 #: Words encoded at once.
 PIECE = 300
 #: Relative saving over the next best language below which a choice is rejected.
-MIN_MARGIN = 0.01
+MIN_MARGIN = 0.005
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 
