@@ -35,10 +35,13 @@ def shared_dir(spark: SparkSession) -> str:
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as Parquet in the shared folder and read it again.
 
-    This cuts the lineage: a lost executor costs a re-read of the table, not the work before it.
+    This cuts the lineage: a lost executor costs a re-read of the table, not the work before it. The table
+    goes when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
