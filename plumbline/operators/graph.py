@@ -91,3 +91,37 @@ def suppress(items: DataFrame, item: str, rank: str, pairs: DataFrame) -> DataFr
         left = edges.select("id")
     gone = dropped.distinct().withColumnRenamed("id", "__gone")
     return items.join(gone, F.col(item) == F.col("__gone"), "left").withColumn("kept", F.col("__gone").isNull()).drop("__gone")
+
+
+def greedy_matching(edges: DataFrame, a: str, b: str, cost: str) -> DataFrame:
+    """Disjoint pairs as a greedy scan in (cost, a, b) order picks them.
+
+    An edge that comes first at both of its ends is picked by that scan whatever else there is, so each
+    round picks all such edges at once and removes their ends. Self-edges and repeats of a pair go first.
+    """
+    low, high = F.least(a, b), F.greatest(a, b)
+    left = edges.where(F.col(a) != F.col(b)).select(low.alias("a"), high.alias("b"), F.col(cost).alias("cost"))
+    left = _cut(left.groupBy("a", "b").agg(F.min("cost").alias("cost")))
+    picked = left.limit(0)
+    while left.limit(1).count():
+        ends = left.select(F.col("a").alias("node"), F.struct("cost", "a", "b").alias("e")).union(left.select("b", F.struct("cost", "a", "b")))
+        first = ends.groupBy("node").agg(F.min("e").alias("e"))
+        both = _cut(first.groupBy("e").agg(F.count(F.lit(1)).alias("n")).where("n = 2").select("e.a", "e.b", "e.cost"))
+        picked = picked.union(both)
+        used = both.select(F.col("a").alias("__u")).union(both.select("b"))
+        left = left.join(used, F.col("a") == F.col("__u"), "left_anti").join(used, F.col("b") == F.col("__u"), "left_anti")
+        left = _cut(left)
+    return picked
+
+
+def ancestors(edges: DataFrame, child: str, parent: str) -> DataFrame:
+    """All (node, ancestor) pairs of an acyclic graph, by doubling paths: as many rounds as the depth has bits."""
+    pairs = _cut(edges.select(F.col(child).alias("node"), F.col(parent).alias("ancestor")).distinct())
+    n = pairs.count()
+    while True:
+        longer = pairs.join(pairs.withColumnsRenamed({"node": "__m", "ancestor": "__a"}), F.col("ancestor") == F.col("__m"))
+        pairs = _cut(pairs.union(longer.select("node", "__a")).distinct())
+        now = pairs.count()
+        if now == n:
+            return pairs
+        n = now

@@ -64,3 +64,15 @@ def evenly_spaced(df: DataFrame, order: list[Column], k: int) -> DataFrame:
             F.rint(F.col("i") * (F.col("n") - 1) / (k - 1)).cast("long").alias("wanted")
         )
     return ranked.join(F.broadcast(wanted.distinct()), F.col("position") == F.col("wanted")).drop("wanted")
+
+
+def weighted_sample(df: DataFrame, row_id: str, weight: str, k: int, seed: int) -> DataFrame:
+    """k rows drawn without replacement, likelier by weight: the largest log(weight) + Gumbel noise, ties by id.
+
+    The noise is a hash of seed and id, so a row's key depends on nothing else; rows without weight are never
+    drawn. Top k is one partial top k for each task.
+    """
+    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(row_id).cast("string"))), 1, 12)
+    uniform = (F.conv(digits, 16, 10).cast("double") + 0.5) / 2.0**48
+    key = F.log(F.col(weight).cast("double")) - F.log(-F.log(uniform))
+    return df.where(F.col(weight) > 0).withColumn("key", key).orderBy(F.desc("key"), F.asc(row_id)).limit(k)

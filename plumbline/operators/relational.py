@@ -116,3 +116,31 @@ def refresh_generation(old: DataFrame, new: DataFrame, key: str, generation: int
     marked = old.join(hit, F.col(key) == F.col("__k"), "left").withColumn("deleted_by", F.when(live, F.lit(generation).cast("long")).otherwise(F.col("deleted_by"))).drop("__k")
     added = new.withColumn("deleted_by", F.lit(None).cast("long")).withColumn("generation", F.lit(generation))
     return marked.unionByName(added)
+
+
+def browse_rollup(df: DataFrame, path: str, prefix: str, suffixes: tuple[str, ...]) -> DataFrame:
+    """Entries right below a prefix: how many files each holds, and how many with one of the suffixes."""
+    rest = F.substring(F.col(path), len(prefix) + 1, 1_000_000)
+    entry = F.element_at(F.split(rest, "/"), 1)
+    wanted = F.lower(F.col(path)).rlike("(?:" + "|".join(s.replace(".", r"\.") for s in suffixes) + ")$")
+    below = df.where(F.col(path).startswith(prefix)).withColumn("entry", entry)
+    return below.groupBy("entry").agg(F.count(F.lit(1)).alias("n_files"), F.count_if(wanted).alias("n_wanted"), F.bool_or(F.contains(rest, F.lit("/"))).alias("is_folder"))
+
+
+def identical_content(df: DataFrame, name: str, content: str) -> DataFrame:
+    """One row for each name: its hash, how many files have it, and whether they differ."""
+    digest = F.sha2(F.col(content).cast("binary"), 256)
+    return df.groupBy(name).agg(F.min(digest).alias("sha256"), F.count(F.lit(1)).alias("n_files"), (F.min(digest) != F.max(digest)).alias("conflict"))
+
+
+def gate_checks(row: DataFrame, checks: dict[str, tuple[str, str, float]]) -> DataFrame:
+    """A row for each named check (column, `>=` or `<=`, limit) with its value, whether it passed, and whether all did.
+
+    A missing value fails.
+    """
+    named = [
+        F.struct(F.lit(n).alias("name"), F.col(c).cast("double").alias("actual"), F.lit(limit).alias("limit"), F.coalesce(F.col(c) >= limit if op == ">=" else F.col(c) <= limit, F.lit(False)).alias("passed"))
+        for n, (c, op, limit) in checks.items()
+    ]
+    every = F.forall(F.array(*named), lambda s: s["passed"])
+    return row.withColumn("accepted", every).select("accepted", F.inline(F.array(*named)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.operators import matching, points, relational, sequences, spatial, statistics
+from plumbline.operators import graph, matching, points, ranking, relational, sequences, spatial, statistics
 
 from .catalogue import _r, query, table
 
@@ -193,3 +193,68 @@ def describe_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics of no rows: one row of nulls and a count of 0."""
     found = table(spark, sf_dir, "customer").where("c_acctbal > 1e12").agg(*statistics.describe(F.col("c_acctbal")))
     return found.select("n", *[_r(F.col(c)).alias(c) for c in found.columns if c != "n"])
+
+
+@query()
+def greedy_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Disjoint pairs of near suppliers, the nearest first."""
+    at = table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal", (F.col("s_nationkey") * 400).cast("double").alias("y"))
+    near = spatial.k_nearest(at, "s_suppkey", "s_acctbal", "y", 4, 1000.0)
+    return graph.greedy_matching(near, "a", "b", "distance").select("a", "b", _r(F.col("cost")).alias("cost"))
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT p_partkey AS child, p_partkey // 3 AS parent FROM part WHERE p_partkey >= 3 AND p_partkey < 600),
+r AS (SELECT child AS node, parent AS ancestor FROM e UNION SELECT r.node, e.parent FROM r JOIN e ON r.ancestor = e.child)
+SELECT node, ancestor FROM r
+""")
+def ancestor_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ancestors of each node of a tree."""
+    part = table(spark, sf_dir, "part").where("p_partkey >= 3 AND p_partkey < 600")
+    return graph.ancestors(part.select("p_partkey", F.expr("p_partkey div 3").alias("parent")), "p_partkey", "parent")
+
+
+@query("""
+SELECT p_partkey, p_size FROM (SELECT p_partkey, p_size, ln(CAST(p_size AS DOUBLE)) - ln(-ln((CAST('0x' || substr(md5('9:' || CAST(p_partkey AS VARCHAR)), 1, 12) AS BIGINT) + 0.5) / pow(2.0, 48))) AS key FROM part WHERE p_size > 0)
+ORDER BY key DESC, p_partkey LIMIT 100
+""")
+def weighted_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A hundred rows drawn by weight."""
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    return ranking.weighted_sample(part, "p_partkey", "p_size", 100, 9).select("p_partkey", "p_size")
+
+
+@query("""
+WITH f AS (SELECT 'org/' || c_mktsegment || '/' || CASE WHEN c_custkey % 3 = 0 THEN 'IMG_' || c_custkey || '.JPG' ELSE 'note.txt' END AS path FROM customer UNION ALL SELECT 'org/readme.jpg' UNION ALL SELECT 'other/x.jpg')
+SELECT split_part(substr(path, 5), '/', 1) AS entry, count(*) AS n_files, count(*) FILTER (WHERE lower(path) LIKE '%.jpg') AS n_wanted, bool_or(contains(substr(path, 5), '/')) AS is_folder
+FROM f WHERE starts_with(path, 'org/') GROUP BY 1
+""")
+def browse_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folders below a prefix with their files."""
+    name = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("IMG_"), F.col("c_custkey").cast("string"), F.lit(".JPG"))).otherwise("note.txt")
+    files = table(spark, sf_dir, "customer").select(F.concat(F.lit("org/"), F.col("c_mktsegment"), F.lit("/"), name).alias("path"))
+    more = spark.createDataFrame([("org/readme.jpg",), ("other/x.jpg",)], "path string")
+    return relational.browse_rollup(files.union(more), "path", "org/", (".jpg", ".jpeg"))
+
+
+@query("""
+SELECT c_mktsegment || '.txt' AS name, min(sha256(CASE WHEN c_custkey % 2 = 0 OR c_mktsegment < 'C' THEN 'same' ELSE c_name END)) AS sha256, count(*) AS n_files,
+       count(DISTINCT CASE WHEN c_custkey % 2 = 0 OR c_mktsegment < 'C' THEN 'same' ELSE c_name END) > 1 AS conflict FROM customer GROUP BY c_mktsegment
+""")
+def identical_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names whose files differ."""
+    content = F.when((F.col("c_custkey") % 2 == 0) | (F.col("c_mktsegment") < "C"), "same").otherwise(F.col("c_name"))
+    files = table(spark, sf_dir, "customer").select(F.concat("c_mktsegment", F.lit(".txt")).alias("name"), content.alias("content"))
+    return relational.identical_content(files, "name", "content")
+
+
+@query("""
+WITH s AS (SELECT count(*) AS n, avg(l_discount) AS d, max(l_tax) AS t FROM lineitem)
+SELECT name, round(actual, 4) AS actual, lim AS "limit", passed, bool_and(passed) OVER () AS accepted FROM (
+  SELECT 'rows' AS name, CAST(n AS DOUBLE) AS actual, 100.0 AS lim, n >= 100 AS passed FROM s UNION ALL SELECT 'discount', d, 0.2, d <= 0.2 FROM s UNION ALL SELECT 'tax', t, 0.01, t <= 0.01 FROM s)
+""")
+def gate_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Named limits on one row of figures."""
+    figures = table(spark, sf_dir, "lineitem").agg(F.count(F.lit(1)).alias("n"), F.avg("l_discount").alias("d"), F.max("l_tax").alias("t"))
+    found = relational.gate_checks(figures, {"rows": ("n", ">=", 100.0), "discount": ("d", "<=", 0.2), "tax": ("t", "<=", 0.01)})
+    return found.withColumn("actual", _r(F.col("actual")))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import geometry as g
 from plumbline.functions import text as tx
-from plumbline.operators import graph, ranking, relational, sequences, spatial, stateful, statistics
+from plumbline.operators import graph, points, ranking, relational, sequences, spatial, stateful, statistics
 
 
 def _one(spark, *columns):
@@ -117,3 +117,39 @@ def test_bilinear(spark):
     points = spark.createDataFrame([(0.5, 0.5), (1.0, 1.0), (2.5, 0.0)], "x double, y double")
     got = {(r["x"], r["y"]): r["value"] for r in spatial.bilinear(points, "x", "y", raster).collect()}
     assert got == {(0.5, 0.5): 5.5, (1.0, 1.0): 11.0, (2.5, 0.0): None}
+
+
+def test_greedy_matching_is_the_sequential_one(spark):
+    rng = random.Random(5)
+    for n in (2, 5, 31):
+        edges = [(rng.randrange(n), rng.randrange(n), float(rng.randrange(6))) for _ in range(4 * n)]
+        got = {(r["a"], r["b"]) for r in graph.greedy_matching(spark.createDataFrame(edges, "a long, b long, c double"), "a", "b", "c").collect()}
+        free, want = set(range(n)), set()
+        for _, a, b in sorted((c, min(a, b), max(a, b)) for a, b, c in edges if a != b):
+            if {a, b} <= free:
+                free -= {a, b}
+                want.add((a, b))
+        assert got == want
+
+
+def test_split_tree(spark):
+    rng = random.Random(6)
+    rows = [(i, rng.random() * 100, rng.random(), 5.0) for i in range(500)] + [(1000 + i, 7.0, 0.5, 5.0) for i in range(100)]
+    got = points.split_tree(spark.createDataFrame(rows, "id long, x double, y double, z double"), "id", ["x", "y", "z"], 40).collect()
+    assert len(got) == len(rows)
+    leaves = {}
+    for r in got:
+        leaves.setdefault(r["node"], []).append(r["id"])
+    assert max(map(len, leaves.values())) <= 40
+    assert not any(a != b and b.startswith(a) for a in leaves for b in leaves)
+
+
+def test_similarity_fit(spark):
+    rng = random.Random(7)
+    rows = []
+    for _ in range(20):
+        x, y, z = (rng.random() for _ in range(3))
+        rows.append((x, y, z, -2 * y + 1, 2 * x + 2, 2 * z + 3))
+    fit = points.similarity_fit(spark.createDataFrame(rows, "x double, y double, z double, u double, v double, w double"), ["x", "y", "z"], ["u", "v", "w"])
+    assert math.isclose(fit["scale"], 2, rel_tol=1e-9) and fit["rmse"] < 1e-6
+    assert [round(t, 6) for t in fit["translation"]] == [1, 2, 3]
