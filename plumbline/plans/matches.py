@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.operators import graph, matching, points, ranking, relational, sequences, spatial, statistics
+from plumbline.operators import graph, matching, points, ranking, raster, relational, sequences, spatial, statistics
 
 from .catalogue import _r, query, table
 
@@ -258,3 +258,59 @@ def gate_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     figures = table(spark, sf_dir, "lineitem").agg(F.count(F.lit(1)).alias("n"), F.avg("l_discount").alias("d"), F.max("l_tax").alias("t"))
     found = relational.gate_checks(figures, {"rows": ("n", ">=", 100.0), "discount": ("d", "<=", 0.2), "tax": ("t", "<=", 0.01)})
     return found.withColumn("actual", _r(F.col("actual")))
+
+
+_RASTER = "SELECT l_orderkey % 60 AS col, l_linenumber AS row, avg(l_quantity) AS v FROM lineitem GROUP BY 1, 2"
+
+
+def _raster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem")
+    return lines.groupBy((F.col("l_orderkey") % 60).alias("col"), F.col("l_linenumber").cast("long").alias("row")).agg(F.avg("l_quantity").alias("v"))
+
+
+@query(f"""
+WITH r AS ({_RASTER}), q AS (SELECT quantile_cont(v, 0.02) AS lo, quantile_cont(v, 0.98) AS hi FROM r)
+SELECT col, CAST(row AS BIGINT) AS row, CAST(round_even(least(1.0, greatest(0.0, (v - lo) / (hi - lo))) * 255, 0) AS INT) AS shown FROM r, q
+""")
+def raster_stretch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A raster as 0 to 255 between its percentiles."""
+    return raster.stretched(_raster(spark, sf_dir)).select("col", "row", "shown")
+
+
+@query(f"""
+WITH r AS ({_RASTER}), t AS (SELECT i AS c, j AS r FROM range(0, 24) a(i), range(0, 4) b(j)),
+w AS (SELECT t.c, t.r, v, greatest(0, least(col + 1, (c + 1) * 2.5) - greatest(col, c * 2.5)) * greatest(0, least(row + 1, (t.r + 1) * 2.5) - greatest(row, t.r * 2.5)) AS w FROM r JOIN t ON true)
+SELECT c AS col, r AS row, round(sum(w * v) / sum(w), 6) AS v FROM w WHERE w > 1e-12 GROUP BY c, r
+""")
+def raster_downsample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A raster at two fifths of its resolution."""
+    return raster.downsampled(_raster(spark, sf_dir), 2.5).withColumn("v", _r(F.col("v"), 6))
+
+
+@query(f"""
+WITH r AS ({_RASTER}), a AS (SELECT DISTINCT col, row FROM r WHERE v > 25), b AS (SELECT DISTINCT col, row FROM r WHERE v < 26)
+SELECT round(count(*) FILTER (WHERE a.col IS NOT NULL AND b.col IS NOT NULL) / count(a.col), 6) AS retained, round(count(*) FILTER (WHERE a.col IS NOT NULL AND b.col IS NOT NULL) / count(*), 6) AS iou,
+       round(1 - count(*) FILTER (WHERE a.col IS NOT NULL AND b.col IS NOT NULL) / count(b.col), 6) AS new FROM a FULL JOIN b ON a.col = b.col AND a.row = b.row
+""")
+def occupancy_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How two sets of cells overlap."""
+    r = _raster(spark, sf_dir)
+    found = raster.occupancy_comparison(r.where("v > 25"), r.where("v < 26"))
+    return found.select(*[_r(F.col(c), 6).alias(c) for c in found.columns])
+
+
+@query(f"""
+WITH r AS ({_RASTER}) SELECT CAST(floor(row / 4) AS BIGINT) AS cell_row, CAST(floor(col / 4) AS BIGINT) AS cell_col, count(*) AS n, round(count(*) FILTER (WHERE v > 25) / count(*), 6) AS coverage, count(*) FILTER (WHERE v > 25) / count(*) >= 0.5 AS covered FROM r GROUP BY 1, 2
+""")
+def coverage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of valid pixels of each cell."""
+    r = _raster(spark, sf_dir).withColumn("v", F.when(F.col("v") > 25, F.col("v")).otherwise(float("nan")))
+    return raster.coverage_report(r, 4, 0.5).withColumn("coverage", _r(F.col("coverage"), 6))
+
+
+@query()
+def raster_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Structural similarity of two rasters."""
+    r = _raster(spark, sf_dir)
+    found = raster.structural_similarity(r, r.withColumn("v", F.col("v") + F.col("col") % 3), 50.0)
+    return found.select(*[_r(F.col(c), 6).alias(c) for c in found.columns])

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import geometry as g
 from plumbline.functions import text as tx
-from plumbline.operators import graph, points, ranking, relational, sequences, spatial, stateful, statistics
+from plumbline.operators import graph, points, ranking, raster, relational, sequences, spatial, stateful, statistics
 
 
 def _one(spark, *columns):
@@ -153,3 +153,29 @@ def test_similarity_fit(spark):
     fit = points.similarity_fit(spark.createDataFrame(rows, "x double, y double, z double, u double, v double, w double"), ["x", "y", "z"], ["u", "v", "w"])
     assert math.isclose(fit["scale"], 2, rel_tol=1e-9) and fit["rmse"] < 1e-6
     assert [round(t, 6) for t in fit["translation"]] == [1, 2, 3]
+
+
+def test_structural_similarity(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    a = rng.random((12, 9)) * 50
+    b = a + rng.random((12, 9)) * 5
+    frame = lambda m: spark.createDataFrame([(r, c, float(m[r, c])) for r in range(12) for c in range(9)], "row long, col long, v double")
+
+    def blur(m):
+        out = np.zeros_like(m)
+        for r in range(12):
+            for c in range(9):
+                w = {(i, j): math.exp(-((i - r) ** 2 + (j - c) ** 2) / 4.5) for i in range(12) for j in range(9) if abs(i - r) <= 5 and abs(j - c) <= 5}
+                out[r, c] = sum(m[k] * v for k, v in w.items()) / sum(w.values())
+        return out
+
+    ma, mb = blur(a), blur(b)
+    va, vb, cov = blur(a * a) - ma**2, blur(b * b) - mb**2, blur(a * b) - ma * mb
+    want = (((2 * ma * mb + 0.25) * (2 * cov + 2.25)) / ((ma**2 + mb**2 + 0.25) * (va + vb + 2.25))).mean()
+    got = raster.structural_similarity(frame(a), frame(b), 50.0).first()
+    assert math.isclose(got["ssim"], want, rel_tol=1e-9)
+    assert math.isclose(got["psnr"], 10 * math.log10(2500 / ((a - b) ** 2).mean()), rel_tol=1e-9)
+    same = raster.structural_similarity(frame(a), frame(a), 50.0).first()
+    assert math.isclose(same["ssim"], 1.0) and same["psnr"] is None

@@ -55,3 +55,30 @@ def test_publish_changed(spark):
     new = spark.createDataFrame([("a", b"1"), ("b", b"2")], "path string, content binary")
     known = new.where("path = 'a'").withColumn("sha256", F.sha2("content", 256))
     assert [r["path"] for r in cp.publish_changed(new, known).collect()] == ["b"]
+
+
+def test_reconstruction_files(spark, tmp_path):
+    import struct
+
+    from plumbline.sources import reconstructions as rc
+
+    (tmp_path / "cameras.bin").write_bytes(struct.pack("<Q", 1) + struct.pack("<iiQQ4d", 7, 1, 640, 480, 500, 501, 320, 240))
+    image = struct.pack("<i7di", 3, 1, 0, 0, 0, 4, 5, 6, 7) + b"a b.jpg\0" + struct.pack("<Q", 2) + struct.pack("<ddq", 1.5, 2.5, 9) + struct.pack("<ddq", 50, 60, -1)
+    (tmp_path / "images.bin").write_bytes(struct.pack("<Q", 1) + image)
+    point = struct.pack("<Q3d3BdQ", 9, 1, 2, 3, 10, 20, 30, 0.5, 2) + struct.pack("<iiii", 3, 0, 3, 1)
+    (tmp_path / "points3D.bin").write_bytes(struct.pack("<Q", 1) + point)
+    camera = rc.read_cameras(spark, str(tmp_path / "cameras.bin")).first()
+    assert (camera["camera_id"], camera["width"], camera["params"]) == (7, 640, [500, 501, 320, 240])
+    images, points = rc.read_images(spark, str(tmp_path / "images.bin")), rc.read_points3d(spark, str(tmp_path / "points3D.bin"))
+    assert images.first()["name"] == "a b.jpg" and images.first()["points"][1]["point3d_id"] == -1
+    assert rc.good_points(points, 0.5, 2).count() == 1 and rc.good_points(points, 0.4, 2).count() == 0
+    crops = spark.createDataFrame([(3, 0.0, 0.0, 10.0, 10.0)], "image_id int, x0 double, y0 double, x1 double, y1 double")
+    kept = rc.tracks_in_crops(points, images, crops).first()
+    assert [tuple(o) for o in kept["track"]] == [(3, 0)]
+
+
+def test_kml(spark, tmp_path):
+    from plumbline.sources import reconstructions as rc
+
+    (tmp_path / "a.kml").write_text("<kml><Document><Placemark><name>P</name><Point><coordinates> 1.5,2.5,3 </coordinates></Point></Placemark><Placemark><name>L</name></Placemark></Document></kml>")
+    assert [tuple(r) for r in rc.read_kml(spark, str(tmp_path / "a.kml")).collect()] == [("P", 1.5, 2.5, 3.0)]
