@@ -92,9 +92,9 @@ def split_tree(df: DataFrame, row_id: str, axes: list[str], leaf_rows: int, most
         value = F.coalesce(*[F.when(longest["i"] == -i, F.col(a)) for i, a in enumerate(axes)])
         middle = F.coalesce(*[F.when(longest["i"] == -i, (F.col(f"__lo_{a}") + F.col(f"__hi_{a}")) / 2) for i, a in enumerate(axes)])
         sided = rest.withColumn("__side", F.when(value < middle, 0).otherwise(1))
-        # Only a node without extent has an empty half; it is halved by a hash of the id.
+        # Only a node without extent has an empty half; it is halved by a hash of id and depth.
         flat = F.coalesce(longest["s"], F.lit(0.0)) <= 0
-        sided = sided.withColumn("__side", F.when(flat, F.pmod(F.xxhash64(row_id), F.lit(2))).otherwise(F.col("__side")))
+        sided = sided.withColumn("__side", F.when(flat, F.pmod(F.xxhash64(row_id, F.lit(depth)), F.lit(2))).otherwise(F.col("__side")))
         work = _cut(sided.withColumn("node", F.concat("node", F.col("__side").cast("string"))).select(*work.columns))
         depth += 1
 
