@@ -9,7 +9,7 @@ confirmed links are joined into components.
 A bucket's pairs are not all compared at once. First each bucket's nodes meet its smallest one, then, where
 a bucket still spans several components, the node with most confirmed links (the likely original of a
 group of copies). What remains between different components of a bucket is compared in blocks of bounded
-size by sketch, and every pair that passes is confirmed. So no link between components is passed over, and
+size by finer sketches, and every pair that passes is confirmed. So no link between components is passed over, and
 a large group of copies costs some pairs for each of its members. With 26 bands of 4 values a link of
 similarity 0.80 shares no bucket with probability 1e-6; so does one of 0.85 with 24 bands of 5.
 
@@ -41,8 +41,11 @@ PERCENT = 80
 BANDS = 26
 ROWS = 4
 SKETCH_WORDS = 8  # of 64 bits
+#: MinHash values and words of the finer sketches by which blocks are compared.
+FINE_VALUES = 4096
+FINE_WORDS = 64
 #: Estimates so many standard deviations below the threshold still pass to confirmation.
-SLACK = 6.0
+SLACK = 5.0
 #: Nodes of a block when all pairs of a bucket are compared by sketch.
 BLOCK = 512
 #: Candidate nodes are broadcast to the documents while there are at most so many.
@@ -81,8 +84,8 @@ def minhash(shingles: np.ndarray, count: int) -> np.ndarray:
     """`count` MinHash values: minima under multiplication by random odd numbers."""
     factors = _constants(count, 11) | np.uint64(1)
     out = np.full(count, _MASK)
-    for start in range(0, len(shingles), 4096):
-        np.minimum(out, (factors[:, None] * shingles[None, start : start + 4096]).min(axis=1), out=out)
+    for start in range(0, len(shingles), 256):
+        np.minimum(out, (factors[:, None] * shingles[None, start : start + 256]).min(axis=1), out=out)
     return out
 
 
@@ -96,13 +99,16 @@ def odd_sketch(values: np.ndarray, words: int = SKETCH_WORDS) -> np.ndarray:
 def most_differing_bits(similarity: float, count: int, words: int = SKETCH_WORDS, slack: float = SLACK) -> int:
     """XOR population count up to which a pair of that similarity is taken for one.
 
-    d differing MinHash values flip up to 2d random bits of n; the count has mean n/2 (1 - (1 - 2/n)^(2d)).
-    Both the number of differing values and the count given it spread, and both get `slack` deviations.
+    The number of differing values is binomial, each of them flips two random bits of n, and d flips leave
+    an odd number in n/2 (1 - (1 - 2/n)^d) bits on average. The bound lies `slack` joint standard
+    deviations above the mean.
     """
     n = 64 * words
-    differing = count * (1 - similarity) + slack * (count * similarity * (1 - similarity)) ** 0.5
-    mean = n / 2 * (1 - (1 - 2 / n) ** (2 * min(differing, count)))
-    return int(mean) + 1
+    flips = 2 * count * (1 - similarity)
+    mean = n / 2 * (1 - (1 - 2 / n) ** flips)
+    spread = n / 4 * (1 - (1 - 4 / n) ** flips) + n * (n - 1) / 4 * ((1 - 4 / n) ** flips - (1 - 2 / n) ** (2 * flips))
+    slope = 2 * (1 - 2 / n) ** flips
+    return int(mean + slack * (slope**2 * count * similarity * (1 - similarity) + max(0.0, spread)) ** 0.5) + 1
 
 
 def _nodes(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
@@ -138,8 +144,8 @@ def _nodes(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
     )
 
 
-def _differing_bits(a: str, b: str) -> Column:
-    bits = [F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(SKETCH_WORDS)]
+def _differing_bits(a: str, b: str, words: int = SKETCH_WORDS) -> Column:
+    bits = [F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(words)]
     total = bits[0]
     for x in bits[1:]:
         total = total + x
@@ -199,14 +205,24 @@ def _texts_of(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     return saved(checked, "dedup-texts").dropDuplicates(["node"])
 
 
+def _fine_sketches(texts: DataFrame, width: int) -> DataFrame:
+    """A finer odd sketch of each node from its text."""
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [odd_sketch(minhash(shingle_set(t.as_py(), width), FINE_VALUES), FINE_WORDS) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.int64()))], names=["node", "fine"])
+
+    return texts.select("node", "text").mapInArrow(sketch, "node binary, fine array<long>")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b): node, component (the smallest node of its component).
 
     Each round gives every node the smallest label around it and then the label of that label.
     """
-    both = saved(
-        edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "dedup-edges"
-    )
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = saved(both.distinct(), "dedup-edges")
     labels = saved(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")), "dedup-labels")
     while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("m"))
@@ -235,19 +251,17 @@ def near_duplicates(
     """A row for each document: doc_id, n_shingles, component_id and whether it is kept."""
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     described = saved(_nodes(docs, shingle_words, bands, rows), "dedup-documents")
-    alike = described.where("n_shingles > 0")
     nodes = saved(
-        alike.groupBy("node").agg(
+        described.where("n_shingles > 0").groupBy("node").agg(
             F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("buckets").alias("buckets"), F.first("sketch").alias("sketch")
         ),
         "dedup-nodes",
     )
-    spread = nodes.select("node", F.explode("buckets").alias("bucket"))
-    shared = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    members = saved(spread.join(shared, "bucket").select("bucket", "node", "m"), "dedup-members")
-    known = saved(
-        nodes.drop("buckets").join(members.select("node").distinct(), "node", "left_semi"), "dedup-candidates"
-    )
+    spread = nodes.select("node", F.coalesce("doc_id", F.lit(2**63 - 1)).alias("o"), F.explode("buckets").alias("bucket"))
+    shared = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("o", "node")).alias("s"))
+    shared = shared.where("m > 1").select("bucket", "m", F.col("s.node").alias("hub"))
+    members = saved(spread.join(shared, "bucket").select("bucket", "node", "m", "hub"), "dedup-members")
+    known = saved(nodes.drop("buckets").join(members.select("node").distinct(), "node", "left_semi"), "dedup-candidates")
     texts: DataFrame | None = None
     most = most_differing_bits(percent / 100, bands * rows)
 
@@ -257,60 +271,67 @@ def near_duplicates(
         near = pairs.join(a, "a").join(b, "b")
         return near.where(_sizes_allow("n_a", "n_b", percent) & (_differing_bits("sketch_a", "sketch_b") <= most)).select("a", "b")
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
+    def texts_for(wanted: DataFrame) -> DataFrame:
+        """Texts of the nodes wanted and of those wanted before."""
         nonlocal texts
+        wanted = known.join(wanted, "node", "left_semi").select("node", "doc_id")
         if texts is None:
-            ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-            texts = _texts_of(docs, known.join(ends, "node", "left_semi"), shingle_words)
-            return saved(_confirm(pairs, texts, shingle_words, percent), "dedup-links")
-        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        more = _texts_of(docs, known.join(ends, "node", "left_semi").join(texts, "node", "left_anti"), shingle_words)
-        texts = texts.unionByName(more)
+            texts = _texts_of(docs, wanted, shingle_words)
+        else:
+            wanted = saved(wanted.join(texts, "node", "left_anti"), "dedup-wanted")
+            if wanted.limit(1).count():
+                texts = texts.unionByName(_texts_of(docs, wanted, shingle_words))
+        return texts
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        texts = texts_for(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
         return saved(_confirm(pairs, texts, shingle_words, percent), "dedup-links")
 
-    def open_buckets(labels: DataFrame) -> DataFrame:
-        """Members of buckets that span several components, with their component."""
-        named = members.join(labels, "node", "left").select("bucket", "node", "m", F.coalesce("component", "node").alias("component"))
-        split = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-        return named.join(split.select("bucket"), "bucket")
+    def both_ways(links: DataFrame) -> DataFrame:
+        return links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
     # First every member against the smallest one of its bucket.
-    ids = known.select("node", F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc_id"))
-    ranked = members.join(ids, "node")
-    smallest = ranked.groupBy("bucket").agg(F.min(F.struct("doc_id", "node")).alias("s")).select("bucket", F.col("s.node").alias("hub"))
-    stars = members.join(smallest, "bucket").where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    stars = members.where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
     tested = saved(passing(stars), "dedup-pairs")
     links = confirmed(tested)
-    labels = components(links)
 
-    # Then against the member with most links, where a bucket is still split.
-    ends = links.select(F.col("a").alias("node")).union(links.select("b"))
-    degree = ends.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
-    left = saved(open_buckets(labels), "dedup-open")
-    weighed = left.join(degree, "node", "left").groupBy("bucket").agg(F.max(F.struct(F.coalesce("degree", F.lit(0)), "node", "component")).alias("s"))
-    hubs = weighed.select("bucket", F.col("s.node").alias("hub"), F.col("s.component").alias("hub_component"))
-    again = left.join(hubs, "bucket").where("component <> hub_component").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    # Then against the member with most links, where a bucket's members have not all the same smallest neighbour.
+    around = both_ways(links).groupBy("a").agg(F.count(F.lit(1)).alias("degree"), F.min("b").alias("low"))
+    around = around.select(F.col("a").alias("node"), "degree", F.least("a", "low").alias("low"))
+    near = members.select("bucket", "node").join(around, "node", "left")
+    near = near.select("bucket", "node", F.coalesce("degree", F.lit(0)).alias("degree"), F.coalesce("low", "node").alias("low"))
+    split = near.groupBy("bucket").agg(F.min("low").alias("l"), F.max("low").alias("h"), F.max(F.struct("degree", "node", "low")).alias("s"))
+    split = split.where("l <> h").select("bucket", F.col("s.node").alias("hub"), F.col("s.low").alias("hub_low"))
+    again = near.join(split, "bucket").where("node <> hub AND low <> hub_low")
+    again = again.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
     second = saved(passing(again.join(tested, ["a", "b"], "left_anti")), "dedup-pairs")
     if second.limit(1).count():
         links = links.unionByName(confirmed(second))
-        labels = components(links)
+        tested = tested.unionByName(second)
+    labels = components(links)
 
-    # At last everything that is still apart in a bucket, in blocks.
-    rest = open_buckets(labels).join(known.select("node", "n", "sketch"), "node")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    own = rest.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    # At last everything that is still apart in a bucket, in blocks and by finer sketches.
+    named = members.select("bucket", "node", "m").join(labels, "node", "left")
+    named = named.select("bucket", "node", "m", F.coalesce("component", "node").alias("component"))
+    apart = named.groupBy("bucket").agg(F.min("component").alias("l"), F.max("component").alias("h")).where("l <> h").select("bucket")
+    rest = saved(named.join(apart, "bucket"), "dedup-rest")
+    open_nodes = rest.select("node").distinct()
+    fine = saved(_fine_sketches(texts_for(open_nodes).join(open_nodes, "node", "left_semi"), shingle_words), "dedup-sketches")
+    rest = rest.join(known.select("node", "n", "sketch").join(fine, "node"), "node")
+    own = rest.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     x = own.select("bucket", F.col("block").alias("i"), F.explode(F.expr("sequence(block, blocks - 1)")).alias("j"),
-                   F.col("node").alias("a"), F.col("component").alias("c_a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"))
+                   F.col("node").alias("a"), F.col("component").alias("c_a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"), F.col("fine").alias("fine_a"))
     y = own.select("bucket", F.explode(F.expr("sequence(0, block)")).alias("i"), F.col("block").alias("j"),
-                   F.col("node").alias("b"), F.col("component").alias("c_b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b"))
-    near = (F.col("c_a") != F.col("c_b")) & _sizes_allow("n_a", "n_b", percent) & (_differing_bits("sketch_a", "sketch_b") <= most)
+                   F.col("node").alias("b"), F.col("component").alias("c_b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b"), F.col("fine").alias("fine_b"))
+    alike = (F.col("c_a") != F.col("c_b")) & _sizes_allow("n_a", "n_b", percent) & (_differing_bits("sketch_a", "sketch_b") <= most)
+    alike &= _differing_bits("fine_a", "fine_b", FINE_WORDS) <= most_differing_bits(percent / 100, FINE_VALUES, FINE_WORDS)
     order = (F.col("i") < F.col("j")) | (F.col("a") < F.col("b"))
-    apart = x.join(y, ["bucket", "i", "j"]).where(order & near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    apart = apart.join(tested.unionByName(second), ["a", "b"], "left_anti")
-    third = saved(apart, "dedup-pairs")
+    pairs = x.join(y, ["bucket", "i", "j"]).where(order & alike).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    third = saved(pairs.join(tested, ["a", "b"], "left_anti"), "dedup-pairs")
     if third.limit(1).count():
-        links = links.unionByName(confirmed(third))
-        labels = components(links)
+        more = confirmed(third)
+        if more.limit(1).count():
+            labels = components(links.unionByName(more))
 
     joined = nodes.select("node", "doc_id").join(labels, "node")
     smallest_id = joined.groupBy("component").agg(F.min("doc_id").alias("component_id"))
