@@ -5,7 +5,8 @@ centroids. A query walks the tree with a priority queue, nearest branch first, a
 as calibration found necessary: for a set of calibration queries the true neighbours among all vectors
 are computed, and visits are widened until the tree reaches the wanted share of them.
 
-Leaves meet the queries that visit them in a co-grouped join. Large leaves are split into chunks of
+Leaves meet the queries that visit them in a co-grouped join, the first leaves of each query before the
+others, so that of the others only what is near enough comes back. Large leaves are split into chunks of
 bounded size, and of vectors that are exactly alike only as many are kept as a result can hold, so that
 neither makes a group grow with the input.
 
@@ -36,7 +37,9 @@ BRANCHES = 8
 LEAF = 48
 #: Calibration queries, and the share of their true neighbours that the visited leaves must hold.
 CALIBRATION = 256
-RECALL = 0.97
+RECALL = 0.95
+#: Leaves visited first; what they hold bounds what is kept of the others.
+FIRST = 8
 #: Vectors of a leaf that meet the queries in one group, about.
 CHUNK = 4096
 
@@ -230,27 +233,36 @@ def search(
     chunks = indexed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
     chunks = F.broadcast(saved(chunks, "ann-leaves"))
     left = indexed.join(chunks, "leaf").select("leaf", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("chunk"), "id", "v")
-    right = (
-        same.select("v", "rep").mapInArrow(walk, f"rep long, q {kind}, leaves array<long>")
-        .select("rep", "q", F.explode("leaves").alias("leaf"))
-        .join(chunks, "leaf")
-        .select("leaf", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "rep", "q")
-    )
+    walked = saved(same.select("v", "rep").mapInArrow(walk, f"rep long, q {kind}, leaves array<long>"), "ann-visits")
+    visited = walked.select("rep", "q", F.posexplode("leaves").alias("turn", "leaf")).join(chunks, "leaf")
+    visited = visited.select("turn", "leaf", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "rep", "q")
 
     def meet(points: pa.Table, queries: pa.Table) -> pa.Table:
-        out: list[tuple[int, int, float]] = []
+        reps, ids, scores = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
         if len(points) and len(queries):
-            reps = queries.column("rep").to_numpy()
+            rep, bound = queries.column("rep").to_numpy(), queries.column("bound").to_numpy()
             found = _top(points.column("id").to_numpy(), _matrix(points.column("v"), dimension), _matrix(queries.column("q"), dimension), k + 1)
-            for i, ids, far in found:
-                out += zip([int(reps[i])] * len(ids), ids.tolist(), far.tolist(), strict=True)
-        return pa.table(
-            {"rep": pa.array([r[0] for r in out], pa.int64()), "vec_id": pa.array([r[1] for r in out], pa.int64()), "score": pa.array([r[2] for r in out], pa.float64())}
-        )
+            for i, near, far in found:
+                n = int(np.searchsorted(far, bound[i], side="right"))
+                reps.append(np.full(n, rep[i]))
+                ids.append(near[:n])
+                scores.append(far[:n])
+        return pa.table({"rep": np.concatenate(reps), "vec_id": np.concatenate(ids), "score": np.concatenate(scores)})
+
+    def met_by(right: DataFrame) -> DataFrame:
+        right = right.select("leaf", "chunk", "rep", "q", "bound")
+        both = left.groupBy("leaf", "chunk").cogroup(right.groupBy("leaf", "chunk"))
+        return both.applyInArrow(meet, "rep long, vec_id long, score double")
 
-    met = left.groupBy("leaf", "chunk").cogroup(right.groupBy("leaf", "chunk")).applyInArrow(meet, "rep long, vec_id long, score double")
     nearest = Window.partitionBy("rep").orderBy("score", "vec_id")
-    best = met.distinct().withColumn("r", F.row_number().over(nearest)).where(F.col("r") <= k + 1).drop("r")
+    top = F.row_number().over(nearest)
+    first = met_by(visited.where(F.col("turn") < FIRST).withColumn("bound", F.lit(float("inf"))))
+    first = saved(first.distinct().withColumn("r", top).where(F.col("r") <= k + 1), "ann-first")
+    # Nothing farther than the last of k + 1 vectors already found can be among the nearest k + 1.
+    bounds = first.where(F.col("r") == k + 1).select("rep", F.col("score").alias("bound"))
+    later = visited.where(F.col("turn") >= FIRST).join(bounds, "rep", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
+    met = first.select("rep", "vec_id", "score").unionByName(met_by(later))
+    best = met.distinct().withColumn("r", top).where(F.col("r") <= k + 1).drop("r")
     named = asked.join(same, asked["v"] == same["v"]).select(asked["id"].alias("query_id"), "rep")
     order = Window.partitionBy("query_id", "rep").orderBy("score", "vec_id")
     return (
