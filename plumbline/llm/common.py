@@ -72,8 +72,7 @@ def word_counts(array: pa.Array) -> np.ndarray:
     starts[1:] &= ~word[:-1]
     first = offsets[:-1][offsets[:-1] < len(data)]
     starts[first] = word[first]  # a text's first byte follows no other byte of that text
-    total = np.concatenate([[0], np.cumsum(starts, dtype=np.int64)])
-    return total[offsets[1:]] - total[offsets[:-1]]
+    return np.diff(np.searchsorted(np.flatnonzero(starts), offsets))
 
 
 @F.arrow_udf(T.LongType())
