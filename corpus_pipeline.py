@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import language_id, minhash_dedup, packing, quality_rules, source_mixing
-from plumbline.llm.common import saved
+from plumbline.llm.common import saved, small_batches
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told with a clear margin; a missing language is filled in."""
+    small_batches(spark)
     model = language_id.train(docs)
     told = docs.withColumn("__told", language_id.language(F.col("text"), model)).where(~F.col("__told.rejected"))
     return told.select(
@@ -24,6 +25,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules, without the lines that failed."""
+    small_batches(spark)
     judged = docs.withColumn("__judged", quality_rules.quality_rules(F.col("text"), ["kept", "clean_text"]))
     text = F.col("__judged.clean_text")
     new = {"text": text, "n_chars": F.length(text).cast("long")}
@@ -32,16 +34,19 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five-word shingles, similarity 0.8)."""
+    small_batches(spark)
     return minhash_dedup.deduplicate(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repetitions of documents so that sources have their target weights."""
+    small_batches(spark)
     return source_mixing.mixed_documents(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of 1,024 tokens, with their ids."""
+    small_batches(spark)
     return packing.pack(docs).withColumn("ids_crc32", F.crc32("ids"))
 
 

@@ -32,6 +32,11 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Let this session's Arrow batches hold fewer rows: 10,000 whole texts are tens of MB in each of several copies."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as Parquet in the shared folder and read it again.
 

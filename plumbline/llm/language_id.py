@@ -136,7 +136,7 @@ def language(text: Column, model: LanguageModel, min_margin: float = MIN_MARGIN)
     def identify(texts: pa.Array) -> pa.Array:
         if not coders:
             coders.extend((name, _compressor(content)) for name, content in dictionaries)
-        rows = [classify(t, coders, min_margin) for t in texts.to_pylist()]
+        rows = [classify(t.as_py(), coders, min_margin) for t in texts]
         return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], kind[i].type) for i in range(3)], fields=list(kind))
 
     return identify.asNondeterministic()(text)  # so that Catalyst doesn't evaluate it once for each use

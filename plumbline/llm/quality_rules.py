@@ -157,7 +157,7 @@ def quality_rules(text: Column, fields: Iterable[str] | None = None) -> Column:
 
     @F.arrow_udf(from_arrow_type(struct))
     def judge(texts: pa.Array) -> pa.Array:
-        rows = [judge_text(t) for t in texts.to_pylist()]
+        rows = [judge_text(t.as_py()) for t in texts]
         columns = [pa.array([r[i] for r in rows], kind) for i, _, kind in chosen]
         return pa.StructArray.from_arrays(columns, fields=list(struct))
 
