@@ -7,7 +7,8 @@ separator before it stands) then stitches documents that cross block boundaries.
 
 Defined results: ids after a file's last separator form a document that is not terminated. Two
 separators in a row enclose a document of 0 tokens. An empty file has no documents. Bytes that do not
-fill an id at a file's end are an error, as the file is not what it is said to be.
+fill an id at a file's end are an error, as the file is not what it is said to be. A text that spells out
+`<|endoftext|>` has that token's id among its own; streams of texts are therefore closed by `STREAM_END`.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from .tokens import END_OF_TEXT, token_ids
 
 #: Bytes of a block; a multiple of any id size.
 BLOCK_BYTES = 512 * 1024
+#: The id that closes a document in `token_stream`: the first beyond the vocabulary, so no text holds it.
+STREAM_END = END_OF_TEXT + 1
 
 _SCAN = "file_id string, block long, n_tokens long, n_ends long, first_end long, last_end long, starts array<long>, sizes array<long>"
 _SCAN_ARROW = pa.schema(
@@ -67,7 +70,7 @@ def token_stream(
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                parts.append(np.append(token_ids(text.as_py()), np.uint32(END_OF_TEXT)))
+                parts.append(np.append(token_ids(text.as_py()), np.uint32(STREAM_END)))
                 held += len(parts[-1])
                 opened.append(doc_id)
                 if held >= most:
@@ -140,7 +143,7 @@ def count_tokens(blocks: DataFrame, end_id: int = END_OF_TEXT, id_bytes: int = 2
 def document_token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Token counts of documents by id: written as a flat stream, searched for its separators, named again."""
     stream = saved(token_stream(docs, id_col, text_col), "token-stream")
-    counted = count_tokens(stream)
+    counted = count_tokens(stream, end_id=STREAM_END)
     order = Window.partitionBy("file_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     opened = stream.select("file_id", "block", F.size("doc_ids").alias("n")).withColumn(
         "first", F.coalesce(F.sum("n").over(order), F.lit(0))

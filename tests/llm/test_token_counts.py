@@ -35,6 +35,14 @@ def test_documents(spark):
     assert token_counts.document_token_counts(none).count() == 0
 
 
+def test_a_text_that_spells_out_the_end_token(spark):
+    texts = [(1, "one two"), (2, "a<|endoftext|>b"), (3, "<|endoftext|>"), (4, "four words are here"), (5, None), (6, "six")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    got = sorted((r["doc_id"], r["n_tokens"]) for r in token_counts.document_token_counts(docs).collect())
+    assert got == [(i, len(token_ids(t))) for i, t in texts]
+    assert got[1] == (2, 3) and token_counts.STREAM_END == 50257
+
+
 def test_query_whole_table(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
     want = sorted((r["doc_id"], len(token_ids(r["text"]))) for r in docs)
