@@ -58,6 +58,23 @@ def test_k_nearest_is_exact(spark):
     assert spatial.k_nearest(df.limit(1), "id", "x", "y", 5, 0.5).count() == 0
 
 
+def test_overlapping_pairs_of_any_size(spark):
+    rng, boxes = random.Random(4), []
+    for i in range(160):
+        x, y, w, h = rng.random() * 500, rng.random() * 500, rng.choice([2, 70, 90, 900, 5000]), rng.choice([2, 66, 70, 900, 1000])
+        boxes.append((i, "pq"[i % 2], x, y, x + w * rng.uniform(0.8, 1.2), y + h * rng.uniform(0.8, 1.2)))
+
+    def iou(p, q):
+        inter = max(0, min(p[4], q[4]) - max(p[2], q[2])) * max(0, min(p[5], q[5]) - max(p[3], q[3]))
+        return inter / ((p[4] - p[2]) * (p[5] - p[3]) + (q[4] - q[2]) * (q[5] - q[3]) - inter)
+
+    df = spark.createDataFrame(boxes, "id long, cls string, x0 double, y0 double, x1 double, y1 double")
+    for least in (0.05, 0.4):
+        want = sorted((p[0], q[0]) for p in boxes for q in boxes if p[0] < q[0] and p[1] == q[1] and iou(p, q) >= least)
+        got = spatial.overlapping_pairs(df, "id", ["cls"], ("x0", "y0", "x1", "y1"), 1.0, least).collect()
+        assert sorted((r["a"], r["b"]) for r in got) == want and len(want) > 20
+
+
 def test_suppression_is_the_greedy_one(spark):
     rng = random.Random(2)
     n, pairs = 80, {tuple(sorted(rng.sample(range(80), 2))) for _ in range(150)}
