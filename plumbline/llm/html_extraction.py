@@ -12,8 +12,9 @@ Occurrence vectors are compared by a 64-bit sum of hashes of (page, count), whic
 map side, so that a host of any size costs a row for each token and task. Pages with the same content count as one, so that copies do not
 make an article look like a template.
 
-Defined results: a null or empty page has an empty text. A page that has an `article` or `main` element
-gives the text inside it. Tags of a host with too few pages are judged by their names alone. Repeated
+Defined results: a null or empty page has an empty text. Text inside an `article` or `main` element is never
+template, as an article that several pages carry is still an article; text outside such elements is kept
+beside it unless it is template or dropped. Formulas, objects and canvases are read as inline text. Tags of a host with too few pages are judged by their names alone. Repeated
 rows are judged alike. A null URL belongs to the host of all pages without one.
 """
 
@@ -40,12 +41,14 @@ MIN_TOKENS = 2
 BROADCAST_TOKENS = 200_000
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style noscript template textarea select svg iframe object canvas math title".split())
+_RAW = frozenset("script style noscript template textarea select svg iframe title".split())
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small "
-    "span strike strong sub sup time tt u var wbr".split()
+    "span strike strong sub sup time tt u var wbr canvas object "
+    "math maction annotation annotation-xml menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts "
+    "mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics".split()
 )
-_DROPPED = frozenset("nav footer aside form script style noscript template textarea select button svg iframe object canvas head dialog menu".split())
+_DROPPED = frozenset("nav footer aside form script style noscript template textarea select button svg iframe head dialog menu".split())
 _CLOSES = {
     "p": frozenset({"p"}),
     "li": frozenset({"li"}),
@@ -189,14 +192,14 @@ def main_text(html: str | None, template: set[int]) -> str:
     `template` holds the host's template tokens; a run of text that is one of them is no slot's content,
     unless it stands in an article.
     """
-    blocks: list[tuple[bool, str]] = []
+    blocks: list[str] = []
     parts: list[str] = []
-    inside = semantic = False
+    inside = False
 
     def end() -> None:
         nonlocal parts
         if parts and (text := _clean(entities.unescape("".join(parts)))):
-            blocks.append((inside, text))
+            blocks.append(text)
         parts = []
 
     for kind, name, around, path in page_tokens(html):
@@ -207,7 +210,6 @@ def main_text(html: str | None, template: set[int]) -> str:
             if now != inside:
                 end()
                 inside = now
-            semantic |= now
             if not now and template and (text := _clean(name)):
                 key = xxhash.xxh64_intdigest(f"text\n{path}\n{text}".encode("utf-8", "replace")) - (1 << 63)
                 if key in template:
@@ -219,7 +221,7 @@ def main_text(html: str | None, template: set[int]) -> str:
         else:
             end()
     end()
-    return "\n\n".join(t for within, t in blocks if within or not semantic)
+    return "\n\n".join(blocks)
 
 
 def _occurrences(pages: DataFrame) -> DataFrame:

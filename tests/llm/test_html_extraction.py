@@ -23,6 +23,18 @@ def test_edge_cases():
     assert hx.main_text("<div class='has-sidebar'><p>in</p></div><article class='comment'>no</article>", set()) == "in"
 
 
+def test_text_outside_an_article_element_is_kept():
+    assert hx.main_text("<main> </main><div><p>Real text</p></div>", set()) == "Real text"
+    assert hx.main_text("<article><nav>Menu</nav></article><p>Real text", set()) == "Real text"
+    cards = "<div><p>The body</p><p>of the page.</p></div><article><h2>A video</h2></article>"
+    assert hx.main_text(cards, set()) == "The body\n\nof the page.\n\nA video"
+
+
+def test_formulas_and_objects_are_text():
+    page = "<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> and <object data=a.pdf>a <b>file</b></object>.</p><canvas>A plot</canvas></article>"
+    assert hx.main_text(page, set()) == "Let x=2 and a file.\n\nA plot"
+
+
 def test_template_of_a_host_without_semantic_names(spark):
     def page(i):
         return f"<html><body><div class=x1><p>Menu of the site</p></div><div class=x2><p>Story {i} begins</p><p>and ends {i}.</p></div><div class=x3><p>Imprint</p></div></body></html>"
