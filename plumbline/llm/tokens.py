@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import functools
+import re
 
 import numpy as np
 
 #: The id that ends a document in flat token files (the vocabulary's `<|endoftext|>`).
 END_OF_TEXT = 50256
+#: Runs of white space (as the pattern means it) over which tiktoken's pattern may run out of stack.
+_LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,}")
 
 
 @functools.lru_cache(maxsize=2)
@@ -31,11 +34,29 @@ def token_ids(text: str | None, path: str | None = None) -> np.ndarray:
 
     The ranks file and `byte_bpe_50k.json` are one vocabulary and give the same ids; the ranks are some
     three times as fast. Where a text spells out the special token, which only the JSON file knows, that
-    file's tokenizer is used, so that the ids are always those of `byte_bpe_50k.json`.
+    file's tokenizer is used, so that the ids are always those of `byte_bpe_50k.json`. So it is where the
+    ranks' encoder gives up, which it does over some 700,000 white-space characters in a row.
     """
     fast, slow = _coders(path)
     if not text:
         return np.zeros(0, np.uint32)
     if slow is not None and "<|endoftext|>" in text:
         return np.array(slow.encode(text, add_special_tokens=False).ids, np.uint32)
-    return fast.encode_to_numpy(text, disallowed_special=()).astype(np.uint32, copy=False)
+    try:
+        return fast.encode_to_numpy(text, disallowed_special=()).astype(np.uint32, copy=False)
+    except ValueError:
+        if slow is None:
+            return _ids_around_space(fast, text)
+    return np.array(slow.encode(text, add_special_tokens=False).ids, np.uint32)
+
+
+def _ids_around_space(fast, text: str) -> np.ndarray:
+    """Ids by ranks that have no JSON file: a long run of white space is one piece, without its last character if more text follows."""
+    found, at = [], 0
+    for run in _LONG_SPACE.finditer(text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        found.append(fast.encode_to_numpy(text[at : run.start()], disallowed_special=()))
+        found.append(fast._encode_single_piece(text[run.start() : end].encode()))
+        at = end
+    found.append(fast.encode_to_numpy(text[at:], disallowed_special=()))
+    return np.concatenate([np.asarray(x, np.uint32) for x in found])

@@ -61,3 +61,10 @@ def test_query_whole_table(spark, sf):
     pieces = packing.pack(spark.read.parquet(f"{sf}/documents.parquet")).collect()
     assert sorted(zlib.crc32(bytes(r["ids"])) for r in pieces) == sorted(r["ids_crc32"] for r in rows)
     _whole(pieces, [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()], 1024)
+
+
+def test_a_long_run_of_white_space(spark):
+    texts = ["a" + " " * 1_000_000 + "b", "ab " + "\n " * 500_000, "short"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for ranks in (None, public_tokenizers.path("byte_bpe_50k.tiktoken")):
+        _whole(packing.pack(docs, ranks_path=ranks).collect(), texts, packing.CAPACITY)
