@@ -19,7 +19,7 @@ Defined results: a null text or one without a word has an empty set, is linked w
 component. With fewer words than a shingle the whole sequence is the one shingle. Rows with a null id take
 part, but a component's id is its smallest other id (null if it has none), and `kept` is false for them.
 Rows with equal ids are separate documents. `deduplicate` removes no row with a null id, and of rows alike
-in id and text it keeps one.
+in id and text, or in id and set, it keeps one, and none but one with an id of each component.
 """
 
 from __future__ import annotations
@@ -249,6 +249,12 @@ def near_duplicates(
     rows: int = ROWS,
 ) -> DataFrame:
     """A row for each document: doc_id, n_shingles, component_id and whether it is kept."""
+    found = _judged(docs, shingle_words, percent, id_col, text_col, bands, rows)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _judged(docs: DataFrame, shingle_words: int, percent: int, id_col: str, text_col: str, bands: int, rows: int) -> DataFrame:
+    """The rows of `near_duplicates` with `node`, and `one`: whether this id and set stand for the component."""
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     described = saved(_nodes(docs, shingle_words, bands, rows), "dedup-documents")
     nodes = saved(
@@ -334,33 +340,47 @@ def near_duplicates(
             labels = components(links.unionByName(more))
 
     joined = nodes.select("node", "doc_id").join(labels, "node")
-    smallest_id = joined.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    of_node = joined.join(smallest_id, "component").select(F.col("node").alias("l_node"), "component_id")
+    # Ids may repeat, so the smallest id alone does not tell which of its rows belongs to the component.
+    stands = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "node")))
+    smallest = joined.groupBy("component").agg(stands.alias("s")).select("component", F.col("s.doc_id").alias("component_id"), F.col("s.node").alias("first"))
+    of_node = joined.join(smallest, "component").select(F.col("node").alias("l_node"), "component_id", "first")
     single = nodes.select("node", F.col("doc_id").alias("own"))
     lowest = single.join(of_node, F.col("node") == F.col("l_node"), "left").select(
-        F.col("node").alias("r_node"), F.coalesce("component_id", "own").alias("component_id")
+        F.col("node").alias("r_node"), F.coalesce("component_id", "own").alias("component_id"), F.coalesce("first", "node").alias("first")
     )
     out = described.select("doc_id", "n_shingles", "node").join(lowest, F.col("node") == F.col("r_node"), "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select(
-        "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept")
-    )
+    kept = F.coalesce(F.col("doc_id") == component, F.lit(False))
+    one = kept & F.col("node").eqNullSafe(F.col("first"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"), "node", one.alias("one"))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how: int) -> DataFrame:
     """The rows of `docs` with one document of each component, the one with the smallest id."""
-    found = saved(near_duplicates(docs, id_col=id_col, text_col=text_col, **how), "dedup-result")
-    gone = found.where(F.col("doc_id").isNotNull() & ~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    again = found.where("kept").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__again"))
+    how = {"shingle_words": SHINGLE_WORDS, "percent": PERCENT, "bands": BANDS, "rows": ROWS} | how
+    found = saved(_judged(docs, id_col=id_col, text_col=text_col, **how).select("doc_id", "node", "one"), "dedup-result")
+    named = found.where(F.col("doc_id").isNotNull())
+    gone = named.where(~F.col("one")).select(F.col("doc_id").alias("__gone")).distinct()
+    again = named.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__again"))
 
     def few(ids: DataFrame) -> DataFrame:
         return F.broadcast(ids) if ids.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES else ids
 
     own = F.col(f"`{id_col}`").cast("long")
-    left = docs.join(few(gone), own == F.col("__gone"), "left_anti")
     if not again.limit(1).count():
-        return left
+        return docs.join(few(gone), own == F.col("__gone"), "left_anti")
     repeated = few(again)
-    once = left.join(repeated, own == F.col("__again"), "left_anti")
-    more = left.join(repeated, own == F.col("__again"), "left_semi").dropDuplicates([id_col, text_col])
-    return once.unionByName(more)
+    once = docs.join(repeated, own == F.col("__again"), "left_anti").join(few(gone), own == F.col("__gone"), "left_anti")
+
+    @F.arrow_udf("binary")
+    def set_print(texts: pa.Array) -> pa.Array:
+        sets = (shingle_set(text.as_py(), how["shingle_words"]) for text in texts)
+        return pa.array([xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets], pa.binary())
+
+    # Rows of an id that others have too are told apart by their sets.
+    ones = named.where("one").join(repeated, F.col("doc_id") == F.col("__again"), "left_semi")
+    ones = few(ones.select(F.col("doc_id").alias("__id"), F.col("node").alias("__one")).distinct())
+    more = docs.join(repeated, own == F.col("__again"), "left_semi").withColumns({"__own": own, "__node": set_print(F.col(f"`{text_col}`"))})
+    more = more.join(ones, (F.col("__own") == F.col("__id")) & F.col("__node").eqNullSafe(F.col("__one")), "left_semi")
+    more = more.withColumn("__text", F.when(F.col("__node").isNull(), F.col(f"`{text_col}`")))
+    return once.unionByName(more.dropDuplicates(["__own", "__node", "__text"]).drop("__own", "__node", "__text"))

@@ -66,6 +66,16 @@ def test_deduplicate(spark):
     assert md.deduplicate(docs.limit(0)).count() == 0
 
 
+def test_deduplicate_with_repeated_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(3, a, 1), (5, a + " more", 2), (5, b, 3), (7, c, 4), (7, c + " more", 5), (8, c, 6), (9, "", 7), (9, None, 8), (9, "", 9), (5, b.upper(), 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row long")
+    got = sorted(r["row"] for r in md.deduplicate(docs).collect())
+    assert {1} <= set(got) and 2 not in got and 6 not in got
+    assert len({3, 10} & set(got)) == 1 and len({4, 5} & set(got)) == 1  # one row for each component
+    assert 8 in got and len({7, 9} & set(got)) == 1 and len(got) == 5
+
+
 def test_odd_sketches_estimate_similarity():
     rng = np.random.default_rng(3)
     for shared in (400, 300, 100):
