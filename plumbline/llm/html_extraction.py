@@ -3,10 +3,9 @@
 A page is a sequence of tokens: its tags, each known by the path of elements around it, and its runs of
 text. Tokens of one host that occur equally often on each of its pages share an occurrence vector and
 form an equivalence class. Large classes that are on most of a host's pages are the host's template: what
-its pages have in common. As a token's path is part of what it is, the classes nest: an element that holds
-a template token is on at least as many pages. Slots are what pages put between template tokens. A
-slot is dropped if the template elements around it are a menu, header, footer, sidebar, notice, advert,
-form or comments; the other slots' text is the article.
+its pages have in common. The classes are not nested, and slots are not cut between their tags: text
+outside an article that is a template token is dropped, and so is text inside an element that is a menu,
+header, footer, sidebar, notice, advert, form or comments by its own tag and class names; the rest is kept.
 
 Occurrence vectors are compared by a 64-bit sum of hashes of (page, count), which Spark adds up on the
 map side, so that a host of any size costs a row for each token and task. Pages with the same content count as one, so that copies do not
