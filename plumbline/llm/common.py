@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import functools
+import inspect
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +40,34 @@ def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
 
+def frees(function: Callable) -> Callable:
+    """An Arrow function of batches or of arrays that gives memory back to the system after each batch.
+
+    Python workers outlive their tasks, and a stage with several functions has a worker for each. What
+    Arrow's pool and the worker keep for later adds up over the stages of a pipeline.
+    """
+    if not inspect.isgeneratorfunction(function):
+
+        @functools.wraps(function)
+        def whole(*args):
+            out = function(*args)
+            pa.default_memory_pool().release_unused()
+            return out
+
+        return whole
+
+    @functools.wraps(function)
+    def piecewise(*args):
+        try:
+            for out in function(*args):
+                yield out
+                pa.default_memory_pool().release_unused()
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return piecewise
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as Parquet in the shared folder and read it again.
 
@@ -81,6 +112,7 @@ def word_counts(array: pa.Array) -> np.ndarray:
 
 
 @F.arrow_udf(T.LongType())
+@frees
 def word_count(texts: pa.Array) -> pa.Array:
     """Number of words of a text; 0 for null."""
     return pa.array(word_counts(texts), pa.int64())
