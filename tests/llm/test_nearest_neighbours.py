@@ -43,6 +43,45 @@ def test_few_vectors(spark):
     assert nn.search(vectors.where("vec_id = 0"), F.col("vec_id") == 0).count() == 0
 
 
+def _recall(spark, x):
+    ids = list(range(len(x)))
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(6)
+    want, got = _brute(ids, x, range(0, len(x), 20), 10), _rows(nn.search(vectors, F.col("vec_id") % 20 == 0, k=10))
+    assert all(len(got[q]) == 10 for q in want)
+    return sum(len({v for v, _ in got[q]} & {v for v, _ in want[q]}) for q in want) / (10 * len(want))
+
+
+def test_recall_on_clustered_and_skewed_vectors(spark):
+    """Clusters of three to thousands of vectors, tight and wide; whole results wherever a query stands."""
+    rng = np.random.default_rng(7)
+    sizes = [2500, 900, 300, 100, 40, 12, 5, 3, *[8] * 30]
+    x = np.concatenate([rng.normal(size=16) * 9 + rng.normal(size=(n, 16)) * rng.choice([0.01, 0.3, 1.5]) for n in sizes])
+    assert _recall(spark, x[rng.permutation(len(x))]) >= 0.9
+    assert _recall(spark, np.exp(rng.normal(size=(2200, 8)) * 2)) >= 0.9
+
+
+def test_calibration_asks_what_the_tree_has_not_seen(spark, monkeypatch):
+    seen = {}
+    build, calibrate = nn.build_tree, nn._calibrate
+    monkeypatch.setattr(nn, "build_tree", lambda points, *a: seen.setdefault("tree", points) is None or build(points, *a))
+    monkeypatch.setattr(nn, "_calibrate", lambda tree, c, ids, queries, *a: seen.setdefault("asked", queries) is None or calibrate(tree, c, ids, queries, *a))
+    x = np.random.default_rng(3).normal(size=(1500, 4))
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    assert nn.search(vectors, F.col("vec_id") < 3, sample=800).count() == 30
+    assert len(seen["tree"]) > 500 and len(seen["asked"]) == nn.CALIBRATION
+    assert not {tuple(v) for v in seen["tree"]} & {tuple(v) for v in seen["asked"]}
+
+
+def test_one_id_with_different_vectors(spark):
+    """Thirty vectors share the query's id: none of them is its neighbour, and its result is whole all the same."""
+    rows = [(0, [1.0, i / 1000]) for i in range(30)] + [(i, [float(i), 5.0]) for i in range(1, 400)] + [(7, [-40.0, 0.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = nn.search(vectors, F.col("vec_id").isin(0, 7), k=10, recall=0.2).collect()
+    of_7 = sorted((r["rank"], r["vec_id"]) for r in got if r["query_id"] == 7)
+    assert len(got) == 320 and len(of_7) == 20 and all(v != 7 for _, v in of_7)
+    assert {r["vec_id"] for r in got if r["query_id"] == 0} == set(range(1, 11))
+
+
 def test_recall_on_the_whole_table(spark):
     sf = "/root/testdata/sf0.1"
     table = spark.read.parquet(f"{sf}/embeddings.parquet").orderBy("vec_id").toPandas()
@@ -51,5 +90,6 @@ def test_recall_on_the_whole_table(spark):
     want, got = _brute(ids, x, queries, 10), _rows(op8_nearest_neighbours(spark, sf))
     hits = sum(len({v for v, _ in got[q]} & {v for v, _ in want[q]}) for q in queries)
     assert hits / (10 * len(queries)) >= 0.9
+    assert all(len(got[q]) == 10 for q in queries)
     exact = {(q, v): d for q in queries for v, d in zip(ids, np.sqrt(np.square(x - x[ids.index(q)]).sum(axis=1)), strict=True)}
     assert all(exact[q, v] == d for q, found in got.items() for v, d in found)
