@@ -2,13 +2,16 @@
 
 For each language a raw-content dictionary of its words is built. A text is encoded with every
 dictionary, and the language whose dictionary gives the fewest bytes is chosen; if the next one comes
-close, the choice is rejected. Texts are encoded whole, in pieces of `PIECE` words of which each counts
-once, so that a piece draws on the dictionary and not on its own repetitions.
+close, the choice is rejected. Every word of a text is encoded, in pieces of `PIECE` words, so that a piece
+draws on the dictionary and not on what came long before; what lies between words is encoded as one blank,
+as digits, marks and white space belong to no language.
 
 Defined results: a null text or one without a letter is `und`, with score 0, and rejected. Ties go to the
 language with more labelled rows, then to the smaller name. Rows with a null language or a text without
-a letter teach nothing. With no labelled rows at all every text is `und`; with one language it is always
-chosen, with score 0.
+a letter teach nothing; of a very long text `SAMPLE_TEXT` characters teach. Each language with a row that
+teaches is learned. With no such row at all every text is `und`; with one language it is always chosen, with
+score 0. Rows with null or repeated ids teach as others do, repeated rows are told alike, and no column but
+those named is read.
 """
 
 from __future__ import annotations
@@ -22,12 +25,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import frees
+
 UNDETERMINED = "und"
 #: Bytes of a dictionary.
 DICTIONARY_BYTES = 131_072
-#: The labelled sample that dictionaries are built from: rows and characters for each language, at most.
+#: The labelled sample that dictionaries are built from: rows for each language, and characters of a row, at most.
 SAMPLE_ROWS = 600
-SAMPLE_CHARS = 3_000_000
+SAMPLE_TEXT = 20_000
 #: Words encoded at once.
 PIECE = 300
 #: Relative saving over the next best language below which a choice is rejected.
@@ -49,7 +54,7 @@ def train(
     lang_col: str = "lang",
     id_col: str = "doc_id",
     sample_rows: int = SAMPLE_ROWS,
-    sample_chars: int = SAMPLE_CHARS,
+    sample_text: int = SAMPLE_TEXT,
     dictionary_bytes: int = DICTIONARY_BYTES,
 ) -> LanguageModel:
     """Build the dictionaries from a sample of labelled rows, chosen by a hash of the id."""
@@ -57,22 +62,18 @@ def train(
         F.col(f"`{lang_col}`").cast("string").alias("lang"),
         F.col(f"`{text_col}`").alias("text"),
         F.xxhash64(F.col(f"`{id_col}`").cast("string")).alias("hash"),
-    ).where("lang IS NOT NULL")
+    ).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return LanguageModel(())
-    # Twice the wanted rows pass this filter, so that the window below meets a bounded number of them.
+    # Some twice the wanted rows pass this filter, so that the window below meets a bounded number of them.
     rate = F.lit(0.0)
     for lang, n in counts.items():
         rate = F.when(F.col("lang") == lang, F.lit(min(1.0, 2 * sample_rows / n))).otherwise(rate)
-    sample = rows.where(F.pmod("hash", F.lit(1_000_003)) < rate * 1_000_003).where(F.col("text").rlike(r"\p{L}"))
+    taught = F.substring(F.regexp_extract("text", r"(?s)\p{L}.*", 0), 1, sample_text)
+    sample = rows.where(F.pmod("hash", F.lit(1_000_003)) < rate * 1_000_003).select("lang", "hash", taught.alias("text"))
     order = Window.partitionBy("lang").orderBy("hash", "text")
-    sample = (
-        sample.withColumn("row", F.row_number().over(order))
-        .withColumn("chars", F.sum(F.length("text")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        .where((F.col("row") <= sample_rows) & (F.col("chars") <= sample_chars))
-        .select("lang", "row", "text")
-    )
+    sample = sample.withColumn("row", F.row_number().over(order)).where(F.col("row") <= sample_rows).select("lang", "row", "text")
     texts: dict[str, list[tuple[int, str]]] = {}
     for r in sample.collect():
         texts.setdefault(r["lang"], []).append((r["row"], r["text"]))
@@ -117,7 +118,7 @@ def classify(text: str | None, coders: list, min_margin: float) -> tuple[str, fl
     words = _LETTERS.findall(text.lower())
     sizes = [0] * len(coders)
     for k in range(0, len(words), PIECE):
-        piece = " ".join(dict.fromkeys(words[k : k + PIECE])).encode()
+        piece = " ".join(words[k : k + PIECE]).encode()
         for i, (_, coder) in enumerate(coders):
             sizes[i] += len(coder.compress(piece))
     best = min(range(len(sizes)), key=sizes.__getitem__)
@@ -133,6 +134,7 @@ def language(text: Column, model: LanguageModel, min_margin: float = MIN_MARGIN)
     coders: list = []
 
     @F.arrow_udf("struct<lang_pred:string,score:double,rejected:boolean>")
+    @frees
     def identify(texts: pa.Array) -> pa.Array:
         if not coders:
             coders.extend((name, _compressor(content)) for name, content in dictionaries)

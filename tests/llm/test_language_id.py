@@ -37,3 +37,22 @@ def test_held_out_accuracy(spark, sf):
     rows = found.where("held_out").join(truth, "doc_id").select(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()
     assert found.count() == truth.count()
     assert rows[0] > 0.97
+
+
+def test_a_very_long_text_does_not_cost_its_language(spark):
+    rows = [(1, "1 " * 50_000 + "the cat sat on the mat " * 200_000, "en"), (2, "der hund bellt und die katze schweigt", "de"), (None, "le chat dort", "fr"), (None, "le chat dort", "fr")]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert [name for name, _ in model.dictionaries] == ["fr", "de", "en"]
+
+
+def test_whole_texts_are_encoded(spark):
+    """The sizes are those of all words of a text, repeats included, cut into pieces and nowhere else."""
+    model = _model(spark)
+    coders = [(name, language_id._compressor(content)) for name, content in model.dictionaries]
+    text = "Der Hund, 12 the house! " * 400 + "mit dem mann " * 300
+    words = [w.lower() for w in text.replace(",", " ").replace("!", " ").split() if w.isalpha() or w.strip(",!").isalpha()]
+    pieces = [" ".join(words[i : i + language_id.PIECE]).encode() for i in range(0, len(words), language_id.PIECE)]
+    sizes = {name: sum(len(coder.compress(x)) for x in pieces) for name, coder in coders}
+    lang, score, rejected = language_id.classify(text, coders, language_id.MIN_MARGIN)
+    assert lang == min(sizes, key=sizes.get) and score == (max(sizes.values()) - min(sizes.values())) / max(sizes.values())
+    assert rejected == (score < language_id.MIN_MARGIN)
