@@ -1,11 +1,12 @@
 """URL filters: block and allow rules on host suffixes and path prefixes.
 
-Every URL is expanded into (host suffix, path prefix) expressions, the expressions meet the rules in
-an equi-join on a short prefix of their SHA-256, and the full digest, the rule's whole path and the
-precedence (longest rule wins) then decide.
+Every URL is expanded into (host suffix, path prefix) expressions, as deep as any rule goes; the expressions
+meet the rules in an equi-join on a short prefix of their SHA-256, and the full digest, the rule's whole path
+and the precedence (longest rule wins) then decide.
 
 Defined results: a null URL, an empty one or one without `://` has an empty host and path, fits no
-rule and gets the default verdict. Repeated URLs each get their row. A rule with a null host or verdict is
+rule and gets the default verdict. Hosts and paths may have any length. Repeated URLs each get their row, and
+an empty table or one without rules gives rows without rules. A rule with a null host or verdict is
 ignored; a null path counts as empty. Of two rules of equal length the one with the longer host wins,
 then `block` before `allow`. Other columns of the input are kept unless their name clashes with one of
 the four result columns, in which case the result column replaces them.
@@ -34,27 +35,31 @@ def url_path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def host_suffixes(host: Column) -> Column:
-    """The host itself and each suffix that begins after a dot."""
+def host_suffixes(host: Column, most: int) -> Column:
+    """The host itself and each suffix that begins after a dot, of at most so many labels."""
     labels = F.split(host, r"\.")
     return F.transform(
-        F.sequence(F.lit(1), F.size(labels)),
-        lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."),
+        F.sequence(F.lit(1), F.least(F.size(labels), F.lit(max(1, most)))),
+        lambda i: F.array_join(F.slice(labels, -i, i), "."),
     )
 
 
-def slash_prefixes(path: Column) -> Column:
-    """The empty prefix and each prefix of the path that ends in a slash."""
-    parts = F.split(path, "/")
+def slash_prefixes(path: Column, most: int) -> Column:
+    """The empty prefix and each prefix of the path that ends in a slash, of at most so many slashes."""
+    parts = F.split(path, "/", most + 2)
     return F.concat(
         F.array(F.lit("")),
         F.transform(
-            F.filter(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: i > 0),
+            F.filter(F.sequence(F.lit(0), F.least(F.size(parts) - 1, F.lit(most))), lambda i: i > 0),
             lambda i: F.concat(F.array_join(F.slice(parts, 1, i), "/"), F.lit("/")),
         ),
     )
 
 
+def _count(col: str, mark: str) -> Column:
+    return F.length(col) - F.length(F.replace(F.col(col), F.lit(mark), F.lit("")))
+
+
 def _digest(host: Column, prefix: Column) -> Column:
     return F.sha2(F.concat(host, F.lit("\n"), prefix), 256)
 
@@ -83,15 +88,16 @@ def judge_urls(
     kept = [c for c in pages.columns if c not in made]
     url = F.col(f"`{url_col}`")
     judged = pages.select(*[F.col(f"`{c}`") for c in kept], url_host(url).alias("host"), url_path(url).alias("path"))
+    table = indexed_rules(rules)
+    depth = table.agg(F.max(_count("r_host", ".") + 1), F.max(_count("r_path", "/"))).first()
     places = judged.select(F.col("host").alias("__host"), F.col("path").alias("__path")).distinct()
     expressions = (
-        places.withColumn("u_suffix", F.explode(host_suffixes(F.col("__host"))))
-        .withColumn("u_prefix", F.explode(slash_prefixes(F.col("__path"))))
+        places.withColumn("u_suffix", F.explode(host_suffixes(F.col("__host"), depth[0] or 0)))
+        .withColumn("u_prefix", F.explode(slash_prefixes(F.col("__path"), depth[1] or 0)))
         .withColumn("u_digest", _digest(F.col("u_suffix"), F.col("u_prefix")))
         .withColumn("u_short", F.substring("u_digest", 1, SHORT_DIGITS))
         .select("__host", "__path", "u_digest", "u_short")
     )
-    table = indexed_rules(rules)
     if table.limit(broadcast_rules + 1).count() <= broadcast_rules:
         table = F.broadcast(table)
     best = (

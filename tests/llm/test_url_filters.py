@@ -4,7 +4,8 @@ from plumbline.llm import url_filters
 from plumbline.llm.queries import ORACLE_SQL, op10_url_filters
 
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"), ("deep.example.org", "/a/b", "block"), ("any.org", "", "block"), ("any.org", None, "allow"), (None, "/", "block"), ("x", "/", None)]
-URLS = [None, "", "no scheme", "http://A.Example.NET/en/x?y", "http://example.net/en", "http://example.net", "http://notexample.com/de/", "https://sub.example.com/de/1#f", "//x", "http://w.org/fr/", "http://deep.example.org/a/bc", "http://deep.example.org/a/c", "http://any.org", "http://q.any.org?z", "a://b://c.net/", "http://h.net:80/", "http://net/", "http://h.net/" + "d/" * 3000]
+URLS = [None, "", "no scheme", "http://A.Example.NET/en/x?y", "http://example.net/en", "http://example.net", "http://notexample.com/de/", "https://sub.example.com/de/1#f", "//x", "http://w.org/fr/", "http://deep.example.org/a/bc", "http://deep.example.org/a/c", "http://any.org", "http://q.any.org?z", "a://b://c.net/", "http://h.net:80/", "http://net/", "http://h.net/" + "d/" * 3000,
+        "http://example.net/en/" + "/" * 100_000, "http://" + "a." * 50_000 + "example.com/de/", "http://deep.example.org/a/b" + "/c" * 50_000]
 
 
 def _judge(url):
