@@ -6,30 +6,33 @@ is above its cap. Whole repetitions of a source take every document; the fractio
 in the order of a seeded hash, the last of them in part, so that each source meets its target to a word.
 
 Nothing passes through one task or the driver but a few sums: the water level is found from aggregates
-over one row for each source, and the fractional cut of a source from sums over hash buckets, refined
-inside the one bucket that holds the cut.
+over one row for each source, and the fractional cut of a source from sums over 256 hash buckets, then over
+as many buckets of the one that holds the cut, and so on until few rows are left. Words are counted and cut by
+built-in functions.
 
 Defined results: a null or empty text has size 0 and takes 0 words. A null source is a source of its own,
 after all others. A null id is hashed as the text `null`. Rows alike in source, id and size share what is
-left at the cut equally, rounded down. Empty input gives an empty result.
+left at the cut equally, rounded down. A source without a weight is left out of the mix; a size of 0 of a
+whole source gives it the target 0. Texts may have any length. Empty input gives an empty result. Columns of
+the documents keep their names, whatever these are.
 """
 
 from __future__ import annotations
 
-import re
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import WORD, global_rank, saved, word_count
+from .common import SPACE, SPACES, WORD, global_rank, saved
 
 #: At most this many sources are broadcast to the documents; more are joined by a shuffle.
 BROADCAST_SOURCES = 100_000
-#: Documents that one hash bucket of a source holds on average, at most.
+#: Documents of the last bucket that holds a source's cut, at most (but for documents alike in hash).
 BUCKET_ROWS = 2_000
+#: Hex digits by which buckets are refined at a time: 256 buckets.
+DIGITS = 2
+#: Hex digits of a document's hash.
+KEY_DIGITS = 32
 
 
 def cycled_weights(sources: DataFrame, cycle: int = 3) -> DataFrame:
@@ -73,10 +76,7 @@ def source_plan(sized: DataFrame, weights: DataFrame | None, max_epochs: int) ->
     `sized` has mix_source, mix_id, mix_size and mix_key for each document.
     """
     totals = saved(
-        sized.groupBy(F.col("mix_source").alias("source")).agg(
-            F.sum("mix_size").alias("source_size"), F.count(F.lit(1)).alias("n_docs")
-        ),
-        "mix-sources",
+        sized.groupBy(F.col("mix_source").alias("source")).agg(F.sum("mix_size").alias("source_size")), "mix-sources"
     )
     if weights is None:
         weights = cycled_weights(totals)
@@ -87,27 +87,11 @@ def source_plan(sized: DataFrame, weights: DataFrame | None, max_epochs: int) ->
     filled = water_fill(saved(weighed, "mix-weights"), max_epochs)
     words = F.floor(F.col("target") + 0.5)
     whole = F.when(F.col("source_size") > 0, F.floor(words / F.col("source_size"))).otherwise(0)
-    digits = F.greatest(F.lit(0), F.ceil(F.log(16.0, F.col("n_docs") / BUCKET_ROWS))).cast("int")
-    plan = (
-        filled.withColumn("whole", whole.cast("long"))
-        .withColumn("extra", (words - F.col("whole") * F.col("source_size")).cast("long"))
-        .withColumn("digits", digits)
-    )
+    plan = filled.withColumn("whole", whole.cast("long")).withColumn("extra", (words - F.col("whole") * F.col("source_size")).cast("long"))
     plan = saved(plan, "mix-targets")
-    narrow = with_sources(sized, plan.select("source", "extra", "digits")).withColumn(
-        "bucket", F.expr("substr(mix_key, 1, digits)")
-    )
-    buckets = narrow.groupBy("source", "extra", "bucket").agg(F.sum("mix_size").alias("held"))
-    running = Window.partitionBy("source").orderBy("bucket")
-    before = F.coalesce(F.sum("held").over(running.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cut_bucket = (
-        buckets.withColumn("before", before)
-        .where((F.col("before") <= F.col("extra")) & (F.col("extra") < F.col("before") + F.col("held")))
-        .select(F.col("source").alias("c_source"), F.col("bucket").alias("c_bucket"), "before")
-    )
-    cut_bucket = saved(cut_bucket, "mix-buckets")
-    same = F.col("source").eqNullSafe(F.col("c_source")) & (F.col("bucket") == F.col("c_bucket"))
-    inside = narrow.join(bounded_broadcast(cut_bucket), same)
+    cuts = cut_buckets(sized, plan)
+    same = F.col("mix_source").eqNullSafe(F.col("c_source")) & F.col("mix_key").startswith(F.col("c_bucket"))
+    inside = sized.join(bounded_broadcast(cuts), same)
     ties = (
         inside.groupBy("c_source", "extra", "before", "mix_key", "mix_id", "mix_size")
         .agg(F.count(F.lit(1)).alias("n"))
@@ -126,7 +110,27 @@ def source_plan(sized: DataFrame, weights: DataFrame | None, max_epochs: int) ->
             F.floor((F.col("extra") - F.col("prior")) / F.col("n")).cast("long").alias("cut_words"),
         )
     )
-    return plan.join(cut, F.col("source").eqNullSafe(F.col("c_source")), "left").drop("c_source", "digits")
+    return plan.join(cut, F.col("source").eqNullSafe(F.col("c_source")), "left").drop("c_source")
+
+
+def cut_buckets(sized: DataFrame, plan: DataFrame) -> DataFrame:
+    """The bucket of hashes that holds each source's cut, and the words before it: c_source, extra, c_bucket, before.
+
+    Each round splits the buckets at hand into `16 ** DIGITS`; one number of it reaches the driver.
+    """
+    cuts = plan.select(F.col("source").alias("c_source"), "extra", F.lit("").alias("c_bucket"), F.lit(0).cast("long").alias("before"))
+    for digits in range(DIGITS, KEY_DIGITS + 1, DIGITS):
+        same = F.col("mix_source").eqNullSafe(F.col("c_source")) & F.col("mix_key").startswith(F.col("c_bucket"))
+        finer = sized.join(bounded_broadcast(cuts), same).groupBy("c_source", "extra", "before", F.substring("mix_key", 1, digits).alias("bucket"))
+        finer = finer.agg(F.sum("mix_size").alias("held"), F.count(F.lit(1)).alias("n"))
+        running = Window.partitionBy("c_source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+        finer = finer.withColumn("upto", F.col("before") + F.coalesce(F.sum("held").over(running), F.lit(0)))
+        here = (F.col("upto") <= F.col("extra")) & (F.col("extra") < F.col("upto") + F.col("held"))
+        found = saved(finer.where(here).select("c_source", "extra", F.col("bucket").alias("c_bucket"), F.col("upto").alias("before"), "n"), "mix-buckets")
+        cuts = found.drop("n")
+        if (found.agg(F.max("n")).first()[0] or 0) <= BUCKET_ROWS:
+            break
+    return cuts
 
 
 def bounded_broadcast(table: DataFrame) -> DataFrame:
@@ -161,16 +165,16 @@ def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: i
     ]
 
 
-@F.arrow_udf(T.StringType())
-def first_words(texts: pa.Array, n: pa.Array) -> pa.Array:
-    """The first n words of a text with the white space between them."""
-    out = []
-    for text, k in zip(texts.to_pylist(), n.to_pylist(), strict=True):
-        if text is not None:
-            end = [m.end() for m, _ in zip(re.finditer(WORD, text), range(k))]
-            text = text[: end[-1]] if end else ""
-        out.append(text)
-    return pa.array(out, pa.string())
+def word_count(text: Column) -> Column:
+    """Number of words of a text; 0 for null. Each word becomes one mark, and the marks are counted."""
+    marks = F.translate(F.regexp_replace(text, WORD, "x"), SPACES, "")
+    return F.coalesce(F.length(marks), F.lit(0)).cast("long")
+
+
+def first_words(text: Column, n: Column) -> Column:
+    """The first n words of a text with the white space before and between them."""
+    words = F.regexp_extract_all(text, F.lit(f"([{SPACE}]*{WORD})"), 1)
+    return F.array_join(F.slice(words, F.lit(1), n.cast("int")), "")
 
 
 def mix_counts(
@@ -227,10 +231,8 @@ def mixed_documents(
             )
         ).alias("n"),
     )
-    # Only the few cut texts reach the Python function; for all others it gets a null.
-    uncut = F.col("n") == F.col("mix_size")
-    cut_text = first_words(F.when(~uncut, F.col(f"doc.`{text_col}`")), F.col("n"))
-    text = F.when(uncut, F.col(f"doc.`{text_col}`")).otherwise(cut_text)
+    whole_text = F.col(f"doc.`{text_col}`")
+    text = F.when(F.col("n") == F.col("mix_size"), whole_text).otherwise(first_words(whole_text, F.col("n")))
     out = []
     for c in docs.columns:
         if c == text_col:

@@ -1,5 +1,6 @@
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline.llm import source_mixing
 from plumbline.llm.queries import ORACLE_SQL, op2_source_mixing
@@ -60,3 +61,24 @@ def test_query_against_sql(spark, sf):
     want = duckdb.sql(ORACLE_SQL["op2_source_mixing"]).fetchall()
     got = [tuple(r) for r in op2_source_mixing(spark, sf).collect()]
     assert sorted(want) == sorted(got)
+
+
+def test_the_cut_does_not_depend_on_how_buckets_are_refined(spark, monkeypatch):
+    rows = [(i, "w " * (i % 7 + 1), f"s{i % 3}") for i in range(400)] + [(None, "a b", "s1")] * 30
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    once = sorted(map(str, source_mixing.mix_counts(docs).collect()))
+    monkeypatch.setattr(source_mixing, "BUCKET_ROWS", 3)
+    monkeypatch.setattr(source_mixing, "DIGITS", 1)
+    assert sorted(map(str, source_mixing.mix_counts(docs).collect())) == once
+
+
+def test_words_are_counted_and_cut_as_the_pattern_says(spark):
+    import re
+
+    texts = [None, "", " \t\n\x0b\x0c\r", "a", " a b  c d\x1ce\n", "x" * 50_000 + " y" * 50_000, "\x85a \x00 b", "\U0001f600 ́e\r\nf$1 \\2"]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").withColumn("text", F.col("text"))
+    found = docs.select("text", source_mixing.word_count(F.col("text")).alias("n"), source_mixing.first_words(F.col("text"), F.lit(2)).alias("two")).collect()
+    for r in found:
+        words = [m.end() for m in re.finditer(r"[^\x20\x09-\x0D]+", r["text"] or "")]
+        assert r["n"] == len(words)
+        assert (r["two"] or "") == ((r["text"] or "")[: words[:2][-1]] if words else "")
