@@ -9,8 +9,9 @@ confirmed links are joined into components.
 A bucket's pairs are not all compared at once. First each bucket's nodes meet its smallest one, then, where
 a bucket still spans several components, the node with most confirmed links (the likely original of a
 group of copies). What remains between different components of a bucket is compared in blocks of bounded
-size by finer sketches, and every pair that passes is confirmed. So no link between components is passed over, and
-a large group of copies costs some pairs for each of its members. With 26 bands of 4 values a link of
+size by finer sketches: of two components first the pair that looks most alike is confirmed, again while that
+joins any, and then every other pair that passes. So no link between components is passed over, and a large
+group of copies costs some pairs for each of its members. With 26 bands of 4 values a link of
 similarity 0.80 shares no bucket with probability 1e-6; so does one of 0.85 with 24 bands of 5.
 
 Texts travel only for documents of candidate pairs. Edges, labels and buckets stay in Spark tables.
@@ -18,13 +19,13 @@ Texts travel only for documents of candidate pairs. Edges, labels and buckets st
 Defined results: a null text or one without a word has an empty set, is linked with nothing and is its own
 component. With fewer words than a shingle the whole sequence is the one shingle. Rows with a null id take
 part, but a component's id is its smallest other id (null if it has none), and `kept` is false for them.
-Rows with equal ids are separate documents. `deduplicate` removes no row with a null id, and of rows alike
+Rows with equal ids are separate documents. An empty table gives an empty result; `near_duplicates` reads no
+column but the two named, and `deduplicate` keeps all columns under their names. `deduplicate` removes no row with a null id, and of rows alike
 in id and text, or in id and set, it keeps one, and none but one with an id of each component.
 """
 
 from __future__ import annotations
 
-from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import frees, saved
 
 SHINGLE_WORDS = 5
 PERCENT = 80
@@ -48,6 +49,8 @@ FINE_WORDS = 64
 SLACK = 5.0
 #: Nodes of a block when all pairs of a bucket are compared by sketch.
 BLOCK = 512
+#: Pairs of one hub that its text goes to together, about.
+HUB_PAIRS = 1000
 #: Candidate nodes are broadcast to the documents while there are at most so many.
 BROADCAST_NODES = 400_000
 
@@ -114,6 +117,7 @@ def most_differing_bits(similarity: float, count: int, words: int = SKETCH_WORDS
 def _nodes(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
     """A row for each document: id, set size, 128-bit fingerprint of its set, bands' buckets, sketch."""
 
+    @frees
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = _constants(bands, 37)
         for batch in batches:
@@ -158,31 +162,37 @@ def _sizes_allow(a: str, b: str, percent: int) -> Column:
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose full shingle sets are similar enough."""
+    """Those of the pairs (a, b, hub) whose full shingle sets are similar enough, as (a, b).
 
-    @F.arrow_udf("boolean")
-    def similar(left: pa.Array, right: pa.Array) -> pa.Array:
-        kept: OrderedDict[str, np.ndarray] = OrderedDict()
-
-        def of(text: str) -> np.ndarray:
-            if text not in kept:
-                kept[text] = shingle_set(text, width)
-                if len(kept) > 64:
-                    kept.popitem(last=False)
-            else:
-                kept.move_to_end(text)
-            return kept[text]
-
-        out = []
-        for x, y in zip(left, right, strict=True):
-            p, q = of(x.as_py()), of(y.as_py())
-            common = len(np.intersect1d(p, q, assume_unique=True))
-            out.append(100 * common >= percent * (len(p) + len(q) - common))
-        return pa.array(out, pa.bool_())
+    `hub` is one of the two, which many pairs may share. Its text goes once to each `HUB_PAIRS` of its pairs
+    and stands before the others' texts in their order, so that a task holds two sets at a time.
+    """
 
-    with_a = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    both = with_a.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    return both.select("a", "b", similar(F.col("text_a"), F.col("text_b")).alias("ok")).where("ok").select("a", "b")
+    @frees
+    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        around = np.zeros(0, np.uint64)
+        for batch in batches:
+            hubs, nodes = [], []
+            for hub, turn, node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+                own = shingle_set(text.as_py(), width)
+                if not turn:
+                    around = own
+                    continue
+                common = len(np.intersect1d(around, own, assume_unique=True))
+                if 100 * common >= percent * (len(around) + len(own) - common):
+                    hubs.append(hub)
+                    nodes.append(node)
+            yield pa.RecordBatch.from_arrays([pa.array(hubs, pa.binary()), pa.array(nodes, pa.binary())], names=["hub", "node"])
+
+    pairs = pairs.select("hub", F.when(F.col("hub") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("other"))
+    parts = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / HUB_PAIRS).alias("parts"))
+    pairs = pairs.join(parts, "hub").select("hub", "other", F.pmod(F.xxhash64("other"), F.col("parts")).alias("part"))
+    known = texts.select(F.col("node").alias("of"), "text")
+    others = pairs.join(known, F.col("other") == F.col("of")).select("hub", "part", F.lit(1).alias("turn"), F.col("other").alias("node"), "text")
+    hubs = pairs.select("hub", "part").distinct().join(known, F.col("hub") == F.col("of"))
+    rows = others.unionByName(hubs.select("hub", "part", F.lit(0).alias("turn"), F.col("hub").alias("node"), "text"))
+    rows = rows.repartition("hub", "part").sortWithinPartitions("hub", "part", "turn").select("hub", "turn", "node", "text")
+    return rows.mapInArrow(similar, "hub binary, node binary").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
 
 
 def _texts_of(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
@@ -192,6 +202,7 @@ def _texts_of(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
         wanted = F.broadcast(wanted)
     found = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text")
 
+    @frees
     def same_set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = [
@@ -200,14 +211,17 @@ def _texts_of(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
             ]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    checked = found.mapInArrow(same_set, "node binary, text string")
+    checked = saved(found.mapInArrow(same_set, "node binary, text string"), "dedup-texts")
     # Ids are unique as a rule; where they are not, a node may have found several texts with its set.
-    return saved(checked, "dedup-texts").dropDuplicates(["node"])
+    if checked.groupBy("node").count().where("count > 1").limit(1).count():
+        checked = saved(checked.dropDuplicates(["node"]), "dedup-texts")
+    return checked
 
 
 def _fine_sketches(texts: DataFrame, width: int) -> DataFrame:
     """A finer odd sketch of each node from its text."""
 
+    @frees
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [odd_sketch(minhash(shingle_set(t.as_py(), width), FINE_VALUES), FINE_WORDS) for t in batch.column(1)]
@@ -275,7 +289,12 @@ def _judged(docs: DataFrame, shingle_words: int, percent: int, id_col: str, text
         a = known.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"))
         b = known.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b"))
         near = pairs.join(a, "a").join(b, "b")
-        return near.where(_sizes_allow("n_a", "n_b", percent) & (_differing_bits("sketch_a", "sketch_b") <= most)).select("a", "b")
+        return near.where(_sizes_allow("n_a", "n_b", percent) & (_differing_bits("sketch_a", "sketch_b") <= most)).select("a", "b", "hub")
+
+    def with_hub(found: DataFrame) -> DataFrame:
+        """Pairs (a < b) of found nodes and hubs, each once."""
+        pairs = found.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"), "hub")
+        return pairs.groupBy("a", "b").agg(F.min("hub").alias("hub"))
 
     def texts_for(wanted: DataFrame) -> DataFrame:
         """Texts of the nodes wanted and of those wanted before."""
@@ -297,8 +316,7 @@ def _judged(docs: DataFrame, shingle_words: int, percent: int, id_col: str, text
         return links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
     # First every member against the smallest one of its bucket.
-    stars = members.where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-    tested = saved(passing(stars), "dedup-pairs")
+    tested = saved(passing(with_hub(members.where("node <> hub"))), "dedup-pairs")
     links = confirmed(tested)
 
     # Then against the member with most links, where a bucket's members have not all the same smallest neighbour.
@@ -308,8 +326,7 @@ def _judged(docs: DataFrame, shingle_words: int, percent: int, id_col: str, text
     near = near.select("bucket", "node", F.coalesce("degree", F.lit(0)).alias("degree"), F.coalesce("low", "node").alias("low"))
     split = near.groupBy("bucket").agg(F.min("low").alias("l"), F.max("low").alias("h"), F.max(F.struct("degree", "node", "low")).alias("s"))
     split = split.where("l <> h").select("bucket", F.col("s.node").alias("hub"), F.col("s.low").alias("hub_low"))
-    again = near.join(split, "bucket").where("node <> hub AND low <> hub_low")
-    again = again.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    again = with_hub(near.join(split, "bucket").where("node <> hub AND low <> hub_low"))
     second = saved(passing(again.join(tested, ["a", "b"], "left_anti")), "dedup-pairs")
     if second.limit(1).count():
         links = links.unionByName(confirmed(second))
@@ -317,25 +334,50 @@ def _judged(docs: DataFrame, shingle_words: int, percent: int, id_col: str, text
     labels = components(links)
 
     # At last everything that is still apart in a bucket, in blocks and by finer sketches.
-    named = members.select("bucket", "node", "m").join(labels, "node", "left")
-    named = named.select("bucket", "node", "m", F.coalesce("component", "node").alias("component"))
-    apart = named.groupBy("bucket").agg(F.min("component").alias("l"), F.max("component").alias("h")).where("l <> h").select("bucket")
-    rest = saved(named.join(apart, "bucket"), "dedup-rest")
-    open_nodes = rest.select("node").distinct()
+    def apart_in(labels: DataFrame) -> DataFrame:
+        named = members.select("bucket", "node", "m").join(labels, "node", "left")
+        named = named.select("bucket", "node", "m", F.coalesce("component", "node").alias("component"))
+        apart = named.groupBy("bucket").agg(F.min("component").alias("l"), F.max("component").alias("h")).where("l <> h").select("bucket")
+        return named.join(apart, "bucket")
+
+    open_nodes = saved(apart_in(labels).select("node").distinct(), "dedup-open")
     fine = saved(_fine_sketches(texts_for(open_nodes).join(open_nodes, "node", "left_semi"), shingle_words), "dedup-sketches")
-    rest = rest.join(known.select("node", "n", "sketch").join(fine, "node"), "node")
-    own = rest.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    x = own.select("bucket", F.col("block").alias("i"), F.explode(F.expr("sequence(block, blocks - 1)")).alias("j"),
-                   F.col("node").alias("a"), F.col("component").alias("c_a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"), F.col("fine").alias("fine_a"))
-    y = own.select("bucket", F.explode(F.expr("sequence(0, block)")).alias("i"), F.col("block").alias("j"),
-                   F.col("node").alias("b"), F.col("component").alias("c_b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b"), F.col("fine").alias("fine_b"))
+    sketches = saved(known.select("node", "n", "sketch").join(fine, "node"), "dedup-sketches")
     alike = (F.col("c_a") != F.col("c_b")) & _sizes_allow("n_a", "n_b", percent) & (_differing_bits("sketch_a", "sketch_b") <= most)
     alike &= _differing_bits("fine_a", "fine_b", FINE_WORDS) <= most_differing_bits(percent / 100, FINE_VALUES, FINE_WORDS)
-    order = (F.col("i") < F.col("j")) | (F.col("a") < F.col("b"))
-    pairs = x.join(y, ["bucket", "i", "j"]).where(order & alike).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    third = saved(pairs.join(tested, ["a", "b"], "left_anti"), "dedup-pairs")
-    if third.limit(1).count():
-        more = confirmed(third)
+
+    def across(labels: DataFrame) -> DataFrame:
+        """Pairs of different components of a bucket that pass both sketches: a, b, c_a, c_b, differing bits."""
+        own = apart_in(labels).join(sketches, "node").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
+        own = own.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        x = own.select("bucket", F.col("block").alias("i"), F.explode(F.expr("sequence(block, blocks - 1)")).alias("j"),
+                       F.col("node").alias("a"), F.col("component").alias("c_a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"), F.col("fine").alias("fine_a"))
+        y = own.select("bucket", F.explode(F.expr("sequence(0, block)")).alias("i"), F.col("block").alias("j"),
+                       F.col("node").alias("b"), F.col("component").alias("c_b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b"), F.col("fine").alias("fine_b"))
+        order = (F.col("i") < F.col("j")) | (F.col("a") < F.col("b"))
+        return x.join(y, ["bucket", "i", "j"]).where(order & alike).select(
+            F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("c_a", "c_b").alias("c_a"), F.greatest("c_a", "c_b").alias("c_b"),
+            _differing_bits("fine_a", "fine_b", FINE_WORDS).alias("bits"),
+        )
+
+    # Of two components first the pair that looks most alike, again and again while that joins any; then all that
+    # is left, which is many pairs only where many are within the sketches' error of the threshold.
+    while True:
+        closest = across(labels).groupBy("c_a", "c_b").agg(F.min_by(F.struct("a", "b"), F.struct("bits", "a", "b")).alias("p"))
+        closest = closest.select("p.a", "p.b", F.col("p.a").alias("hub")).join(tested, ["a", "b"], "left_anti")
+        closest = saved(closest, "dedup-pairs")
+        if not closest.limit(1).count():
+            break
+        tested = tested.unionByName(closest)
+        more = confirmed(closest)
+        if not more.limit(1).count():
+            break
+        links = links.unionByName(more)
+        labels = components(links)
+    rest = across(labels).select("a", "b", F.col("a").alias("hub")).distinct().join(tested, ["a", "b"], "left_anti")
+    rest = saved(rest, "dedup-pairs")
+    if rest.limit(1).count():
+        more = confirmed(rest)
         if more.limit(1).count():
             labels = components(links.unionByName(more))
 
@@ -373,6 +415,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     once = docs.join(repeated, own == F.col("__again"), "left_anti").join(few(gone), own == F.col("__gone"), "left_anti")
 
     @F.arrow_udf("binary")
+    @frees
     def set_print(texts: pa.Array) -> pa.Array:
         sets = (shingle_set(text.as_py(), how["shingle_words"]) for text in texts)
         return pa.array([xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets], pa.binary())

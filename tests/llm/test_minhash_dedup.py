@@ -92,3 +92,21 @@ def test_query_whole_table(spark, sf):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     got = op9_minhash_dedup(spark, sf).collect()
     assert sorted(tuple(r)[:3] for r in got) == sorted(_brute(rows, 3, 85))
+
+
+def test_small_blocks_and_shared_hubs(spark, monkeypatch):
+    """Texts that lie about the threshold of each other, a hub of many pairs, blocks of a few nodes."""
+    monkeypatch.setattr(md, "HUB_PAIRS", 3)
+    monkeypatch.setattr(md, "BLOCK", 4)
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for k in range(60):
+        copy = list(base)
+        for i in range(k % 5):  # two words changed between two texts are within the threshold, three are not
+            copy[rng.randrange(len(copy))] = f"x{k % 20}y{i}"
+        rows.append((k, " ".join(copy)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = md.near_duplicates(docs).collect()
+    assert sorted(tuple(r)[:3] for r in got) == sorted(_brute(rows, 5, 80))
+    assert 2 < len({r["component_id"] for r in got}) < 60
