@@ -2,31 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage of an iteration by a reliable checkpoint in the shared folder."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-shared-"))
-    return df.checkpoint()
+from .lineage import cut
 
 
 def reachable(edges: DataFrame, roots: DataFrame, src: str, dst: str) -> DataFrame:
     """Nodes that can be reached from the roots (`node`), with the fewest steps (`depth`): breadth-first."""
-    found = _cut(roots.select(F.col(roots.columns[0]).alias("node")).distinct().withColumn("depth", F.lit(0)))
+    found = cut(roots.select(F.col(roots.columns[0]).alias("node")).distinct().withColumn("depth", F.lit(0)))
     front, depth = found, 0
     while True:
         depth += 1
         ahead = front.join(edges, F.col("node") == F.col(src)).select(F.col(dst).alias("node")).distinct()
-        front = _cut(ahead.join(found.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
+        front = cut(ahead.join(found.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
         if not front.limit(1).count():
             return found
-        found = _cut(found.unionByName(front))
+        found = cut(found.unionByName(front))
 
 
 def unreachable(nodes: DataFrame, node: str, edges: DataFrame, roots: DataFrame, src: str, dst: str) -> DataFrame:
@@ -39,12 +31,12 @@ def in_cycles(edges: DataFrame, src: str, dst: str) -> DataFrame:
 
     There are none exactly if the graph has no cycle; what is left lies on cycles or between them.
     """
-    left = _cut(edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).distinct())
+    left = cut(edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).distinct())
     n = left.count()
     while n:
         inner = left.join(left.select(F.col("b").alias("a")).distinct(), "a", "left_semi")
         inner = inner.join(left.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b")
-        left = _cut(inner)
+        left = cut(inner)
         now = left.count()
         if now == n:
             break
@@ -55,13 +47,13 @@ def in_cycles(edges: DataFrame, src: str, dst: str) -> DataFrame:
 def components(nodes: DataFrame, node: str, edges: DataFrame, src: str, dst: str) -> DataFrame:
     """Each node with the smallest node of its connected component: labels spread and are shortened in turn."""
     pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b"))
-    both = _cut(pairs.union(edges.select(F.col(dst), F.col(src))).distinct())
-    labels = _cut(nodes.select(F.col(node).alias("node"), F.col(node).alias("component")).distinct())
+    both = cut(pairs.union(edges.select(F.col(dst), F.col(src))).distinct())
+    labels = cut(nodes.select(F.col(node).alias("node"), F.col(node).alias("component")).distinct())
     while True:
         near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("component").alias("m"))
         lower = labels.join(near, F.col("node") == F.col("a"), "left").select("node", F.col("component").alias("was"), F.least("component", "m").alias("now"))
         up = labels.select(F.col("node").alias("__n"), F.col("component").alias("__c"))
-        after = _cut(lower.join(up, F.col("now") == F.col("__n"), "left").select("node", "was", F.least("now", "__c").alias("component")))
+        after = cut(lower.join(up, F.col("now") == F.col("__n"), "left").select("node", "was", F.least("now", "__c").alias("component")))
         labels = after.select("node", "component")
         if not after.where("was <> component").limit(1).count():
             return labels
@@ -76,18 +68,18 @@ def suppress(items: DataFrame, item: str, rank: str, pairs: DataFrame) -> DataFr
     ranks = items.select(F.col(item).alias("id"), F.col(rank).alias("r"))
     both = pairs.select("a", "b").union(pairs.select(F.col("b"), F.col("a"))).distinct()
     first = both.join(ranks.withColumnsRenamed({"id": "a", "r": "ra"}), "a").join(ranks.withColumnsRenamed({"id": "b", "r": "rb"}), "b")
-    edges = _cut(first.where("ra < rb").select(F.col("a").alias("before"), F.col("b").alias("id")))
+    edges = cut(first.where("ra < rb").select(F.col("a").alias("before"), F.col("b").alias("id")))
     # Items without any earlier duplicate are kept; only the others take part in the rounds.
-    left = _cut(edges.select("id").distinct())
+    left = cut(edges.select("id").distinct())
     dropped = left.limit(0)
     while left.limit(1).count():
         blocked = edges.select("id").distinct()
         free = edges.select(F.col("before").alias("id")).distinct().join(blocked, "id", "left_anti")
-        out = _cut(edges.join(free.withColumnRenamed("id", "before"), "before", "left_semi").select("id").distinct())
+        out = cut(edges.join(free.withColumnRenamed("id", "before"), "before", "left_semi").select("id").distinct())
         dropped = dropped.union(out)
         # Neither what a dropped item suppressed nor what suppressed it counts any more.
         edges = edges.join(out, "id", "left_anti").join(out.withColumnRenamed("id", "before"), "before", "left_anti")
-        edges = _cut(edges.select("before", "id"))
+        edges = cut(edges.select("before", "id"))
         left = edges.select("id")
     gone = dropped.distinct().withColumnRenamed("id", "__gone")
     return items.join(gone, F.col(item) == F.col("__gone"), "left").withColumn("kept", F.col("__gone").isNull()).drop("__gone")
@@ -101,26 +93,26 @@ def greedy_matching(edges: DataFrame, a: str, b: str, cost: str) -> DataFrame:
     """
     low, high = F.least(a, b), F.greatest(a, b)
     left = edges.where(F.col(a) != F.col(b)).select(low.alias("a"), high.alias("b"), F.col(cost).alias("cost"))
-    left = _cut(left.groupBy("a", "b").agg(F.min("cost").alias("cost")))
+    left = cut(left.groupBy("a", "b").agg(F.min("cost").alias("cost")))
     picked = left.limit(0)
     while left.limit(1).count():
         ends = left.select(F.col("a").alias("node"), F.struct("cost", "a", "b").alias("e")).union(left.select("b", F.struct("cost", "a", "b")))
         first = ends.groupBy("node").agg(F.min("e").alias("e"))
-        both = _cut(first.groupBy("e").agg(F.count(F.lit(1)).alias("n")).where("n = 2").select("e.a", "e.b", "e.cost"))
+        both = cut(first.groupBy("e").agg(F.count(F.lit(1)).alias("n")).where("n = 2").select("e.a", "e.b", "e.cost"))
         picked = picked.union(both)
         used = both.select(F.col("a").alias("__u")).union(both.select("b"))
         left = left.join(used, F.col("a") == F.col("__u"), "left_anti").join(used, F.col("b") == F.col("__u"), "left_anti")
-        left = _cut(left)
+        left = cut(left)
     return picked
 
 
 def ancestors(edges: DataFrame, child: str, parent: str) -> DataFrame:
     """All (node, ancestor) pairs of an acyclic graph, by doubling paths: as many rounds as the depth has bits."""
-    pairs = _cut(edges.select(F.col(child).alias("node"), F.col(parent).alias("ancestor")).distinct())
+    pairs = cut(edges.select(F.col(child).alias("node"), F.col(parent).alias("ancestor")).distinct())
     n = pairs.count()
     while True:
         longer = pairs.join(pairs.withColumnsRenamed({"node": "__m", "ancestor": "__a"}), F.col("ancestor") == F.col("__m"))
-        pairs = _cut(pairs.union(longer.select("node", "__a")).distinct())
+        pairs = cut(pairs.union(longer.select("node", "__a")).distinct())
         now = pairs.count()
         if now == n:
             return pairs

@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from plumbline.functions.geometry import feather_weight, quantise
 
-from .graph import _cut
+from .lineage import cut
 
 
 def visible(scales: list[str], opacity: str, most_scale: float, least_opacity: float, most_ratio: float) -> Column:
@@ -78,7 +78,7 @@ def split_tree(df: DataFrame, row_id: str, axes: list[str], leaf_rows: int, most
     where it has no extent. Each level is one aggregate and one projection over all rows;
     rows of finished leaves are left alone.
     """
-    work, done, depth = _cut(df.withColumn("node", F.lit(""))), None, 0
+    work, done, depth = cut(df.withColumn("node", F.lit(""))), None, 0
     while True:
         sizes = work.groupBy("node").agg(F.count(F.lit(1)).alias("__n"), *[F.min(a).alias(f"__lo_{a}") for a in axes], *[F.max(a).alias(f"__hi_{a}") for a in axes])
         joined = work.join(sizes, "node")
@@ -95,7 +95,7 @@ def split_tree(df: DataFrame, row_id: str, axes: list[str], leaf_rows: int, most
         # Only a node without extent has an empty half; it is halved by a hash of id and depth.
         flat = F.coalesce(longest["s"], F.lit(0.0)) <= 0
         sided = sided.withColumn("__side", F.when(flat, F.pmod(F.xxhash64(row_id, F.lit(depth)), F.lit(2))).otherwise(F.col("__side")))
-        work = _cut(sided.withColumn("node", F.concat("node", F.col("__side").cast("string"))).select(*work.columns))
+        work = cut(sided.withColumn("node", F.concat("node", F.col("__side").cast("string"))).select(*work.columns))
         depth += 1
 
 

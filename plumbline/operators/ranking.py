@@ -6,14 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .lineage import cut
+
 
 def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
     """Add each row's rank (from 1) in the order, which must be total.
 
     Rows are range-partitioned by the order and numbered in their partition; the partitions' row counts, one
-    number each, give the offsets. The range bounds are sampled once, as both uses share one exchange.
+    number each, give the offsets. The partitioned rows are checkpointed, as both uses must see the same ranges.
     """
-    placed = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()).persist()
+    placed = cut(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
     sizes = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     before = sizes.select(
         F.col("__part").alias("__p"),

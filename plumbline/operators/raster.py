@@ -7,13 +7,14 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .statistics import finite
+from .statistics import finite, quantiles
 
 
 def stretched(raster: DataFrame, low: float = 0.02, high: float = 0.98, keys: tuple[str, ...] = ()) -> DataFrame:
     """Add `shown`: v from its low to its high percentile (of each key, say a band) as 0 to 255; no range gives 0."""
-    q = raster.groupBy(*keys).agg(F.percentile(finite(F.col("v")), low).alias("__lo"), F.percentile(finite(F.col("v")), high).alias("__hi"))
-    joined = raster.join(F.broadcast(q), list(keys)) if keys else raster.join(F.broadcast(q))
+    on = list(keys)
+    q = quantiles(raster, on, F.col("v"), {"__lo": ("linear", low), "__hi": ("linear", high)})
+    joined = raster.join(q, on) if keys else raster.join(F.broadcast(q))
     scaled = (finite(F.col("v")) - F.col("__lo")) / F.nullif(F.col("__hi") - F.col("__lo"), F.lit(0.0))
     shown = F.rint(F.least(F.lit(1.0), F.greatest(F.lit(0.0), scaled)) * 255)
     return joined.withColumn("shown", F.when(finite(F.col("v")).isNotNull(), F.coalesce(shown, F.lit(0.0)).cast("int"))).drop("__lo", "__hi")

@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .lineage import cut
+from .ranking import global_rank
+
 
 def feature_search(
     df: DataFrame,
@@ -42,11 +45,29 @@ def folded_contains(df: DataFrame, cols: list[str], needle: str) -> DataFrame:
     return df.where(F.contains(F.lower(F.concat_ws(" ", *cols)), F.lit(needle.lower())))
 
 
+#: Rows, and then digests, that one digest of `revision_hash` folds.
+FOLD = 1000
+
+
 def revision_hash(df: DataFrame, key: str, order: str, cols: list[str]) -> DataFrame:
-    """A SHA-256 of each key's rows, folded in order: equal exactly if the rows are."""
-    row = F.struct(F.col(order).alias("o"), F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols]).alias("s"))
-    rows = F.transform(F.array_sort(F.collect_list(row)), lambda r: r["s"])
-    return df.groupBy(key).agg(F.sha2(F.array_join(rows, "|"), 256).alias("revision"), F.count(F.lit(1)).alias("n_rows"))
+    """A SHA-256 of each key's rows, folded in order (a total one): equal exactly if the rows are.
+
+    Runs of `FOLD` rows are folded into a digest each, runs of `FOLD` digests again, until a key has one; so no
+    key's rows meet in one task.
+    """
+    text = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols])
+    ranked = global_rank(df.select(F.col(key).alias("k"), F.col(order).alias("o"), text.alias("s")), [F.col("k"), F.col("o")], "r")
+    firsts = cut(ranked.groupBy("k").agg(F.min("r").alias("first"), F.count(F.lit(1)).alias("n_rows")))
+    level = ranked.join(firsts.withColumnRenamed("k", "f"), F.col("k").eqNullSafe(F.col("f"))).select("k", (F.col("r") - F.col("first")).alias("at"), "s", F.lit(False).alias("folded"))
+    while True:
+        runs = level.groupBy("k", F.floor(F.col("at") / FOLD).cast("long").alias("at")).agg(F.array_sort(F.collect_list(F.struct("at", "s", "folded"))).alias("rows"))
+        whole = F.sha2(F.array_join(F.transform("rows", lambda r: r["s"]), "|"), 256)
+        alone = (F.size("rows") == 1) & F.element_at("rows", 1)["folded"]
+        level = cut(runs.select("k", "at", F.when(alone, F.element_at("rows", 1)["s"]).otherwise(whole).alias("s"), F.lit(True).alias("folded")))
+        if not level.where("at > 0").limit(1).count():
+            break
+    hashed = level.select(F.col("k").alias(key), F.col("s").alias("revision"))
+    return hashed.join(firsts, F.col(key).eqNullSafe(F.col("k"))).select(key, "revision", "n_rows")
 
 
 def storage_totals(parts: dict[str, tuple[DataFrame, Column]]) -> DataFrame:

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def token_bucket(df: DataFrame, key: str, at: str, order: str, per_second: float, burst: float) -> DataFrame:
-    """Add `allowed` and `tokens` (what is left) for each request of a key, in order.
+def token_bucket(df: DataFrame, key: str, at: str, order: list[str], per_second: float, burst: float) -> DataFrame:
+    """Add `allowed` and `tokens` (what is left) for each request of a key, in a total order. A null key is a key.
 
     A bucket starts full. Before each request it gains per_second for each second since the last one (never
     a negative time), up to the burst; a request takes one token if there is one. The rows of a key come to
@@ -23,7 +23,8 @@ def token_bucket(df: DataFrame, key: str, at: str, order: str, per_second: float
         last_key, tokens, last = object(), burst, None
         for batch in batches:
             allowed, left = [], []
-            for k, t in zip(batch[key], batch[at].astype("float64"), strict=True):
+            keys = batch[key].astype(object).where(batch[key].notna(), None)
+            for k, t in zip(keys, batch[at].astype("float64"), strict=True):
                 if k != last_key:
                     last_key, tokens, last = k, burst, t
                 tokens = min(burst, tokens + max(0.0, t - last) * per_second)
@@ -34,7 +35,7 @@ def token_bucket(df: DataFrame, key: str, at: str, order: str, per_second: float
                 left.append(tokens)
             yield batch.assign(allowed=allowed, tokens=left)
 
-    return df.repartition(key).sortWithinPartitions(key, order).mapInPandas(run, schema)
+    return df.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
 
 
 def outbox_step(df: DataFrame, now: Column, lease_seconds: float, most_attempts: int, base: float, cap: float) -> DataFrame:
@@ -64,8 +65,17 @@ def smoothed_velocity(df: DataFrame, key: str, at: str, value: str, alpha: float
     w = Window.partitionBy(key).orderBy(at)
     dt, dv = F.col(at) - F.lag(at).over(w), F.col(value) - F.lag(value).over(w)
     starts = F.when(dt.isNull() | (dt > reset) | (dt <= 0), 1).otherwise(0)
-    runs = df.withColumn("__v", F.when(starts == 0, dv / F.nullif(dt, F.lit(0.0)))).withColumn("__s", starts).withColumn("__run", F.sum("__s").over(w))
-    # Within a run the smoothed value is a fold over the rates so far; runs end at gaps and are short.
-    past = F.collect_list("__v").over(Window.partitionBy(key, "__run").orderBy(at).rowsBetween(Window.unboundedPreceding, 0))
-    fold = F.aggregate(F.slice(past, 2, F.greatest(F.size(past) - 1, F.lit(0))), F.element_at(past, 1), lambda s, v: s * (1 - alpha) + v * alpha)
-    return runs.withColumn("velocity", F.when(F.size(past) > 0, fold)).drop("__v", "__s", "__run")
+    rates = df.withColumn("__v", F.when(starts == 0, dv / F.nullif(dt, F.lit(0.0)))).withColumn("__s", starts)
+    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema)}, velocity double"
+
+    def smooth(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in batches:
+            out = []
+            for rate, first in zip(batch["__v"].astype("float64"), batch["__s"], strict=True):
+                held = None if first else rate if held is None else held * (1 - alpha) + rate * alpha
+                out.append(held)
+            yield batch.drop(columns=["__v", "__s"]).assign(velocity=pd.array(out, dtype="Float64"))
+
+    # One number is kept from row to row.
+    return rates.repartition(key).sortWithinPartitions(key, at).mapInPandas(smooth, schema)

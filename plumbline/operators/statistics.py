@@ -6,58 +6,91 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .lineage import cut
+from .ranking import global_rank
+
 
 def finite(c: Column) -> Column:
     """The value, or null where it is null, NaN or infinite."""
     return F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
 
 
-def describe(c: Column) -> list[Column]:
-    """Count, mean, median, population deviation, RMS, 5th and 95th percentile, least and greatest finite value."""
+def _of_key(keys: list[str], right: DataFrame) -> tuple[DataFrame, Column]:
+    """The right side of a join on keys of which any may be null, and the condition."""
+    renamed = right.withColumnsRenamed({k: f"__k_{k}" for k in keys})
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    return renamed, on
+
+
+def quantiles(df: DataFrame, keys: list[str], value: Column, wanted: dict[str, tuple[str, float]]) -> DataFrame:
+    """Exact quantiles of each key's finite values: keys, and a column for each name of `wanted` (kind, p).
+
+    Kinds over n sorted values from 0: `linear` interpolates at (n - 1) p, `nearest` takes ceil(n p) - 1 and
+    `floor` floor((n - 1) p). The values are ranked by range partitions and picked by their ranks, so that no
+    key's values meet in one buffer or task. A key without finite values has nulls.
+    """
+    x = df.select(*keys, finite(value.cast("double")).alias("__x"))
+    ranked = global_rank(x.where("__x IS NOT NULL"), [*[F.col(k) for k in keys], F.col("__x")], "__r")
+    firsts = cut(ranked.groupBy(*keys).agg(F.min("__r").alias("__first"), F.count(F.lit(1)).alias("__n")))
+    n = F.col("__n")
+    places = {}
+    for name, (kind, p) in wanted.items():
+        at = F.greatest(F.lit(0.0), F.ceil(n * p) - 1) if kind == "nearest" else (n - 1) * F.lit(p)
+        places[name] = (F.floor(at), F.ceil(at) if kind == "linear" else F.floor(at), at)
+    renamed, on = _of_key(keys, firsts)
+    few = F.broadcast(renamed) if not keys else renamed
+    at_rank = F.col("__r") - F.col("__first")
+    sides = F.array_distinct(F.array(*[side for low, high, _ in places.values() for side in (low, high)]))
+    hits = ranked.join(few, on).where(F.array_contains(sides, at_rank)).select(*keys, "__x", at_rank.alias("__at"), "__n")
+    picked = []
+    for name, (low, high, at) in places.items():
+        picked += [F.max(F.when(F.col("__at") == low, F.col("__x"))).alias(f"__lo_{name}"), F.max(F.when(F.col("__at") == high, F.col("__x"))).alias(f"__hi_{name}"), F.max(at - low).alias(f"__w_{name}")]
+    rows = hits.groupBy(*keys).agg(*picked)
+    out = [(F.col(f"__lo_{m}") + (F.col(f"__hi_{m}") - F.col(f"__lo_{m}")) * (F.col(f"__w_{m}") if wanted[m][0] == "linear" else F.lit(0.0))).alias(m) for m in wanted]
+    if not keys:
+        return rows.select(*out)
+    every, same = _of_key(keys, rows.select(*keys, *out))
+    return df.select(*keys).distinct().join(every, same, "left").select(*keys, *wanted)
+
+
+def with_quantiles(df: DataFrame, keys: list[str], sums: DataFrame, value: Column, wanted: dict[str, tuple[str, float]]) -> DataFrame:
+    """Add the quantiles of a value to one row for each key."""
+    found, on = _of_key(keys, quantiles(df, keys, value, wanted))
+    return sums.join(found, on, "left").select(*sums.columns, *wanted)
+
+
+def describe(df: DataFrame, keys: list[str], c: Column) -> DataFrame:
+    """For each key count, mean, population deviation, RMS, least, greatest, median, 5th and 95th percentile of finite values."""
     x = finite(c)
-    return [
-        F.count(x).alias("n"),
-        F.avg(x).alias("mean"),
-        F.median(x).alias("median"),
-        F.stddev_pop(x).alias("std"),
-        F.sqrt(F.avg(x * x)).alias("rmse"),
-        F.percentile(x, 0.05).alias("p05"),
-        F.percentile(x, 0.95).alias("p95"),
-        F.min(x).alias("min"),
-        F.max(x).alias("max"),
-    ]
-
-
-def nearest_rank(c: str, p: float) -> Column:
-    """sorted[ceil(p n) - 1]."""
-    return F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {c})")
+    sums = df.groupBy(*keys).agg(
+        F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.sqrt(F.avg(x * x)).alias("rmse"), F.min(x).alias("min"), F.max(x).alias("max")
+    )
+    return with_quantiles(df, keys, sums, c, {"median": ("linear", 0.5), "p05": ("linear", 0.05), "p95": ("linear", 0.95)})
 
 
-def floor_index_percentile(df: DataFrame, keys: list[str], c: str, p: float, name: str) -> DataFrame:
-    """sorted[floor((n - 1) p)] of each key, by rank: no key's values are gathered in an array."""
-    w = Window.partitionBy(*keys)
-    ranked = df.where(F.col(c).isNotNull()).withColumn("__r", F.row_number().over(w.orderBy(c))).withColumn("__n", F.count(F.lit(1)).over(w))
-    return ranked.where(F.col("__r") == 1 + F.floor((F.col("__n") - 1) * p)).select(*keys, F.col(c).alias(name))
-
-
-def median_of_positives(c: Column, default: float) -> Column:
-    x = finite(c)
-    return F.coalesce(F.median(F.when(x > 0, x)), F.lit(default))
+def median_of_positives(df: DataFrame, keys: list[str], c: Column, default: float, name: str) -> DataFrame:
+    """The median of each key's positive finite values, or the default."""
+    found = quantiles(df, keys, F.when(c > 0, c), {name: ("linear", 0.5)})
+    return found.withColumn(name, F.coalesce(name, F.lit(default)))
 
 
 def mad_inliers(df: DataFrame, keys: list[str], c: str, threshold: float, scale: float = 3.0) -> DataFrame:
     """Add `inlier`: |x| <= max(threshold, med + scale 1.4826 MAD) of the key's |x|; keys under 4 rows keep all."""
     size = F.abs(F.col(c))
-    med = df.groupBy(*keys).agg(F.median(size).alias("__med"), F.count(F.lit(1)).alias("__n"))
-    with_med = df.join(med, keys)
-    mad = with_med.groupBy(*keys).agg(F.median(F.abs(size - F.col("__med"))).alias("__mad"))
+    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    med, on = _of_key(keys, with_quantiles(df, keys, counted, size, {"__med": ("linear", 0.5)}))
+    with_med = df.join(med, on).select(*df.columns, "__med", "__n")
+    mad, on = _of_key(keys, quantiles(with_med, keys, F.abs(size - F.col("__med")), {"__mad": ("linear", 0.5)}))
     limit = F.greatest(F.lit(threshold), F.col("__med") + F.lit(scale * 1.4826) * F.col("__mad"))
-    return with_med.join(mad, keys).withColumn("inlier", (F.col("__n") < 4) | (size <= limit)).drop("__med", "__n", "__mad")
+    judged = with_med.join(mad, on).withColumn("inlier", (F.col("__n") < 4) | (size <= limit))
+    return judged.select(*df.columns, "inlier")
 
 
 def iqr_filter(df: DataFrame, c: str, factor: float = 5.0) -> DataFrame:
     """Rows within factor interquartile ranges of the quartiles (linear quantiles)."""
-    q = df.agg(F.percentile(c, 0.25).alias("__q1"), F.percentile(c, 0.75).alias("__q3"))
+    q = quantiles(df, [], F.col(c), {"__q1": ("linear", 0.25), "__q3": ("linear", 0.75)})
     room = (F.col("__q3") - F.col("__q1")) * factor
     return df.join(F.broadcast(q)).where(F.col(c).between(F.col("__q1") - room, F.col("__q3") + room)).drop("__q1", "__q3")
 
@@ -65,10 +98,10 @@ def iqr_filter(df: DataFrame, c: str, factor: float = 5.0) -> DataFrame:
 def benchmark_summary(df: DataFrame, keys: list[str], c: str, success: Column) -> DataFrame:
     """Runs, successes, least, mean, median, nearest-rank p95 and greatest value, sample deviation and the mean's 95 % interval."""
     good = df.withColumn("__x", F.when(success, F.col(c)))
-    out = good.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("runs"), F.count("__x").alias("successes"), F.min("__x").alias("min"), F.avg("__x").alias("mean"),
-        F.median("__x").alias("median"), nearest_rank("__x", 0.95).alias("p95"), F.max("__x").alias("max"), F.stddev_samp("__x").alias("std"),
-    )
+    sums = good.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("runs"), F.count("__x").alias("successes"), F.min("__x").alias("min"), F.avg("__x").alias("mean"), F.max("__x").alias("max"), F.stddev_samp("__x").alias("std")
+    )
+    out = with_quantiles(good, keys, sums, F.col("__x"), {"median": ("linear", 0.5), "p95": ("nearest", 0.95)})
     return out.withColumn("ci95", 1.96 * F.col("std") / F.sqrt("successes"))
 
 

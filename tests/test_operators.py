@@ -108,15 +108,15 @@ def test_global_rank(spark):
 def test_token_bucket(spark):
     rows = [(1, "a", 0.0), (2, "a", 0.0), (3, "a", 0.0), (4, "a", 1.0), (5, "b", 5.0), (6, "a", 0.5)]
     df = spark.createDataFrame(rows, "id long, k string, at double")
-    got = {r["id"]: r["allowed"] for r in stateful.token_bucket(df, "k", "at", "id", 1.0, 2.0).collect()}
+    got = {r["id"]: r["allowed"] for r in stateful.token_bucket(df, "k", "at", ["id"], 1.0, 2.0).collect()}
     assert got == {1: True, 2: True, 3: False, 4: True, 5: True, 6: False}
 
 
 def test_statistics_edge_cases(spark):
     df = spark.createDataFrame([(float("nan"),), (float("inf"),), (1.0,), (3.0,), (None,)], "x double")
-    row = df.agg(*statistics.describe(F.col("x"))).first()
+    row = statistics.describe(df, [], F.col("x")).first()
     assert (row["n"], row["mean"], row["std"], row["min"]) == (2, 2.0, 1.0, 1.0)
-    empty = df.limit(0).agg(*statistics.describe(F.col("x"))).first()
+    empty = statistics.describe(df.limit(0), [], F.col("x")).first()
     assert empty["n"] == 0 and empty["mean"] is None
 
 
