@@ -49,6 +49,59 @@ def test_rules_clean_lines(spark):
     assert docs.limit(0).select(qr.quality_rules(F.col("text"))).count() == 0
 
 
+def _faulty(lines, i):
+    """The line rules again, each put as plainly as can be."""
+    line = lines[i]
+    words = line.split()
+    marks_only = [w for w in words if all(c in "|»«·•›‹>/\\–—-" for c in w)]
+    if len(marks_only) >= 3 and len(marks_only) / len(words) >= 0.2 or len(words) >= 3 and len(marks_only) >= (len(words) - 1) / 2:
+        return True
+    if len(words) <= 30 and any(phrase in line.lower() for phrase in qr.BOILERPLATE):
+        return True
+    loud = [w for w in words if len(w) >= 2 and all(c in "!?#*$%&|<>=~^_+@" for c in w[-2:])]
+    if len(loud) > len(words) / 2 or sum(c in "#*$%&|<>{}[]=~^_+@\\" for c in line) > sum(map(len, words)) / 4:
+        return True
+    if not any(c.isalnum() for c in line):
+        return True
+    ends = any(c in ".!?:;,…。！？：；，" for c in line) or line.rstrip()[-1] in "\"'”’»›)]"
+    rest = lines[i + 1 :]
+    if len(words) >= 12 and not ends and not (rest and rest[0].split()[0][0].islower()):
+        return True
+    if len(words) >= 8 and sum(words[k] == words[k + 1] for k in range(len(words) - 1)) > len(words) / 2:
+        return True
+    short = [len(x.split()) <= 4 and x.rstrip()[-1] not in ".!?:;,…。！？：；，\"'”’»›)]" for x in lines]
+    return any(all(short[k : k + 3]) and len(short[k : k + 3]) == 3 for k in range(max(0, i - 2), i + 1))
+
+
+def _verdict(text):
+    lines = [x for x in text.split("\n") if x.encode().split()]
+    words = text.encode().split()
+    size = [sum(len(w.decode()) for w in x.encode().split()) for x in lines]
+    lost = sum(n for i, n in enumerate(size) if _faulty(lines, i))
+    failed = len(words) < 20 or 100 * _repeats(words) > 30 * len(words)
+    return not failed and (not lines or lost <= sum(size) / 2)
+
+
+def test_verdicts_against_brute_force(spark):
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    got = {r["doc_id"]: r["kept"] for r in op7_quality_rules(spark, "/root/testdata/sf0.01").collect()}
+    assert got == {i: _verdict(text) for i, text in docs.items()}
+    assert 0 < sum(got.values()) < len(got)
+
+
+def test_line_rules_in_several_languages():
+    prose = "Die Vermessung begann am Morgen, und sie endete erst, als die Sonne unterging."
+    menu = "Startseite\nNachrichten\nSport heute\nKontakt"
+    assert qr.judge_text(f"{menu}\n{prose}\n\n{prose} Danach war Ruhe.")[-1] == f"{prose}\n\n{prose} Danach war Ruhe."
+    for line in ("Alle Rechte vorbehalten", "Tous droits réservés.", "Lea nuestra política de privacidad"):
+        assert qr.judge_text(f"{prose}\n{line}")[-1] == prose
+    wrapped = "the survey began in the morning of a long day in the north\nand went on until the sun had set behind the hills of home\nwhen everyone went home."
+    assert qr.judge_text(wrapped)[-1] == wrapped
+    assert qr.judge_text(prose + "\none two three four five six seven eight nine ten eleven twelve")[-1] == prose
+    poem = "Roses are red,\nViolets are blue,\nSugar is sweet."
+    assert qr.judge_text(poem)[-1] == poem
+
+
 def test_classifier_scores_are_the_gaussians(spark):
     rng = np.random.default_rng(4)
     d = len(qc.STATISTICS)
