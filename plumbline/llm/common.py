@@ -1,48 +1,49 @@
-"""What several operators of this subpackage share: word counting, durable intermediate tables, ranks."""
+"""What several operators of this subpackage share: durable intermediate tables, ranks."""
 
 from __future__ import annotations
 
 import functools
 import inspect
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Those six, in a pattern's brackets and themselves.
+SPACE = r"\x20\x09-\x0D"
+SPACES = " \t\n\x0b\x0c\r"
 
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: Bytes of a row group of intermediate tables, which a task gathers in memory.
+ROW_GROUP_BYTES = 32 << 20
+#: Rows whose Python objects a function of arrays holds at once.
+SLICE_ROWS = 1_000
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, taken from `spark.checkpoint.dir`.
 
-    Only where that setting is absent (tests, local mode) is a temporary folder used.
+    Only where that setting is absent and Spark runs in one process (tests) is a temporary folder used.
     """
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-shared-")
-        )
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.fullmatch(r"local(\[[^\[]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-shared-"))
     return context.getCheckpointDir()
 
 
-def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
-    """Let this session's Arrow batches hold fewer rows: 10,000 whole texts are tens of MB in each of several copies."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
-
-
 def frees(function: Callable) -> Callable:
     """An Arrow function of batches or of arrays that gives memory back to the system after each batch.
 
+    One of arrays gets `SLICE_ROWS` rows at a time.
     Python workers outlive their tasks, and a stage with several functions has a worker for each. What
     Arrow's pool and the worker keep for later adds up over the stages of a pipeline.
     """
@@ -50,7 +51,8 @@ def frees(function: Callable) -> Callable:
 
         @functools.wraps(function)
         def whole(*args):
-            out = function(*args)
+            starts = range(0, max(1, len(args[0])), SLICE_ROWS)
+            out = pa.concat_arrays([function(*(x.slice(start, SLICE_ROWS) for x in args)) for start in starts])
             pa.default_memory_pool().release_unused()
             return out
 
@@ -78,7 +80,7 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -87,37 +89,6 @@ def crc_of_id(col: Column) -> Column:
     return F.crc32(col.cast("string").cast("binary"))
 
 
-def utf8_buffers(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of a string array and its n + 1 offsets into them; a null counts as an empty text."""
-    if isinstance(array, pa.ChunkedArray):
-        array = array.combine_chunks()
-    array = array.cast(pa.large_string()).fill_null("")
-    if not len(array):
-        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
-    _, offsets, data = array.buffers()
-    offsets = np.frombuffer(offsets, np.int64)[array.offset : array.offset + len(array) + 1]
-    data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
-    return data[offsets[0] : offsets[-1]], offsets - offsets[0]
-
-
-def word_counts(array: pa.Array) -> np.ndarray:
-    """Words (`WORD`) of each text, counted on the UTF-8 bytes of the whole batch at once."""
-    data, offsets = utf8_buffers(array)
-    word = ~_SPACE[data]
-    starts = word.copy()
-    starts[1:] &= ~word[:-1]
-    first = offsets[:-1][offsets[:-1] < len(data)]
-    starts[first] = word[first]  # a text's first byte follows no other byte of that text
-    return np.diff(np.searchsorted(np.flatnonzero(starts), offsets))
-
-
-@F.arrow_udf(T.LongType())
-@frees
-def word_count(texts: pa.Array) -> pa.Array:
-    """Number of words of a text; 0 for null."""
-    return pa.array(word_counts(texts), pa.int64())
-
-
 def global_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """Add the rank (from 1) of each row in a total order without bringing all rows to one task.
 

@@ -25,6 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import frees
 from .tokens import token_ids
 
 CAPACITY = 1024
@@ -166,6 +167,7 @@ def pack(
     Sequence ids tell tasks apart by their upper bits. `docs` may have any other columns.
     """
 
+    @frees
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = _Packer(capacity, pool, TaskContext.get().partitionId() << 36)
         for batch in batches:

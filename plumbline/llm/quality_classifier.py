@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import frees
+
 #: Share of the pooled, diagonal target in a class covariance, and what is added to each variance.
 SHRINKAGE = 0.1
 RIDGE = 1e-3
@@ -83,9 +85,10 @@ def statistics(text: str | None) -> list[float]:
 
 
 @F.arrow_udf(T.ArrayType(T.DoubleType()))
+@frees
 def document_statistics(texts: pa.Array) -> pa.Array:
     """`statistics` of each text of a column."""
-    return pa.array([statistics(t) for t in texts.to_pylist()], pa.list_(pa.float64()))
+    return pa.array([statistics(t.as_py()) for t in texts], pa.list_(pa.float64()))
 
 
 @dataclass(frozen=True)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import saved
+from .common import frees, saved
 from .tokens import END_OF_TEXT, token_ids
 
 #: Bytes of a block; a multiple of any id size.
@@ -56,6 +56,7 @@ def token_stream(
     the documents that were opened while the block was written, in order; it holds no positions.
     """
 
+    @frees
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, block = str(TaskContext.get().partitionId()), 0
         parts: list[np.ndarray] = []
@@ -93,6 +94,7 @@ def count_tokens(blocks: DataFrame, end_id: int = END_OF_TEXT, id_bytes: int = 2
     """Documents of flat token files given as blocks: file_id, document (from 0), start, n_tokens, terminated."""
     kind = f"<u{id_bytes}"
 
+    @frees
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []

@@ -14,19 +14,24 @@ _LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u
 
 
 @functools.lru_cache(maxsize=2)
-def _coders(path: str | None):
+def _by_ranks(path: str | None):
     import base64
 
     import public_tokenizers
     import tiktoken
-    from tokenizers import Tokenizer
 
-    ranks_path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
-    with open(ranks_path, "rb") as lines:
+    with open(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    slow = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")) if path is None else None
-    return fast, slow
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+@functools.lru_cache(maxsize=1)
+def _by_json():
+    """The tokenizer of the JSON file, which takes some 30 MB and is loaded when a text first needs it."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def token_ids(text: str | None, path: str | None = None) -> np.ndarray:
@@ -37,17 +42,16 @@ def token_ids(text: str | None, path: str | None = None) -> np.ndarray:
     file's tokenizer is used, so that the ids are always those of `byte_bpe_50k.json`. So it is where the
     ranks' encoder gives up, which it does over some 700,000 white-space characters in a row.
     """
-    fast, slow = _coders(path)
     if not text:
         return np.zeros(0, np.uint32)
-    if slow is not None and "<|endoftext|>" in text:
-        return np.array(slow.encode(text, add_special_tokens=False).ids, np.uint32)
-    try:
-        return fast.encode_to_numpy(text, disallowed_special=()).astype(np.uint32, copy=False)
-    except ValueError:
-        if slow is None:
-            return _ids_around_space(fast, text)
-    return np.array(slow.encode(text, add_special_tokens=False).ids, np.uint32)
+    if path is not None or "<|endoftext|>" not in text:
+        fast = _by_ranks(path)
+        try:
+            return fast.encode_to_numpy(text, disallowed_special=()).astype(np.uint32, copy=False)
+        except ValueError:
+            if path is not None:
+                return _ids_around_space(fast, text)
+    return np.array(_by_json().encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 def _ids_around_space(fast, text: str) -> np.ndarray:
