@@ -78,3 +78,22 @@ def weighted_sample(df: DataFrame, row_id: str, weight: str, k: int, seed: int)
     uniform = (F.conv(digits, 16, 10).cast("double") + 0.5) / 2.0**48
     key = F.log(F.col(weight).cast("double")) - F.log(-F.log(uniform))
     return df.where(F.col(weight) > 0).withColumn("key", key).orderBy(F.desc("key"), F.asc(row_id)).limit(k)
+
+
+def bounded_history(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
+    """The first n rows of each key; Spark drops the rest in each task before it shuffles."""
+    return df.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("__rn") <= n).drop("__rn")
+
+
+def overlap_flags(df: DataFrame, keys: list[str], start: str, stop: str, row_id: str) -> DataFrame:
+    """Add `overlaps`: whether an interval starts before the one before it in its key's order has stopped."""
+    before = F.lag(stop).over(Window.partitionBy(*keys).orderBy(start, stop, row_id))
+    return df.withColumn("overlaps", F.coalesce(F.col(start) < before, F.lit(False)))
+
+
+def best_grid(df: DataFrame, key: str, cells: Column, most_rows: int) -> DataFrame:
+    """For each row the grid of at least so many cells that is nearest to a square, then smallest, then lowest."""
+    tried = df.select(key, cells.alias("__n"), F.explode(F.sequence(F.lit(1).cast("long"), F.lit(most_rows).cast("long"))).alias("rows"))
+    tried = tried.withColumn("cols", F.ceil(F.col("__n") / F.col("rows")).cast("long"))
+    best = tried.groupBy(key).agg(F.min(F.struct(F.abs(F.col("rows") - F.col("cols")).alias("p"), (F.col("rows") * F.col("cols")).alias("c"), "rows", "cols")).alias("b"))
+    return best.select(key, "b.rows", "b.cols")

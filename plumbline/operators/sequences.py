@@ -68,3 +68,16 @@ def tile_plan(rasters: DataFrame, row_id: str, width: str, height: str, tile: in
         row_id, index.cast("long").alias("tile_index"), "offset_x", "offset_y", F.least(F.lit(tile), F.col(width) - F.col("offset_x")).cast("int").alias("tile_width"),
         F.least(F.lit(tile), F.col(height) - F.col("offset_y")).cast("int").alias("tile_height"), F.floor(index / shard).cast("long").alias("shard"),
     )
+
+
+def even_parts(df: DataFrame, row_id: str, size: str, n: str) -> DataFrame:
+    """A size cut into n parts at i * size // n: row id, part (from 0), x0, x1."""
+    spread = df.select(row_id, F.col(size).alias("__s"), F.col(n).alias("__n"), F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias("part"))
+    at = lambda i: F.floor(i * F.col("__s") / F.col("__n")).cast("long")
+    return spread.select(row_id, "part", at(F.col("part")).alias("x0"), at(F.col("part") + 1).alias("x1"))
+
+
+def pixel_window(low: Column, high: Column, per_unit: float, size: int) -> list[Column]:
+    """First and last pixel of a range, half to even, clamped to the raster."""
+    place = lambda c: F.least(F.lit(size), F.greatest(F.lit(0.0), F.rint(c * per_unit))).cast("int")
+    return [place(low).alias("first"), place(high).alias("last")]

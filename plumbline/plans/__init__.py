@@ -1 +1 @@
-"""Registered queries."""
+"""Registered queries; importing `every` fills the catalogue."""

@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from plumbline.plans import catalogue, matches  # noqa: F401  matches registers more queries
+from plumbline.plans import catalogue, every  # noqa: F401  every registers all queries
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 
