@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -200,11 +201,12 @@ def newest(*times: Column) -> Column:
 
 def merged_parameters(defaults: Column, *overrides: Column) -> Column:
     """A map of defaults in which later maps' values win; null values and keys that the defaults lack change nothing."""
-    out = defaults
-    for more in overrides:
+    def over(old: Column, more: Column) -> Column:
         known = F.map_filter(F.coalesce(more, F.create_map().cast("map<string,string>")), lambda k, v: v.isNotNull() & F.map_contains_key(defaults, k))
-        out = F.map_from_entries(F.transform(F.map_entries(out), lambda e, known=known: F.struct(e["key"].alias("key"), F.coalesce(F.try_element_at(known, e["key"]), e["value"]).alias("value"))))
-    return out
+        latest = lambda e: F.struct(e["key"].alias("key"), F.coalesce(F.try_element_at(known, e["key"]), e["value"]).alias("value"))
+        return F.map_from_entries(F.transform(F.map_entries(old), latest))
+
+    return reduce(over, overrides, defaults)
 
 
 def parameter_matches(actual: Column, expected: Column, tolerance: float = 1e-9) -> Column:
