@@ -108,7 +108,6 @@ _TOKEN = re.compile(
     re.S,
 )
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-_SPACE = re.compile(r"[\s\x1c-\x1f\x85]+")
 _SIGN = 1 << 63
 
 
@@ -202,18 +201,19 @@ def page_tokens(
                 cut(depth)
                 yield "close" if blocks else "inline", name, path, stack[-1]
             continue
-        if name in _P_ENDS:
+        if opened["p"] and name in _P_ENDS:
             end_of(_CLOSES["p"])
-        if name in _CLOSES:
+        if name in _CLOSES and name != "p":
             end_of(_CLOSES[name])
         if stack[-1].name == "head" and name not in _HEAD:
             cut(len(stack) - 1)
         around = stack[-1]
-        label, purpose = _signature(name, found[3] or "", around.article or around.marks is True)
+        attributes = found[3]
+        label, purpose = _signature(name, attributes, around.article or around.marks is True) if attributes else (name, False)
         # Inline elements and paragraphs that a malformed page leaves open don't lengthen the path.
         path, inline = _below(around.block, label), name in _INLINE
         yield "inline" if inline else "open", name, path, around
-        if name in _VOID or (found[3] or "").rstrip().endswith("/") and name not in _RAW:
+        if name in _VOID or found[3] and found[3].rstrip().endswith("/") and name not in _RAW:
             continue
         if name in _RAW:
             end = re.compile(rf"</{name}\b[^>]*>?", re.I).search(html, at)
@@ -232,7 +232,8 @@ def page_tokens(
 
 
 def _clean(text: str) -> str:
-    return _SPACE.sub(" ", text).strip()
+    """White space of any kind (as `str.isspace` has it) as one blank, none at the ends."""
+    return " ".join(text.split())
 
 
 def _template_tokens(html: str | None, enter: Callable | None = None, marks: object = None) -> Iterator[tuple[int, str, str, _Element]]:
