@@ -6,6 +6,7 @@ import re
 import tempfile
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -21,3 +22,10 @@ def cut(df: DataFrame) -> DataFrame:
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-shared-"))
     return df.checkpoint()
+
+
+def small(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """A table to broadcast, once its rows are counted; more than `most` are an error, as a nested loop over them would not end."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"over {most} rows cannot be met by every row of the other side")
+    return F.broadcast(df)

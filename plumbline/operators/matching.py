@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .lineage import small
+
 
 def priority_overlay(base: DataFrame, key: str, sources: dict[str, DataFrame], value: str) -> DataFrame:
     """Each key's value from the first source that has one, and which source that is."""
@@ -42,9 +44,9 @@ def temporal_band(df: DataFrame, group: str, order: list[str], row_id: str, widt
 
 
 def excluded_ranges(df: DataFrame, name: str, ranges: DataFrame, start: str, end: str) -> DataFrame:
-    """Rows whose name, whatever its case, lies in none of the inclusive ranges (few: they are broadcast)."""
+    """Rows whose name, whatever its case, lies in none of the inclusive ranges (few: an error if too many)."""
     folded = F.lower(F.col(name))
-    return df.join(F.broadcast(ranges), folded.between(F.lower(F.col(start)), F.lower(F.col(end))), "left_anti")
+    return df.join(small(ranges), folded.between(F.lower(F.col(start)), F.lower(F.col(end))), "left_anti")
 
 
 def raster_lookup(points: DataFrame, col: Column, row: Column, raster: DataFrame, width: int, height: int) -> DataFrame:

@@ -12,7 +12,8 @@ from pyspark.sql.window import Window
 
 from plumbline.functions.geometry import feather_weight, quantise
 
-from .lineage import cut
+from .lineage import cut, small
+from .statistics import with_quantiles
 
 
 def visible(scales: list[str], opacity: str, most_scale: float, least_opacity: float, most_ratio: float) -> Column:
@@ -59,7 +60,7 @@ def feathered_weights(df: DataFrame, row_id: str, x: str, y: str, cells: DataFra
     """
     inside = F.col(x).between(F.col("west"), F.col("east")) & F.col(y).between(F.col("south"), F.col("north"))
     near = F.least(F.col(x) - F.col("west"), F.col("east") - F.col(x), F.col(y) - F.col("south"), F.col("north") - F.col(y))
-    met = df.join(F.broadcast(cells), inside).withColumn("__w", F.greatest(feather_weight(near, width), F.lit(1e-9)))
+    met = df.join(small(cells), inside).withColumn("__w", F.greatest(feather_weight(near, width), F.lit(1e-9)))
     total = F.sum("__w").over(Window.partitionBy(row_id))
     return met.withColumn("weight", F.col("__w") / total).drop("__w")
 
@@ -140,6 +141,6 @@ def seam_ratio(raster: DataFrame, seam_col: int) -> DataFrame:
     """One row about a raster (row, col, v): mean and p95 step across a column boundary against steps elsewhere."""
     steps = raster.withColumn("step", F.abs(F.col("v") - F.lag("v").over(Window.partitionBy("row").orderBy("col")))).where("step IS NOT NULL")
     at = F.col("col") == seam_col
-    return steps.agg(
-        F.avg(F.when(at, F.col("step"))).alias("seam_mean"), F.percentile(F.when(at, F.col("step")), 0.95).alias("seam_p95"), F.avg(F.when(~at, F.col("step"))).alias("interior_mean")
-    ).withColumn("ratio", F.col("seam_mean") / F.nullif("interior_mean", F.lit(0.0)))
+    means = steps.agg(F.avg(F.when(at, F.col("step"))).alias("seam_mean"), F.avg(F.when(~at, F.col("step"))).alias("interior_mean"))
+    found = with_quantiles(steps, [], means, F.when(at, F.col("step")), {"seam_p95": ("linear", 0.95)})
+    return found.withColumn("ratio", F.col("seam_mean") / F.nullif("interior_mean", F.lit(0.0)))

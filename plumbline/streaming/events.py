@@ -25,74 +25,152 @@ def inbox(events: DataFrame, event_id: str = "event_id") -> DataFrame:
     return events.dropDuplicates([event_id])
 
 
-def status_stream(events: DataFrame, key: str, service: str, status: str) -> DataFrame:
-    """Running status of each key: the last state of each service in arrival order, and the overall one."""
+def _together(batches: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
+    """A key's rows of one micro-batch, in order: a shuffle delivers them in any."""
+    parts = list(batches)
+    return pd.concat(parts).sort_values(order, kind="stable") if parts else pd.DataFrame()
+
+
+def status_stream(events: DataFrame, key: str, service: str, status: str, order: str) -> DataFrame:
+    """Running status of each key: the last state of each service by a number that counts arrivals, and the overall one.
+
+    An event that comes after a later one of its service changes nothing.
+    """
 
     def fold(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        services = dict(zip(*state.get, strict=True)) if state.exists else {}
-        n = 0
-        for batch in batches:
-            n += len(batch)
-            services.update(zip(batch[service].astype(str), batch[status].astype(str), strict=True))
-        state.update((list(services), list(services.values())))
-        states = set(services.values())
+        known = {s: (o, v) for s, v, o in zip(*state.get, strict=True)} if state.exists else {}
+        rows = _together(batches, [order])
+        for s, v, o in zip(rows[service].astype(str), rows[status].astype(str), rows[order], strict=True):
+            if s not in known or o >= known[s][0]:
+                known[s] = (int(o), v)
+        state.update((list(known), [v for _, v in known.values()], [o for o, _ in known.values()]))
+        states = {v for _, v in known.values()}
         overall = next((s for s in ("error", "cancelled") if s in states), "success" if states == {"success"} else "processing")
-        yield pd.DataFrame({"key": [k[0]], "overall": [overall], "services": [len(services)], "n_events": [n]})
+        yield pd.DataFrame({"key": [k[0]], "overall": [overall], "services": [len(known)], "n_events": [len(rows)]})
 
     return events.groupBy(key).applyInPandasWithState(
-        fold, "key string, overall string, services int, n_events int", "services array<string>, states array<string>", "update", GroupStateTimeout.NoTimeout
+        fold, "key string, overall string, services int, n_events int", "services array<string>, states array<string>, orders array<long>", "update", GroupStateTimeout.NoTimeout
     )
 
 
-def rate_limited(events: DataFrame, key: str, at: str, per_second: float, burst: float) -> DataFrame:
-    """Requests with `allowed` by a token bucket for each key, kept between micro-batches."""
+def rate_limited(events: DataFrame, key: str, at: str, per_second: float, burst: float, forget: bool = False) -> DataFrame:
+    """Requests with `allowed` by a token bucket for each key, kept between micro-batches, in the order of their times.
+
+    With `forget` a bucket that nobody asks for as long as it takes to fill is dropped: a new one is as full. A query
+    with such timeouts runs until it is stopped, so that `availableNow` does not end it.
+    """
+    idle = int(1000 * burst / per_second) + 1
 
     def bucket(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         tokens, last = state.get if state.exists else (burst, None)
-        for batch in batches:
-            allowed = []
-            for t in batch[at].astype("float64"):
-                tokens = min(burst, tokens + max(0.0, t - (t if last is None else last)) * per_second)
-                last = t if last is None else max(t, last)
-                ok = tokens >= 1
-                tokens -= ok
-                allowed.append(bool(ok))
-            yield pd.DataFrame({"key": [str(k[0])] * len(batch), "at": batch[at].astype("float64"), "allowed": allowed})
+        times, allowed = _together(batches, [at])[at].astype("float64"), []
+        for t in times:
+            tokens = min(burst, tokens + max(0.0, t - (t if last is None else last)) * per_second)
+            last = t if last is None else max(t, last)
+            ok = tokens >= 1
+            tokens -= ok
+            allowed.append(bool(ok))
+        yield pd.DataFrame({"key": [str(k[0])] * len(allowed), "at": times.to_numpy(), "allowed": allowed})
         state.update((float(tokens), float(last if last is not None else 0.0)))
+        if forget:
+            state.setTimeoutDuration(idle)
 
-    return events.groupBy(key).applyInPandasWithState(
-        bucket, "key string, at double, allowed boolean", "tokens double, last double", "append", GroupStateTimeout.NoTimeout
-    )
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if forget else GroupStateTimeout.NoTimeout
+    return events.groupBy(key).applyInPandasWithState(bucket, "key string, at double, allowed boolean", "tokens double, last double", "append", timeout)
+
+
+def recent_history(events: DataFrame, key: str, event_id: str, order: str, most: int = 300) -> DataFrame:
+    """The last events of each key, for whoever joins late: a row for each key that got some, ids oldest first."""
+
+    def remember(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = list(zip(*state.get, strict=True)) if state.exists else []
+        rows = _together(batches, [order])
+        held = sorted(held + list(zip(rows[event_id].astype(str), rows[order].astype("int64").tolist(), strict=True)), key=lambda x: x[1])[-most:]
+        state.update(([x[0] for x in held], [x[1] for x in held]))
+        yield pd.DataFrame({"key": [str(k[0])], "history": [[x[0] for x in held]]})
+
+    return events.groupBy(key).applyInPandasWithState(remember, "key string, history array<string>", "ids array<string>, orders array<long>", "update", GroupStateTimeout.NoTimeout)
+
+
+def staleness(events: DataFrame, key: str, after_ms: int) -> DataFrame:
+    """`stale` turns false when a key has an event, and true when it has had none for so long.
+
+    The query runs until it is stopped, as timeouts may always come.
+    """
 
+    def watch(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        silent = state.hasTimedOut
+        if silent:
+            state.remove()
+        else:
+            state.update((sum(len(b) for b in batches) + (state.get[0] if state.exists else 0),))
+            state.setTimeoutDuration(after_ms)
+        yield pd.DataFrame({"key": [str(k[0])], "stale": [bool(silent)]})
 
-def deliver(handle: Callable[[DataFrame], None], dead_letters: str, attempts: int = 3) -> Callable[[DataFrame, int], None]:
-    """A `foreachBatch` function: tries a batch some times, then writes it to the dead letters with the error."""
+    return events.groupBy(key).applyInPandasWithState(watch, "key string, stale boolean", "n long", "update", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def deliver(handle: Callable[[DataFrame], None], dead_letters: str, attempts: int = 3, halvings: int = 16) -> Callable[[DataFrame, int], None]:
+    """A `foreachBatch` function: tries a batch some times, then its halves, and so on to single rows.
+
+    Rows that fail by themselves go to the dead letters with the error; the others are delivered. `handle` may
+    get a row again after a failure, so it must bear that. Rows alike in all columns stay together.
+    """
 
     def run(batch: DataFrame, epoch: int) -> None:
-        for attempt in range(1, attempts + 1):
+        batch = batch.persist()
+        try:
+            _delivered(batch, epoch, 0)
+        finally:
+            batch.unpersist()
+
+    def _delivered(part: DataFrame, epoch: int, depth: int) -> None:
+        if not part.limit(1).count():
+            return
+        error = None
+        for _ in range(attempts):
             try:
-                handle(batch)
+                handle(part)
                 return
-            except Exception as error:  # noqa: BLE001  whatever the handler raises sends the batch to the dead letters
-                if attempt == attempts:
-                    failed = batch.withColumn("epoch", F.lit(epoch)).withColumn("error", F.lit(str(error)[:500]))
-                    failed.write.mode("append").parquet(dead_letters)
+            except Exception as raised:  # noqa: BLE001  whatever the handler raises sends rows to the dead letters
+                error = raised
+        if depth < halvings and part.distinct().limit(2).count() == 2:
+            side = F.shiftright(F.xxhash64(F.to_json(F.struct(*part.columns))), depth).bitwiseAND(1)
+            for bit in (0, 1):
+                _delivered(part.where(side == bit), epoch, depth + 1)
+            return
+        part.withColumn("epoch", F.lit(epoch)).withColumn("error", F.lit(str(error)[:500])).write.mode("append").parquet(dead_letters)
+
+    return run
+
+
+def once_by_epoch(path: str) -> Callable[[DataFrame, int], None]:
+    """A `foreachBatch` sink with a folder for each epoch: an epoch that is run again replaces itself.
+
+    With `inbox` before it, each event is there once, and no batch reads what others wrote.
+    """
+
+    def run(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
     return run
 
 
 def once_by_id(path: str, event_id: str = "event_id") -> Callable[[DataFrame, int], None]:
-    """A `foreachBatch` sink that appends only ids that the table at `path` lacks."""
+    """A `foreachBatch` sink that appends only ids that the table at `path` lacks, for sources without an inbox.
+
+    It reads the ids of the whole table for each batch; where that grows too long, `once_by_epoch` does not.
+    """
 
     def run(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         new = batch.dropDuplicates([event_id])
-        try:
-            known = spark.read.parquet(path).select(event_id)
-            new = new.join(known, event_id, "left_anti")
-        except Exception as error:
-            if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
-                raise
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+            new = new.join(spark.read.schema(batch.schema).parquet(path).select(event_id), event_id, "left_anti")
         new.write.mode("append").parquet(path)
 
     return run

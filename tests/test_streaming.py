@@ -1,4 +1,5 @@
 import json
+import time
 
 from plumbline.streaming import events as ev
 
@@ -27,14 +28,14 @@ def test_inbox_drops_repeats(spark, tmp_path):
 
 
 def test_status_stream(spark, tmp_path):
-    rows = [("m1", "tiler", "success"), ("m1", "viewer", "error"), ("m2", "tiler", "success")]
-    stream = _stream(spark, rows, "mission string, service string, status string", tmp_path)
-    got = {(r["key"], r["overall"], r["services"]) for r in _drain(ev.status_stream(stream, "mission", "service", "status"), "status", "update")}
+    rows = [("m1", "tiler", "success", 4), ("m1", "viewer", "error", 2), ("m2", "tiler", "success", 9), ("m2", "tiler", "error", 3)]
+    stream = _stream(spark, rows, "mission string, service string, status string, n long", tmp_path)
+    got = {(r["key"], r["overall"], r["services"]) for r in _drain(ev.status_stream(stream, "mission", "service", "status", "n"), "status", "update")}
     assert got == {("m1", "error", 2), ("m2", "success", 1)}
 
 
 def test_rate_limit_stream(spark, tmp_path):
-    stream = _stream(spark, [("k", 0.0), ("k", 0.0), ("k", 0.0), ("k", 1.0)], "k string, at double", tmp_path)
+    stream = _stream(spark, [("k", 0.0), ("k", 1.0), ("k", 0.0), ("k", 0.0)], "k string, at double", tmp_path)
     got = [r["allowed"] for r in _drain(ev.rate_limited(stream, "k", "at", 1.0, 2.0), "limited", "append")]
     assert got == [True, True, False, True]
 
@@ -51,3 +52,52 @@ def test_delivery_and_idempotent_sink(spark, tmp_path):
 
     ev.deliver(fail, str(tmp_path / "dead"))(batch, 7)
     assert spark.read.parquet(str(tmp_path / "dead")).select("epoch").distinct().collect()[0][0] == 7
+
+
+def test_one_bad_row_does_not_cost_its_batch(spark, tmp_path):
+    batch = spark.createDataFrame([(f"e{i}", i) for i in range(40)], "event_id string, v long")
+    sink = ev.once_by_epoch(str(tmp_path / "good"))
+    delivered = []
+
+    def handle(part):
+        ids = [r["event_id"] for r in part.collect()]
+        if "e13" in ids:
+            raise RuntimeError("e13 is broken")
+        delivered.extend(ids)
+
+    ev.deliver(handle, str(tmp_path / "dead"), attempts=2)(batch, 3)
+    dead = spark.read.parquet(str(tmp_path / "dead")).collect()
+    assert [(r["event_id"], r["epoch"], r["error"]) for r in dead] == [("e13", 3, "e13 is broken")]
+    assert sorted(delivered) == sorted(f"e{i}" for i in range(40) if i != 13)
+    sink(batch, 3)
+    sink(batch, 3)
+    assert spark.read.parquet(str(tmp_path / "good")).count() == 40
+
+
+def test_history_and_staleness(spark, tmp_path):
+    rows = [("a", f"e{i}", i) for i in range(7, 0, -1)] + [("b", "x", 1)]
+    stream = _stream(spark, rows, "k string, id string, n long", tmp_path)
+    got = {r["key"]: r["history"] for r in _drain(ev.recent_history(stream, "k", "id", "n", 3), "history", "update")}
+    assert got == {"a": ["e5", "e6", "e7"], "b": ["x"]}
+
+
+def _watched(df, name, want):
+    """What a query that does not end has said as soon as it has said what is wanted."""
+    query = df.writeStream.outputMode("update" if name == "stale" else "append").format("memory").queryName(name).trigger(processingTime="1 second").start()
+    try:
+        for _ in range(90):
+            got = sorted(tuple(r) for r in df.sparkSession.table(name).collect())
+            if got == want:
+                break
+            time.sleep(1)
+        return got
+    finally:
+        query.stop()
+
+
+def test_timeouts(spark, tmp_path):
+    stream = _stream(spark, [("a", 1.0), ("b", 1.0), ("b", 2.0)], "k string, at double", tmp_path)
+    want = [("a", False), ("a", True), ("b", False), ("b", True)]
+    assert _watched(ev.staleness(stream, "k", 500), "stale", want) == want
+    allowed = [("a", 1.0, True), ("b", 1.0, True), ("b", 2.0, True)]
+    assert _watched(ev.rate_limited(stream, "k", "at", 1.0, 1.0, forget=True), "forgetful", allowed) == allowed
