@@ -31,8 +31,20 @@ def test_ply_of_a_wrong_size_is_an_error(tmp_path):
 
 def test_control_points(spark, tmp_path):
     (tmp_path / "a.csv").write_text("Label;Easting;Northing;Altitude;Role\nP1;1.5;2;3;checkpoint\nP2; 4 ;x;;\n")
-    got = [tuple(r) for r in cp.read_delimited(spark, str(tmp_path / "a.csv")).orderBy("external_id").collect()]
-    assert got == [("P1", 1.5, 2.0, 3.0, "checkpoint"), ("P2", 4.0, None, None, None)]
+    got = [tuple(r)[1:] for r in cp.read_delimited(spark, str(tmp_path / "a.csv")).orderBy("external_id").collect()]
+    assert got == [("P1", 1.5, 2.0, 3.0, "checkpoint", 0.02, 0.03, 1.0, None), ("P2", 4.0, None, 0.0, "adjustment", 0.02, 0.03, 1.0, "coordinate")]
+    (tmp_path / "b.csv").write_text("pointid,easting,northing,elevation,sigma_xy,usage\nQ1,1,2,,0.5,check\n,1,2,3,,\nQ2,1,2,3,-1,\nQ3,1,2,3,,other\n")
+    got = {r["external_id"]: r for r in cp.read_delimited(spark, str(tmp_path / "b.csv"), profile="leica").collect()}
+    assert (got["Q1"]["z"], got["Q1"]["role"], got["Q1"]["horizontal_accuracy_m"], got["Q1"]["problem"]) == (0.0, "checkpoint", 0.5, None)
+    assert (got[None]["problem"], got["Q2"]["problem"], got["Q3"]["problem"]) == ("no id", "accuracy", "role")
+    (tmp_path / "c.csv").write_text("R1\t1\t2\t3\nR2\t4\t5\t6\n")
+    found = cp.read_delimited(spark, str(tmp_path / "c.csv"), header=["punkt", "x", "y", "z"], named={"external_id": "Punkt"})
+    assert sorted((r["external_id"], r["z"]) for r in found.collect()) == [("R1", 3.0), ("R2", 6.0)]
+    (tmp_path / "two").mkdir()
+    for name, crs in (("g1", "EPSG:32631"), ("g2", "EPSG:2154")):
+        (tmp_path / "two" / f"{name}.txt").write_text(f"{crs}\n1 2 3 10 20 a.jpg P1\n")
+    two = cp.read_observations(spark, str(tmp_path / "two")).collect()
+    assert sorted((r["crs"], len(r["observations"])) for r in two) == [("EPSG:2154", 1), ("EPSG:32631", 1)]
     (tmp_path / "p.txt").write_text("# comment\nimg one.jpg 1 2 3\nb.jpg 4 5 6 # more\nb.jpg 7 8 9\n")
     got = {(r["name"], r["x"], r["duplicate"]) for r in cp.read_positions(spark, str(tmp_path / "p.txt")).collect()}
     assert got == {("img one.jpg", 1.0, False), ("b.jpg", 4.0, True), ("b.jpg", 7.0, True)}
@@ -41,6 +53,14 @@ def test_control_points(spark, tmp_path):
     assert got == {"P1": ["a.jpg", "b.jpg"], "4 5 6": ["a.jpg"]}
 
 
+def test_event_marks(spark, tmp_path):
+    line = "{}\t{}\t[2200]\t  -1,N\t  2,E\t  3,V\t48.5,Lat\t2.25,Lon\t101.5,Ellh\t0.01, 0.02, 0.03\t50,Q"
+    (tmp_path / "a.MRK").write_text("\n".join([line.format(1, 10.5), line.format(2, 11), "x\ty", line.format(2, 12.5), "3\t1\t[2]\ta\tb\tc\td\te\tf"]))
+    got = {r["event"]: r for r in cp.read_event_marks(spark, str(tmp_path / "a.MRK")).collect()}
+    assert set(got) == {1, 2} and got[2]["gps_second"] == 12.5 and got[1]["gps_week"] == 2200
+    assert (got[1]["latitude"], got[1]["longitude"], got[1]["altitude_m"], got[1]["deviations_m"]) == (48.5, 2.25, 101.5, [0.01, 0.02, 0.03])
+
+
 def test_geojson_round_trip(spark, tmp_path):
     features = spark.createDataFrame([(1, '{"type":"Point","coordinates":[1.0,2.0]}', "a"), (2, None, "b")], "id long, g string, name string")
     cp.write_geojson_lines(features, str(tmp_path / "out"), F.col("g"), ["id", "name"])
