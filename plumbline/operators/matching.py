@@ -72,3 +72,20 @@ def fan_in(plan: DataFrame, results: DataFrame, run: str, shard: str) -> DataFra
     missing = F.array_except(F.sequence(F.lit(0).cast("long"), (F.col("n_shards") - 1).cast("long")), "__have")
     return both.select(run, "n_shards", F.coalesce("n_results", F.lit(0)).alias("n_results"), missing.alias("missing"),
                        ((F.size(missing) == 0) & (F.col("n_results") == F.col("n_shards"))).alias("complete"))
+
+
+def spatial_hold_out(df: DataFrame, row_id: str, x: str, y: str, every: int, guard: int) -> DataFrame:
+    """Add `part`: the n/every rows nearest to the middle are `held_out`, the next n/guard a `guard` band, the rest `train`.
+
+    Distances are in units of the extent along each axis, rounded to nine digits; ties go by id. Ranks come from
+    range partitions.
+    """
+    from .ranking import global_rank
+
+    middle = df.agg(F.avg(x).alias("__cx"), F.avg(y).alias("__cy"), (F.max(x) - F.min(x)).alias("__wx"), (F.max(y) - F.min(y)).alias("__wy"), F.count(F.lit(1)).alias("__n"))
+    off = lambda c, m, w: F.coalesce(F.pow((F.col(c) - F.col(m)) / F.nullif(w, F.lit(0.0)), 2), F.lit(0.0))
+    away = df.join(F.broadcast(middle)).withColumn("__d", F.round(off(x, "__cx", "__wx") + off(y, "__cy", "__wy"), 9))
+    ranked = global_rank(away, [F.asc("__d"), F.asc(row_id)], "__k")
+    held, band = F.ceil(F.col("__n") / every), F.ceil(F.col("__n") / guard)
+    part = F.when(F.col("__k") <= held, "held_out").when(F.col("__k") <= held + band, "guard").otherwise("train")
+    return ranked.withColumn("part", part).select(*df.columns, "part")

@@ -144,3 +144,13 @@ def seam_ratio(raster: DataFrame, seam_col: int) -> DataFrame:
     means = steps.agg(F.avg(F.when(at, F.col("step"))).alias("seam_mean"), F.avg(F.when(~at, F.col("step"))).alias("interior_mean"))
     found = with_quantiles(steps, [], means, F.when(at, F.col("step")), {"seam_p95": ("linear", 0.95)})
     return found.withColumn("ratio", F.col("seam_mean") / F.nullif("interior_mean", F.lit(0.0)))
+
+
+def within_reach(df: DataFrame, x: str, y: str, centres: DataFrame, cx: str, cy: str, reach: float) -> DataFrame:
+    """Rows that have a centre within `reach`: centres go to the nine cells around theirs and meet the rows there."""
+    cell = lambda c: F.floor(F.col(c) / reach).cast("long")
+    step = F.array(F.lit(-1), F.lit(0), F.lit(1))
+    spread = centres.select(F.col(cx).alias("__x"), F.col(cy).alias("__y")).withColumn("__i", F.explode(step)).withColumn("__j", F.explode(step))
+    spread = spread.select("__x", "__y", (cell("__x") + F.col("__i")).alias("__cx"), (cell("__y") + F.col("__j")).alias("__cy"))
+    near = F.hypot(F.col(x) - F.col("__x"), F.col(y) - F.col("__y")) <= reach
+    return df.join(spread, (cell(x) == F.col("__cx")) & (cell(y) == F.col("__cy")) & near, "left_semi")

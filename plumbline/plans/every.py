@@ -1,6 +1,6 @@
 """All modules that register queries."""
 
-from . import catalogue, linking, matches, mutations, usage  # noqa: F401
+from . import catalogue, filters, linking, matches, mutations, usage  # noqa: F401
 
 QUERIES = catalogue.QUERIES
 ORACLE_SQL = catalogue.ORACLE_SQL
