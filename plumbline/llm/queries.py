@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
+    conversation_trie,
     html_extraction,
     language_id,
     minhash_dedup,
@@ -106,6 +107,11 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge_urls(pages, url_rules(spark)).drop("url")
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie of all conversations, each rebuilt on the first turns of its block."""
+    return conversation_trie.shared_start_trie(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -119,6 +125,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_nearest_neighbours,
         op9_minhash_dedup,
         op10_url_filters,
+        op13_conversation_trie,
     )
 }
 
@@ -174,5 +181,46 @@ WITH rules(r_host, r_path, r_verdict) AS (
     GROUP BY n
 )
 SELECT page_id, host, path, rule, COALESCE(verdict, 'allow') AS verdict FROM u LEFT JOIN best USING (n)
+""",
+    "op13_conversation_trie": r"""
+WITH own AS (
+    SELECT conv_id AS c, COALESCE(role, '') AS role, COALESCE(text, '') AS text,
+           row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, COALESCE(role, ''), COALESCE(text, '')) AS pos
+    FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+    SELECT c, c - c % 20 AS base, (4294967295 - list_reduce(
+               list_concat([4294967295], list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+               lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, z: xor(a >> 1, CASE WHEN a % 2 = 1 THEN 3988292384 ELSE 0 END))
+           )) % 4 AS h
+    FROM (SELECT DISTINCT c FROM own)
+), turns AS (
+    SELECT convs.c, 0 AS part, pos, role, text FROM convs JOIN own ON own.c = convs.base AND pos <= h
+    UNION ALL
+    SELECT own.c, 1, pos, role, text FROM own JOIN convs USING (c) WHERE pos > h
+), rebuilt AS (
+    SELECT *, row_number() OVER (PARTITION BY c ORDER BY part, pos) AS depth FROM turns
+), prefixes AS (
+    SELECT c, depth, text, md5(string_agg(concat(length(role), ':', length(text), ':', role, text), '') OVER (PARTITION BY c ORDER BY depth)) AS node
+    FROM rebuilt
+    UNION ALL SELECT c, 0, '', 'root' FROM convs
+), nodes AS (
+    SELECT node, depth, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * len(regexp_extract_all(any_value(text), '[^ 	-]+')) AS tokens
+    FROM prefixes GROUP BY node, depth
+), parents AS (
+    SELECT n.*, p.node AS parent, o.conv_id AS parent_conv_id
+    FROM nodes n LEFT JOIN prefixes p ON p.c = n.conv_id AND p.depth = n.depth - 1 LEFT JOIN nodes o ON o.node = p.node AND o.depth = n.depth - 1
+), children AS (
+    SELECT parent AS node, depth - 1 AS depth, count(*) AS n_children FROM parents WHERE parent IS NOT NULL GROUP BY ALL
+), below AS (
+    SELECT p.node, p.depth, sum(n.tokens) AS saved_tokens, sum(CASE WHEN k.n_children IS NULL THEN 1 ELSE 0 END) AS n_leaves
+    FROM nodes n LEFT JOIN children k USING (node, depth) JOIN prefixes p ON p.c = n.conv_id AND p.depth <= n.depth
+    GROUP BY p.node, p.depth
+), ends AS (
+    SELECT node, depth, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c)) AS ends
+    FROM prefixes JOIN (SELECT c, max(depth) AS depth FROM prefixes GROUP BY c) USING (c, depth) GROUP BY node, depth
+)
+SELECT conv_id, CAST(depth AS BIGINT) AS depth, parent_conv_id, n_convs, COALESCE(n_children, 0) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+       CAST(saved_tokens AS BIGINT) AS saved_tokens, COALESCE(ends, sha256('')) AS ends_sha256
+FROM parents LEFT JOIN children USING (node, depth) JOIN below USING (node, depth) LEFT JOIN ends USING (node, depth)
 """,
 }
