@@ -14,6 +14,7 @@ from . import (
     minhash_dedup,
     nearest_neighbours,
     packing,
+    phrase_mining,
     quality_classifier,
     quality_rules,
     source_mixing,
@@ -107,6 +108,11 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge_urls(pages, url_rules(spark)).drop("url")
 
 
+def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 best collocations of two and three words of each language."""
+    return phrase_mining.collocations(_table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every node of the prefix trie of all conversations, each rebuilt on the first turns of its block."""
     return conversation_trie.shared_start_trie(_table(spark, sf_dir, "conversations"))
@@ -125,6 +131,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_nearest_neighbours,
         op9_minhash_dedup,
         op10_url_filters,
+        op12_phrase_mining,
         op13_conversation_trie,
     )
 }
@@ -181,6 +188,37 @@ WITH rules(r_host, r_path, r_verdict) AS (
     GROUP BY n
 )
 SELECT page_id, host, path, rule, COALESCE(verdict, 'allow') AS verdict FROM u LEFT JOIN best USING (n)
+""",
+    "op12_phrase_mining": r"""
+WITH pieces AS (
+    SELECT COALESCE(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents
+), words AS (
+    SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), grams AS (
+    SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
+    FROM words, unnest([1, 2, 3]) AS t(k)
+), f AS (
+    SELECT lang, phrase, any_value(k) AS k, count(*) AS f FROM grams GROUP BY lang, phrase
+), candidates AS (
+    SELECT lang, phrase, k, f AS a FROM f WHERE k > 1 AND f >= 10
+), longer AS (
+    SELECT lang, unnest([regexp_extract(phrase, '^(.*) [^ ]*$', 1), regexp_extract(phrase, '^[^ ]* (.*)$', 1)]) AS phrase, a AS longest FROM candidates WHERE k = 3
+), left_over AS (
+    SELECT * FROM candidates c WHERE NOT EXISTS (FROM longer q WHERE q.lang = c.lang AND q.phrase = c.phrase AND 100 * q.longest >= 50 * c.a)
+), cuts AS (
+    SELECT lang, phrase, a, cut, array_to_string(string_split(phrase, ' ')[1:cut], ' ') AS first, array_to_string(string_split(phrase, ' ')[cut + 1:k], ' ') AS rest
+    FROM left_over, unnest([1, 2]) AS t(cut) WHERE cut < k
+), scored AS (
+    SELECT c.*, p.f AS l, q.f AS r, CAST(a::HUGEINT * a * 1000000 // (p.f::HUGEINT * q.f) AS BIGINT) AS score
+    FROM cuts c JOIN f p ON p.lang = c.lang AND p.phrase = c.first JOIN f q ON q.lang = c.lang AND q.phrase = c.rest
+), lowest AS (
+    SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest
+)
+SELECT lang, rank, phrase, a, l, r, n, score
+FROM ranked JOIN (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang) USING (lang) WHERE rank <= 2000
 """,
     "op13_conversation_trie": r"""
 WITH own AS (
@@ -204,7 +242,8 @@ WITH own AS (
     FROM rebuilt
     UNION ALL SELECT c, 0, '', 'root' FROM convs
 ), nodes AS (
-    SELECT node, depth, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * len(regexp_extract_all(any_value(text), '[^ 	-]+')) AS tokens
+    SELECT node, depth, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * len(regexp_extract_all(any_value(text), '[^ 	-
+]+')) AS tokens
     FROM prefixes GROUP BY node, depth
 ), parents AS (
     SELECT n.*, p.node AS parent, o.conv_id AS parent_conv_id
