@@ -18,6 +18,7 @@ from . import (
     quality_classifier,
     quality_rules,
     source_mixing,
+    substring_dedup,
     token_counts,
     url_filters,
 )
@@ -108,6 +109,12 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge_urls(pages, url_rules(spark)).drop("url")
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that passages of 13 words cover which a document with a smaller id has too."""
+    found = substring_dedup.repeated_passages(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 2,000 best collocations of two and three words of each language."""
     return phrase_mining.collocations(_table(spark, sf_dir, "documents").select("lang", "text"))
@@ -131,6 +138,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_nearest_neighbours,
         op9_minhash_dedup,
         op10_url_filters,
+        op11_substring_dedup,
         op12_phrase_mining,
         op13_conversation_trie,
     )
@@ -188,6 +196,29 @@ WITH rules(r_host, r_path, r_verdict) AS (
     GROUP BY n
 )
 SELECT page_id, host, path, rule, COALESCE(verdict, 'allow') AS verdict FROM u LEFT JOIN best USING (n)
+""",
+    "op11_substring_dedup": r"""
+WITH d AS (
+    SELECT row_number() OVER () AS n, doc_id, CASE WHEN text IS NULL THEN [] ELSE regexp_extract_all(text, '[^\x20\x09-\x0D]+') END AS w FROM documents
+), windows AS (
+    SELECT n, COALESCE(doc_id, 9223372036854775807) AS id, i, array_to_string(w[i:i + 12], ' ') AS passage
+    FROM (SELECT n, doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)
+), least AS (
+    SELECT passage, min(id) AS id FROM windows GROUP BY passage HAVING min(id) < max(id)
+), hits AS (
+    SELECT v.n, list(v.i) AS starts FROM windows v JOIN least l USING (passage) WHERE v.id > l.id GROUP BY v.n
+), gone AS (
+    SELECT n, list_distinct(flatten(list_transform(starts, lambda i: range(i, i + 13)))) AS places FROM hits
+), places AS (
+    SELECT n, unnest(places) AS i FROM gone
+), words AS (
+    SELECT n, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d WHERE n IN (SELECT n FROM gone)
+), kept AS (
+    SELECT words.n, string_agg(word, ' ' ORDER BY words.i) AS text FROM words ANTI JOIN places ON words.n = places.n AND words.i = places.i GROUP BY words.n
+)
+SELECT doc_id, len(w) AS n_words, COALESCE(len(places), 0) AS n_removed,
+       sha256(CASE WHEN places IS NULL THEN array_to_string(w, ' ') ELSE COALESCE(kept.text, '') END) AS kept_sha256
+FROM d LEFT JOIN gone USING (n) LEFT JOIN kept USING (n)
 """,
     "op12_phrase_mining": r"""
 WITH pieces AS (
