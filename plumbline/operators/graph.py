@@ -11,10 +11,11 @@ from .lineage import cut
 def reachable(edges: DataFrame, roots: DataFrame, src: str, dst: str) -> DataFrame:
     """Nodes that can be reached from the roots (`node`), with the fewest steps (`depth`): breadth-first."""
     found = cut(roots.select(F.col(roots.columns[0]).alias("node")).distinct().withColumn("depth", F.lit(0)))
+    steps = edges.select(F.col(src).alias("__src"), F.col(dst).alias("__dst"))
     front, depth = found, 0
     while True:
         depth += 1
-        ahead = front.join(edges, F.col("node") == F.col(src)).select(F.col(dst).alias("node")).distinct()
+        ahead = front.join(steps, F.col("node") == F.col("__src")).select(F.col("__dst").alias("node")).distinct()
         front = cut(ahead.join(found.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
         if not front.limit(1).count():
             return found

@@ -29,6 +29,24 @@ def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataF
     )
 
 
+def running_sums(df: DataFrame, keys: list[str], order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """Add running sums inside each key (or over all rows) in a total order, the row's own value included.
+
+    Rows are dealt by ranges of (keys, order), so that a key with many rows is spread over tasks. What is carried
+    over from range to range is one row for each range at most. No key may be null.
+    """
+    placed = cut(df.repartitionByRange(*keys, *order).withColumn("__part", F.spark_partition_id()))
+    inside = Window.partitionBy("__part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    totals = placed.groupBy("__part", *keys).agg(*[F.sum(c).alias(f"__{n}") for n, c in sums.items()])
+    earlier = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    if keys:
+        goes_on = totals.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select(*keys)
+        totals = totals.join(goes_on, keys, "left_semi")
+    carried = totals.select("__part", *keys, *[F.sum(f"__{n}").over(earlier).alias(f"__{n}") for n in sums])
+    both = placed.withColumns({n: F.sum(c).over(inside) for n, c in sums.items()}).join(F.broadcast(carried), ["__part", *keys], "left")
+    return both.withColumns({n: F.coalesce(n, F.lit(0)) + F.coalesce(f"__{n}", F.lit(0)) for n in sums}).select(*df.columns, *sums)
+
+
 def latest_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in the given order (attempts, creation times, ids)."""
     return df.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__rn = 1").drop("__rn")
