@@ -73,12 +73,12 @@ def tree_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trees.tree_violations(leaves.select(F.lit("parts").alias("tree"), F.lit("1").alias("root"), "records"), nodes, packs)
 
 
-_CAMERA = Camera(position=(900.0, 20.0, 400.0), direction=(0.2, 0.1, -1.0), up=(0.0, 1.0, 0.0), opening=1.0, width=1920, height=1080)
+_CAMERA = Camera(position=(700.0, -150.0, 1500.0), direction=(0.2, 0.1, -1.0), up=(0.0, 1.0, 0.0), opening=0.6, width=1920, height=1080)
 
 
 @query("""
 WITH RECURSIVE c AS (
-    SELECT 900.0::DOUBLE AS px, 20.0::DOUBLE AS py, 400.0::DOUBLE AS pz, tan(0.5) AS ty, tan(0.5) * 1920 / 1080 AS tx, 1080 / (2 * tan(0.5)) AS focal,
+    SELECT 700.0::DOUBLE AS px, -150.0::DOUBLE AS py, 1500.0::DOUBLE AS pz, tan(0.3) AS ty, tan(0.3) * 1920 / 1080 AS tx, 1080 / (2 * tan(0.3)) AS focal,
            0.2 / sqrt(1.05) AS fx, 0.1 / sqrt(1.05) AS fy, -1 / sqrt(1.05) AS fz
 ), axes AS (
     -- right = ahead x up, up = right x ahead
@@ -86,8 +86,8 @@ WITH RECURSIVE c AS (
 ), a AS (
     SELECT *, ry * fz - rz * fy AS ux, rz * fx - rx * fz AS uy, rx * fy - ry * fx AS uz FROM axes
 ), b AS (
-    SELECT p_partkey AS k, p_size AS records, p_retailprice - 30 * p_size AS x0, p_retailprice + 30 * p_size AS x1, -40.0 * (p_partkey % 9 + 1) AS y0, 35.0 * (p_partkey % 7 + 1) AS y1, -50.0 AS z0, 50.0 AS z1,
-           p_size / 10.0 AS e, NOT EXISTS (FROM part q WHERE q.p_partkey // 2 = part.p_partkey) AS leaf FROM part
+    SELECT (p_partkey + 1) AS k, p_size AS records, p_retailprice - 15 AS x0, p_retailprice + 15 AS x1, 10.0 * ((p_partkey + 1) % 97) - 495 AS y0, 10.0 * ((p_partkey + 1) % 97) - 465 AS y1, -5.0 AS z0, 5.0 AS z1,
+           3000 / sqrt((p_partkey + 1)) AS e, NOT EXISTS (FROM part q WHERE (q.p_partkey + 1) // 2 = part.p_partkey + 1) AS leaf FROM part
 ), m AS (
     SELECT b.*, a.*, (x0 + x1) / 2 - px AS cx, (y0 + y1) / 2 - py AS cy, (z0 + z1) / 2 - pz AS cz, (x1 - x0) / 2 AS hx, (y1 - y0) / 2 AS hy, (z1 - z0) / 2 AS hz FROM b, a
 ), p AS (
@@ -107,15 +107,15 @@ WITH RECURSIVE c AS (
 ), spans AS (
     SELECT k, records, error, radius, leaf, CASE WHEN refinable THEN error ELSE 0 END AS since, until FROM down WHERE visible AND (leaf OR refinable)
 ), budget AS (
-    SELECT sum(p_size) // 20 AS budget FROM part
+    SELECT sum(p_size) // 9 AS budget FROM part
 ), thresholds AS (
-    SELECT at, row_number() OVER (ORDER BY at) AS n FROM (SELECT 0.0::DOUBLE AS at UNION SELECT error FROM v WHERE visible AND NOT leaf AND error > 0)
+    SELECT bound, row_number() OVER (ORDER BY bound) AS n FROM (SELECT 0.0::DOUBLE AS bound UNION SELECT error FROM v WHERE visible AND NOT leaf AND error > 0)
 ), costs AS (
-    SELECT n, at, (SELECT COALESCE(sum(records), 0) FROM spans WHERE since <= at AND until > at) AS cost FROM thresholds
+    SELECT n, bound, (SELECT COALESCE(sum(records), 0) FROM spans WHERE since <= bound AND until > bound) AS cost FROM thresholds
 ), search(lo, hi, found) AS (
-    SELECT 1::BIGINT, max(n), CASE WHEN (SELECT cost FROM costs WHERE at = 0) <= (SELECT budget FROM budget) THEN 0.0::DOUBLE END FROM costs
+    SELECT 1::BIGINT, max(n), CASE WHEN (SELECT cost FROM costs WHERE bound = 0) <= (SELECT budget FROM budget) THEN 0.0::DOUBLE END FROM costs
     UNION ALL
-    SELECT CASE WHEN cost <= budget THEN lo ELSE (lo + hi) // 2 + 1 END, CASE WHEN cost <= budget THEN (lo + hi) // 2 - 1 ELSE hi END, CASE WHEN cost <= budget THEN at ELSE found END
+    SELECT CASE WHEN cost <= budget THEN lo ELSE (lo + hi) // 2 + 1 END, CASE WHEN cost <= budget THEN (lo + hi) // 2 - 1 ELSE hi END, CASE WHEN cost <= budget THEN bound ELSE found END
     FROM search JOIN costs ON n = (lo + hi) // 2, budget WHERE lo <= hi AND NOT (found IS NOT NULL AND found = 0.0)
 ), chosen AS (
     SELECT found AS threshold FROM search ORDER BY hi - lo LIMIT 1
@@ -123,15 +123,15 @@ WITH RECURSIVE c AS (
 SELECT k AS node, records, round(error, 4) AS error, round(radius, 2) AS radius, leaf AS exact, round(threshold, 4) AS threshold FROM spans, chosen WHERE since <= threshold AND until > threshold
 """)
 def tile_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The tiles of a tree of all parts to show from a camera, with a twentieth of their records as budget."""
+    """The tiles of a tree of all parts to show from a camera, with a ninth of their records as budget."""
     part = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice")
-    k, size, price = F.col("p_partkey"), F.col("p_size"), F.col("p_retailprice")
+    k, size, price = F.col("p_partkey") + 1, F.col("p_size"), F.col("p_retailprice")
     parents = part.select(F.floor(k / 2).alias("__parent")).distinct()
-    low = [price - 30 * size, -40.0 * (k % 9 + 1), F.lit(-50.0)]
-    high = [price + 30 * size, 35.0 * (k % 7 + 1), F.lit(50.0)]
+    low = [price - 15, 10.0 * (k % 97) - 495, F.lit(-5.0)]
+    high = [price + 15, 10.0 * (k % 97) - 465, F.lit(5.0)]
     nodes = part.join(parents, k == F.col("__parent"), "left").withColumn("leaf", F.col("__parent").isNull())
-    nodes = nodes.select(k.alias("node"), F.when(k > 1, F.floor(k / 2)).alias("parent"), size.cast("long").alias("records"), "leaf", seen(_CAMERA, low, high, size / 10.0, ~F.col("leaf")).alias("s"))
+    nodes = nodes.select(k.alias("node"), F.when(k > 1, F.floor(k / 2)).alias("parent"), size.cast("long").alias("records"), "leaf", seen(_CAMERA, low, high, 3000 / F.sqrt(k), ~F.col("leaf")).alias("s"))
     nodes = nodes.select("node", "parent", "records", "leaf", "s.*")
-    budget = part.agg(F.floor(F.sum("p_size") / 20)).first()[0]
+    budget = part.agg(F.floor(F.sum("p_size") / 9)).first()[0]
     found = trees.best_cut(nodes, budget, 2.0)
     return found.select("node", "records", F.round("error", 4).alias("error"), F.round("radius", 2).alias("radius"), "exact", F.round("threshold", 4).alias("threshold"))
