@@ -37,11 +37,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import frees, saved
+from .common import frees, saved, trim
 
 WINDOW = 13
-#: Bytes of text of a block, about.
-BLOCK_BYTES = 8_000_000
+#: Bytes of text of a block, about; a task holds some 25 times as many.
+BLOCK_BYTES = 4_000_000
 #: Hashes of a range, and suffixes of a group, about.
 RANGE_HASHES = 4_000_000
 GROUP_SUFFIXES = 250_000
@@ -88,34 +88,76 @@ def _deep_nodes(suffixes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 class _Block:
-    """The words of a block's texts as numbers, and its windows."""
+    """Texts of a block, one a line, with single blanks between words: where words and windows lie."""
 
     def __init__(self, texts: bytes, window: int):
-        self.texts = texts.split(b"\n")
-        words = [t.split(b" ") for t in self.texts]
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        numbers: dict[bytes, int] = {}
-        self.ids = np.fromiter((numbers.setdefault(w, len(numbers)) for t in words for w in t), np.int32, sizes.sum())
-        self.names = list(numbers)
-        self.starts = np.concatenate([[0], np.cumsum(sizes)])
-        self.sizes = sizes
-        inside = np.arange(len(self.ids)) - np.repeat(self.starts[:-1], sizes)
+        self.bytes = texts
+        self.window = window
+        raw = np.frombuffer(texts, np.uint8)
+        gaps = np.flatnonzero((raw == 32) | (raw == 10))
+        #: First byte and end of each word.
+        self.start = np.concatenate([[0], gaps + 1])
+        self.stop = np.concatenate([gaps, [len(raw)]])
+        last = np.concatenate([np.flatnonzero(raw[gaps] == 10), [len(gaps)]])
+        self.sizes = np.diff(last, prepend=-1)
+        #: First word of each text.
+        self.first = last + 1 - self.sizes
+        text = np.repeat(np.arange(len(last)), self.sizes)
         #: First word and text of each window.
-        self.at = np.flatnonzero(inside + window <= np.repeat(sizes, sizes))
-        self.text = np.repeat(np.arange(len(sizes)), sizes)[self.at]
-        seed = max(1, window // 2)
-        drawn = np.fromiter(map(xxhash.xxh3_64_intdigest, self.names), np.uint64, len(self.names))[self.ids]
-        n = len(drawn) - seed + 1
-        mixed = np.zeros(max(0, n), np.uint64)
-        for i in range(seed if n > 0 else 0):
-            mixed = (mixed ^ drawn[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+        self.at = np.flatnonzero(np.arange(len(text)) + window <= np.repeat(last + 1, self.sizes))
+        self.text = text[self.at]
+
+    def lowest_hashes(self) -> np.ndarray:
+        """Of each window the smallest 48-bit hash of its sequences of half its words."""
+        seed = max(1, self.window // 2)
+        drawn = _word_hashes(np.frombuffer(self.bytes, np.uint8), self.start, self.stop)
+        mixed = np.zeros(len(drawn) - seed + 1, np.uint64)
+        for i in range(seed):
+            mixed = (mixed ^ drawn[i : i + len(mixed)]) * np.uint64(0x9E3779B97F4A7C15)
             mixed ^= mixed >> np.uint64(29)
         mixed >>= np.uint64(16)
-        lowest = mixed[self.at] if n > 0 else np.zeros(0, np.uint64)
-        for i in range(1, window - seed + 1):
-            lowest = np.minimum(lowest, mixed[self.at + i])
-        #: The smallest of the 48-bit hashes in each window.
-        self.lowest = lowest
+        lowest = mixed[self.at]
+        for i in range(1, self.window - seed + 1):
+            np.minimum(lowest, mixed[self.at + i], out=lowest)
+        return lowest
+
+    def suffixes(self, windows: np.ndarray) -> np.ndarray:
+        """The words of some windows as numbers, a row for each."""
+        at = self.at[windows]
+        inside = np.zeros(len(self.start) + 1, np.int32)
+        np.add.at(inside, at, 1)
+        np.add.at(inside, at + self.window, -1)
+        words = np.flatnonzero(np.cumsum(inside[:-1]))
+        numbers: dict[bytes, int] = {}
+        data = self.bytes
+        out = np.zeros(len(self.start), np.int32)
+        out[words] = [numbers.setdefault(data[a:b], len(numbers)) for a, b in zip(self.start[words].tolist(), self.stop[words].tolist(), strict=True)]
+        return np.stack([out[at + i] for i in range(self.window)], axis=1)
+
+    def lines(self, windows: np.ndarray) -> list[bytes]:
+        at = self.at[windows]
+        return [self.bytes[a:b] for a, b in zip(self.start[at].tolist(), self.stop[at + self.window - 1].tolist(), strict=True)]
+
+    def whole(self, text: int) -> bytes:
+        first = self.first[text]
+        return self.bytes[self.start[first] : self.stop[first + self.sizes[text] - 1]]
+
+
+_RANDOM = np.random.default_rng(20).integers(1, 2**63, (2, 4096), dtype=np.uint64) | np.uint64(1)
+_OF_BYTE = np.where(np.isin(np.arange(256), (10, 32)), 0, _RANDOM[0][:256]).astype(np.uint64)
+
+
+def _word_hashes(raw: np.ndarray, start: np.ndarray, stop: np.ndarray, piece: int = 1 << 19) -> np.ndarray:
+    """A hash of each word: random numbers of its bytes times those of their places, some words at a time."""
+    out = np.empty(len(start), np.uint64)
+    lo = 0
+    while lo < len(start):
+        hi = max(lo + 1, int(np.searchsorted(stop, start[lo] + piece)))
+        first, end = start[lo], start[hi] if hi < len(start) else len(raw)
+        place = np.arange(first, end) - np.repeat(start[lo:hi], np.diff(start[lo:hi], append=end))
+        out[lo:hi] = np.add.reduceat(_OF_BYTE[raw[first:end]] * _RANDOM[1][np.minimum(place, 4095)], start[lo:hi] - first)
+        lo = hi
+    return out
 
 
 def _packed_hashes(values: np.ndarray) -> bytes:
@@ -134,10 +176,15 @@ def _digested(docs: DataFrame, keep_text: bool) -> DataFrame:
     @frees
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            joined = [t.split() for t in batch.column(1).to_pylist()]
-            sizes = [len(t) for t in joined]
-            joined = [b" ".join(t) for t in joined]
-            columns = {"digest": (pa.binary(), [hashlib.sha256(t).digest() for t in joined]), "n_words": (pa.int64(), sizes)}
+            digests, sizes, joined = [], [], []
+            for text in batch.column(1):
+                words = text.as_py().split()
+                sizes.append(len(words))
+                words = b" ".join(words)
+                digests.append(hashlib.sha256(words).digest())
+                if keep_text:
+                    joined.append(words)
+            columns = {"digest": (pa.binary(), digests), "n_words": (pa.int64(), sizes)}
             made = _batch(columns | ({"words": (pa.binary(), joined)} if keep_text else {}))
             yield pa.RecordBatch.from_arrays([batch.column(0), *made.columns], names=["doc_id", *made.schema.names])
 
@@ -180,11 +227,12 @@ def _shared_hashes(blocks: DataFrame, window: int, ranges: int) -> DataFrame:
     def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, texts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                values = np.unique(_Block(_unpack(texts.as_py()), window).lowest)
+                values = np.unique(_Block(_unpack(texts.as_py()), window).lowest_hashes())
                 at = (values % np.uint64(ranges)).astype(np.int64)
                 order = np.argsort(at, kind="stable")
                 starts = np.flatnonzero(np.diff(at[order], prepend=-1))
                 parts = np.split(values[order], starts[1:]) if len(starts) else []
+                trim()
                 yield _batch({"range": (pa.int64(), at[order][starts].tolist()), "block": (pa.string(), [block] * len(parts)), "hashes": (pa.binary(), [_packed_hashes(p) for p in parts])})
 
     @frees
@@ -203,6 +251,7 @@ def _shared_hashes(blocks: DataFrame, window: int, ranges: int) -> DataFrame:
                 if own != at:
                     if held:
                         yield answers()
+                        trim()
                     at, held = own, []
                 held.append((block, _unpacked_hashes(hashes.as_py())))
         if held:
@@ -231,17 +280,21 @@ def _suffixes(blocks: DataFrame, hashes: DataFrame, window: int) -> DataFrame:
                 ids = np.frombuffer(ids.as_py(), np.int64)
                 digests = digests.as_py()
                 shared = np.concatenate([np.zeros(0, np.uint64), *[_unpacked_hashes(h) for h in shared.as_py() or []]])
-                elsewhere = np.isin(block.lowest, shared)
+                lowest = block.lowest_hashes()
+                elsewhere = np.isin(lowest, shared)
                 # Hashes that two texts of this block have.
-                values, place = np.unique(block.lowest, return_inverse=True)
-                low, high = np.full(len(values), len(ids)), np.full(len(values), -1)
-                np.minimum.at(low, place, block.text)
-                np.maximum.at(high, place, block.text)
-                chosen = np.flatnonzero(elsewhere | (low < high)[place])
+                order = np.argsort(lowest, kind="stable")
+                runs = np.flatnonzero(np.diff(lowest[order], prepend=~lowest[order[:1]]))
+                several = block.text[order[runs]] < block.text[order[np.append(runs[1:], len(order)) - 1]]
+                here = np.empty(len(order), bool)
+                here[order] = np.repeat(several, np.diff(runs, append=len(order)))
+                chosen = np.flatnonzero(elsewhere | here)
+                del lowest, order, here
+                trim()
                 if not len(chosen):
                     continue
                 at, text = block.at[chosen], block.text[chosen]
-                node, least, one = _deep_nodes(block.ids[at[:, None] + np.arange(window)], ids[text])
+                node, least, one = _deep_nodes(block.suffixes(chosen), ids[text])
                 beaten = ids[text] > least[node]
                 sent = np.flatnonzero(elsewhere[chosen][one])
                 number = np.full(len(least), -1)
@@ -252,15 +305,15 @@ def _suffixes(blocks: DataFrame, hashes: DataFrame, window: int) -> DataFrame:
                     continue
                 # Positions among the words of the texts kept.
                 moved = np.zeros(len(ids), np.int64)
-                moved[touched] = np.cumsum(block.sizes[touched]) - block.sizes[touched] - block.starts[touched]
+                moved[touched] = np.cumsum(block.sizes[touched]) - block.sizes[touched] - block.first[touched]
                 at = at + moved[text]
                 bits = np.zeros(int(block.sizes[touched].sum()), np.uint8)
                 bits[at[beaten]] = 1
-                lines = [b" ".join([block.names[i] for i in row]) for row in block.ids[block.at[chosen][one[sent]][:, None] + np.arange(window)].tolist()]
+                lines = block.lines(chosen[one[sent]])
                 columns = {
                     "lines": b"\n".join(lines), "least": least[sent].tobytes(), "node": number[node[waits]].astype(np.int32).tobytes(),
                     "at": at[waits].astype(np.int64).tobytes(), "beaten": np.packbits(bits).tobytes(),
-                    "digests": b"".join(digests[32 * i : 32 * i + 32] for i in touched), "texts": b"\n".join([block.texts[i] for i in touched]),
+                    "digests": b"".join(digests[32 * i : 32 * i + 32] for i in touched), "texts": b"\n".join([block.whole(i) for i in touched]),
                 }
                 yield _batch({"block": (pa.string(), [name.as_py()]), "n": (pa.int64(), [len(sent)])} | {k: (pa.binary(), [_pack(v)]) for k, v in columns.items()})
 
@@ -354,6 +407,7 @@ def _outdone(suffixes: DataFrame, heavy: list[np.ndarray], groups: int, window:
                 if own != at:
                     if held:
                         yield answers()
+                        trim()
                     at, held = own, []
                 held.append((block.as_py(), np.frombuffer(number.as_py(), np.int32), _unpack(lines.as_py()).split(b"\n"), np.frombuffer(least.as_py(), np.int64)))
         if held:
