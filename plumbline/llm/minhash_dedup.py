@@ -195,27 +195,34 @@ def _confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     return rows.mapInArrow(similar, "hub binary, node binary").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
 
 
-def _texts_of(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """The text of each node (node, rep): one row, found by the id of a document that has that set."""
+def _few(ids: DataFrame) -> DataFrame:
+    return F.broadcast(ids) if ids.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES else ids
+
+
+def _texts_of(docs: DataFrame, nodes: DataFrame, width: int, again: DataFrame | None) -> DataFrame:
+    """The text of each node (node, doc_id): one row, found by the id of a document that has that set.
+
+    `again` has the ids that several documents have, null among them. What they name is found by its set as well, so
+    that a node meets no document but those with its own set.
+    """
     wanted = nodes.select("node", F.col("doc_id").alias("rep"))
-    if wanted.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES:
-        wanted = F.broadcast(wanted)
-    found = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text")
+    if again is None:
+        return saved(docs.join(_few(wanted), F.col("doc_id") == F.col("rep")).select("node", "text"), "dedup-texts")
 
     @frees
-    def same_set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def with_set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [
-                xxhash.xxh3_128_digest(shingle_set(text.as_py(), width).tobytes()) == node.as_py()
-                for node, text in zip(batch.column(0), batch.column(1), strict=True)
-            ]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            sets = (shingle_set(text.as_py(), width) for text in batch.column(1))
+            prints = pa.array([xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), prints, batch.column(1)], names=["doc_id", "own", "text"])
 
-    checked = saved(found.mapInArrow(same_set, "node binary, text string"), "dedup-texts")
-    # Ids are unique as a rule; where they are not, a node may have found several texts with its set.
-    if checked.groupBy("node").count().where("count > 1").limit(1).count():
-        checked = saved(checked.dropDuplicates(["node"]), "dedup-texts")
-    return checked
+    named = again.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("rep"))
+    once = wanted.where("rep IS NOT NULL").join(named, "rep", "left_anti")
+    found = docs.join(_few(once), F.col("doc_id") == F.col("rep")).select("node", "text")
+    several = docs.where("doc_id IS NOT NULL").join(_few(named), F.col("doc_id") == F.col("rep"), "left_semi")
+    several = several.unionByName(docs.where("doc_id IS NULL")).mapInArrow(with_set, "doc_id long, own binary, text string")
+    more = several.join(wanted, (F.col("own") == F.col("node")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text")
+    return saved(found.unionByName(more.dropDuplicates(["node"])), "dedup-texts")
 
 
 def _fine_sketches(texts: DataFrame, width: int) -> DataFrame:
@@ -271,6 +278,9 @@ def _judged(docs: DataFrame, shingle_words: int, percent: int, id_col: str, text
     """The rows of `near_duplicates` with `node`, and `one`: whether this id and set stand for the component."""
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     described = saved(_nodes(docs, shingle_words, bands, rows), "dedup-documents")
+    again = described.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    again = saved(again.where("n > 1 OR doc_id IS NULL").select("doc_id"), "dedup-again")
+    repeated = again if again.limit(1).count() else None
     nodes = saved(
         described.where("n_shingles > 0").groupBy("node").agg(
             F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("buckets").alias("buckets"), F.first("sketch").alias("sketch")
@@ -301,11 +311,11 @@ def _judged(docs: DataFrame, shingle_words: int, percent: int, id_col: str, text
         nonlocal texts
         wanted = known.join(wanted, "node", "left_semi").select("node", "doc_id")
         if texts is None:
-            texts = _texts_of(docs, wanted, shingle_words)
+            texts = _texts_of(docs, wanted, shingle_words, repeated)
         else:
             wanted = saved(wanted.join(texts, "node", "left_anti"), "dedup-wanted")
             if wanted.limit(1).count():
-                texts = texts.unionByName(_texts_of(docs, wanted, shingle_words))
+                texts = texts.unionByName(_texts_of(docs, wanted, shingle_words, repeated))
         return texts
 
     def confirmed(pairs: DataFrame) -> DataFrame:
@@ -410,14 +420,11 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = named.where(~F.col("one")).select(F.col("doc_id").alias("__gone")).distinct()
     again = named.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__again"))
 
-    def few(ids: DataFrame) -> DataFrame:
-        return F.broadcast(ids) if ids.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES else ids
-
     own = F.col(f"`{id_col}`").cast("long")
     if not again.limit(1).count():
-        return docs.join(few(gone), own == F.col("__gone"), "left_anti")
-    repeated = few(again)
-    once = docs.join(repeated, own == F.col("__again"), "left_anti").join(few(gone), own == F.col("__gone"), "left_anti")
+        return docs.join(_few(gone), own == F.col("__gone"), "left_anti")
+    repeated = _few(again)
+    once = docs.join(repeated, own == F.col("__again"), "left_anti").join(_few(gone), own == F.col("__gone"), "left_anti")
 
     @F.arrow_udf("binary")
     @frees
@@ -427,7 +434,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     # Rows of an id that others have too are told apart by their sets.
     ones = named.where("one").join(repeated, F.col("doc_id") == F.col("__again"), "left_semi")
-    ones = few(ones.select(F.col("doc_id").alias("__id"), F.col("node").alias("__one")).distinct())
+    ones = _few(ones.select(F.col("doc_id").alias("__id"), F.col("node").alias("__one")).distinct())
     more = docs.join(repeated, own == F.col("__again"), "left_semi").withColumns({"__own": own, "__node": set_print(F.col(f"`{text_col}`"))})
     more = more.join(ones, (F.col("__own") == F.col("__id")) & F.col("__node").eqNullSafe(F.col("__one")), "left_semi")
     more = more.withColumn("__text", F.when(F.col("__node").isNull(), F.col(f"`{text_col}`")))

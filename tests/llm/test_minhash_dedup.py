@@ -110,3 +110,32 @@ def test_small_blocks_and_shared_hubs(spark, monkeypatch):
     got = md.near_duplicates(docs).collect()
     assert sorted(tuple(r)[:3] for r in got) == sorted(_brute(rows, 5, 80))
     assert 2 < len({r["component_id"] for r in got}) < 60
+
+
+def test_many_rows_with_a_null_or_equal_id(spark, monkeypatch):
+    """Texts are found by id and set, so that rows met follow the rows there are."""
+    met = []
+    kept = md.saved
+
+    def counted(df, name):
+        out = kept(df, name)
+        if name == "dedup-texts":
+            met.append(out.count())
+        return out
+
+    monkeypatch.setattr(md, "saved", counted)
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for k in range(240):
+        copy = list(base)
+        copy[rng.randrange(len(copy))] = f"x{k}"
+        rows.append((None if k % 3 else 7, " ".join(copy)))
+    rows += [(7, None), (None, None), (7, ""), (9, " ".join(base)), (9, None), (9, "another text"), (11, "another text")] + rows[:5]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = md.near_duplicates(docs).collect()
+    key = lambda t: tuple(-1 if x is None else x for x in t)
+    assert sorted((tuple(r)[:3] for r in got), key=key) == sorted(_brute(rows, 5, 80), key=key)
+    assert met and sum(met) <= len(rows)
+    got = [(r["doc_id"], r["text"]) for r in md.deduplicate(docs).collect()]
+    assert [r for r in got if r[0] == 7] and (9, " ".join(base)) not in got
