@@ -16,7 +16,10 @@ phrase, give no rows. Columns beyond those named are not read.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
+from itertools import chain
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import frees, saved
+from .common import frees, saved, trim
 
 #: Words of a phrase, at most, and occurrences, at least.
 MOST_WORDS = 3
@@ -52,18 +55,16 @@ class PhraseAutomaton:
         self.link = [-1]
         self.length = [0]
         self.count = [0]
-        self.next: list[dict[int, int]] = [{}]
-
-    def _state(self, length: int, link: int, following: dict[int, int]) -> int:
-        self.length.append(length)
-        self.link.append(link)
-        self.count.append(0)
-        self.next.append(following)
-        return len(self.length) - 1
+        #: Steps from each state by symbol; None where there is none.
+        self.next: list[dict[int, int] | None] = [{}]
 
     def _split(self, p: int, symbol: int, q: int, length: int) -> int:
         """Part the strings of at most `length` symbols from state q, which p reaches by the symbol."""
-        part = self._state(length, self.link[q], dict(self.next[q]))
+        part = len(self.length)
+        self.length.append(length)
+        self.link.append(self.link[q])
+        self.count.append(0)
+        self.next.append(dict(self.next[q]) if self.next[q] else None)
         self.link[q] = part
         while p >= 0 and self.next[p].get(symbol) == q:
             self.next[p][symbol] = part
@@ -72,37 +73,55 @@ class PhraseAutomaton:
 
     def add(self, symbols: list[int], weight: int) -> None:
         """Add a sequence that occurs `weight` times."""
-        length, link, following = self.length, self.link, self.next
+        length, link, count, following = self.length, self.link, self.count, self.next
         most = self.depth - 1
         p = 0
         for symbol in symbols:
-            if length[p] > most == length[link[p]]:
-                p = link[p]
-            span = min(length[p], most) + 1
-            q = following[p].get(symbol)
-            if q is not None:
-                now = q if length[q] == span else self._split(p, symbol, q, span)
-            else:
-                now = self._state(span, 0, {})
-                while p >= 0 and symbol not in following[p]:
-                    following[p][symbol] = now
+            known = length[p]
+            if known > most:
+                known = most
+                if length[link[p]] == most:
                     p = link[p]
-                if p >= 0:
-                    q, span = following[p][symbol], min(length[p], most) + 1
-                    link[now] = q if length[q] == span else self._split(p, symbol, q, span)
-            self.count[now] += weight
+            steps = following[p]
+            q = steps.get(symbol) if steps else None
+            if q is not None:
+                p = q if length[q] == known + 1 else self._split(p, symbol, q, known + 1)
+                count[p] += weight
+                continue
+            now = len(length)
+            length.append(known + 1)
+            link.append(0)
+            count.append(weight)
+            following.append(None)
+            while p >= 0:
+                steps = following[p]
+                if steps is None:
+                    following[p] = {symbol: now}
+                elif symbol in steps:
+                    q, known = steps[symbol], length[p]
+                    if known > most:
+                        known = most
+                    link[now] = q if length[q] == known + 1 else self._split(p, symbol, q, known + 1)
+                    break
+                else:
+                    steps[symbol] = now
+                p = link[p]
             p = now
 
     def substrings(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For each length from 1 to `depth` a matrix with a row of symbols for each substring, and their counts."""
+        """For each length from 1 to `depth` a matrix with a row of symbols for each substring, and their counts.
+
+        Rows with the same first symbols stand together.
+        """
         length, link, ends = np.array(self.length), np.array(self.link), np.array(self.count, np.int64)
         for n in range(self.depth, 0, -1):
             own = np.flatnonzero(length == n)
             np.add.at(ends, link[own], ends[own])
-        sizes = np.fromiter(map(len, self.next), np.int64, len(self.next))
+        steps = [d or {} for d in self.next]
+        sizes = np.fromiter(map(len, steps), np.int64, len(steps))
         first = np.concatenate([[0], np.cumsum(sizes)])
-        symbols = np.fromiter((s for d in self.next for s in d), np.int64, first[-1])
-        states = np.fromiter((t for d in self.next for t in d.values()), np.int64, first[-1])
+        symbols = np.fromiter(chain.from_iterable(steps), np.int64, first[-1])
+        states = np.fromiter(chain.from_iterable(map(dict.values, steps)), np.int64, first[-1])
         rows, at = np.zeros((1, 0), np.int64), np.zeros(1, np.int64)
         for _ in range(self.depth):
             n = sizes[at]
@@ -124,27 +143,27 @@ def _shard_rows(lang: str, pieces: dict[bytes, int], most_words: int, buckets: i
         symbols = [numbers.setdefault(w, len(numbers)) for w in piece.split()]
         words += weight * len(symbols)
         automaton.add(symbols, weight)
-    names = sorted(numbers)
-    # Symbols in the order of their words, so that phrases of a bucket are packed in order.
-    place = np.empty(len(names), np.int64)
-    place[[numbers[w] for w in names]] = np.arange(len(names))
+    names = list(numbers)
+    spaced = [w + b" " for w in names]
     drawn = np.fromiter(map(xxhash.xxh3_64_intdigest, names), np.uint64, len(names))
-    packer = zstandard.ZstdCompressor(level=3)
+    packer = zstandard.ZstdCompressor(level=1)
     for rows, counts in automaton.substrings():
         if not len(rows):
             break
-        rows = place[rows]
         hashes = np.full(len(rows), rows.shape[1], np.uint64)
         for column in rows.T:
             hashes = (hashes ^ drawn[column]) * np.uint64(0x9E3779B97F4A7C15)
             hashes ^= hashes >> np.uint64(29)
         bucket = _buckets(hashes, buckets)
-        order = np.lexsort((*rows.T[::-1], bucket))
+        # Phrases with the same first words stay together, which packs well.
+        order = np.argsort(bucket.astype(np.uint16) if buckets < 65_536 else bucket, kind="stable")
         rows, counts, bucket = rows[order], counts[order], bucket[order]
+        lines = list(map(names.__getitem__, rows[:, -1].tolist()))
+        for column in rows.T[-2::-1]:
+            lines = list(map(add, map(spaced.__getitem__, column.tolist()), lines))
         starts = np.flatnonzero(np.diff(bucket, prepend=-1))
-        for lo, hi in zip(starts, [*starts[1:], len(bucket)], strict=True):
-            lines = [b" ".join([names[i] for i in row]) for row in rows[lo:hi].tolist()]
-            yield lang, int(bucket[lo]), packer.compress(b"\n".join(lines)), packer.compress(counts[lo:hi].tobytes()), words
+        for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(bucket)], strict=True):
+            yield lang, int(bucket[lo]), packer.compress(b"\n".join(lines[lo:hi])), packer.compress(counts[lo:hi].tobytes()), words
             words = 0
 
 
@@ -164,7 +183,10 @@ def phrase_counts(docs: DataFrame, most_words: int = MOST_WORDS, least: int = LE
         sizes: dict[str, int] = {}
 
         def flushed(lang: str) -> pa.RecordBatch:
+            gc.disable()  # an automaton is many small objects, none of them garbage
             made = list(zip(*_shard_rows(lang, held.pop(lang), most_words, buckets), strict=True))
+            gc.enable()
+            trim()
             kinds = (pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.int64())
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(made or [()] * 5, kinds, strict=True)], names=["lang", "bucket", "phrases", "counts", "words"])
 
@@ -187,14 +209,15 @@ def phrase_counts(docs: DataFrame, most_words: int = MOST_WORDS, least: int = LE
     @frees
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
-        key, sums = None, {}
+        key, sums, totals = None, {}, {}
 
         def frequent() -> pa.RecordBatch:
             found = [(p, n) for p, n in sums.items() if n >= least]
             return pa.RecordBatch.from_arrays([pa.array([key[0]] * len(found), pa.string()), pa.array([p.decode() for p, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())], names=["lang", "phrase", "f"])
 
         for batch in batches:
-            for lang, bucket, phrases, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+            for lang, bucket, phrases, counts, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), *batch.columns[2:4], batch.column(4).to_pylist(), strict=True):
+                totals[lang] = totals.get(lang, 0) + words
                 if (lang, bucket) != key:
                     if sums:
                         yield frequent()
@@ -203,10 +226,12 @@ def phrase_counts(docs: DataFrame, most_words: int = MOST_WORDS, least: int = LE
                     sums[phrase] = sums.get(phrase, 0) + n
         if sums:
             yield frequent()
+        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.string()), pa.nulls(len(totals), pa.string()), pa.array(list(totals.values()), pa.int64())], names=["lang", "phrase", "f"])
 
-    packed = saved(rows.mapInArrow(shards, "lang string, bucket long, phrases binary, counts binary, words long"), "phrase-shards")
-    dealt = packed.select("lang", "bucket", "phrases", "counts").repartition("lang", "bucket").sortWithinPartitions("lang", "bucket")
-    return dealt.mapInArrow(added, "lang string, phrase string, f long"), packed.groupBy("lang").agg(F.sum("words").alias("n"))
+    packed = rows.mapInArrow(shards, "lang string, bucket long, phrases binary, counts binary, words long")
+    dealt = packed.repartition("lang", "bucket").sortWithinPartitions("lang", "bucket")
+    found = saved(dealt.mapInArrow(added, "lang string, phrase string, f long"), "phrase-counts")
+    return found.where("phrase IS NOT NULL"), found.where("phrase IS NULL").groupBy("lang").agg(F.sum("f").alias("n"))
 
 
 #: floor(1000000 a a / (l r)) in decimals of 38 digits, enough for 10^16 occurrences; the quotient is a million at most.
@@ -219,7 +244,7 @@ def collocations(
 ) -> DataFrame:
     """Each language's best phrases of two words and more: lang, rank, phrase, a, l, r, n, score."""
     counts, totals = phrase_counts(docs, most_words, least, shard_words)
-    counts = saved(counts.withColumn("size", F.length("phrase") - F.length(F.replace("phrase", F.lit(" "))) + 1), "phrase-counts")
+    counts = counts.withColumn("size", F.length("phrase") - F.length(F.replace("phrase", F.lit(" "))) + 1)
     candidates = counts.where("size > 1").withColumnRenamed("f", "a")
 
     # What a longer candidate subsumes: itself without its last word, and its suffix link, itself without its first one; in turn theirs.
