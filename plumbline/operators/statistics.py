@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .lineage import cut
-from .ranking import global_rank
+from .ranking import running_sums
 
 
 def finite(c: Column) -> Column:
@@ -28,12 +28,14 @@ def quantiles(df: DataFrame, keys: list[str], value: Column, wanted: dict[str, t
     """Exact quantiles of each key's finite values: keys, and a column for each name of `wanted` (kind, p).
 
     Kinds over n sorted values from 0: `linear` interpolates at (n - 1) p, `nearest` takes ceil(n p) - 1 and
-    `floor` floor((n - 1) p). The values are ranked by range partitions and picked by their ranks, so that no
-    key's values meet in one buffer or task. A key without finite values has nulls.
+    `floor` floor((n - 1) p). Equal values are counted first, in each task and then in all; running counts over ranges of
+    the distinct ones tell which value lies at a place. So neither a key's values nor a frequent value's rows meet in
+    one buffer or task. A key without finite values has nulls.
     """
-    x = df.select(*keys, finite(value.cast("double")).alias("__x"))
-    ranked = global_rank(x.where("__x IS NOT NULL"), [*[F.col(k) for k in keys], F.col("__x")], "__r")
-    firsts = cut(ranked.groupBy(*keys).agg(F.min("__r").alias("__first"), F.count(F.lit(1)).alias("__n")))
+    x = df.select(*keys, finite(value.cast("double")).alias("__x")).where("__x IS NOT NULL")
+    counted = x.groupBy(*keys, "__x").agg(F.count(F.lit(1)).alias("__c"))
+    ranked = running_sums(counted, [], [*[F.col(k) for k in keys], F.col("__x")], {"__r": F.col("__c")})
+    firsts = cut(ranked.groupBy(*keys).agg(F.min(F.col("__r") - F.col("__c")).alias("__first"), F.sum("__c").alias("__n")))
     n = F.col("__n")
     places = {}
     for name, (kind, p) in wanted.items():
@@ -41,9 +43,10 @@ def quantiles(df: DataFrame, keys: list[str], value: Column, wanted: dict[str, t
         places[name] = (F.floor(at), F.ceil(at) if kind == "linear" else F.floor(at), at)
     renamed, on = _of_key(keys, firsts)
     few = F.broadcast(renamed) if not keys else renamed
-    at_rank = F.col("__r") - F.col("__first")
+    after = F.col("__r") - F.col("__first")
     sides = F.array_distinct(F.array(*[side for low, high, _ in places.values() for side in (low, high)]))
-    hits = ranked.join(few, on).where(F.array_contains(sides, at_rank)).select(*keys, "__x", at_rank.alias("__at"), "__n")
+    hits = ranked.join(few, on).withColumn("__at", F.explode(F.filter(sides, lambda p: (p < after) & (p >= after - F.col("__c")))))
+    hits = hits.select(*keys, "__x", "__at", "__n")
     picked = []
     for name, (low, high, at) in places.items():
         picked += [F.max(F.when(F.col("__at") == low, F.col("__x"))).alias(f"__lo_{name}"), F.max(F.when(F.col("__at") == high, F.col("__x"))).alias(f"__hi_{name}"), F.max(at - low).alias(f"__w_{name}")]

@@ -1,6 +1,8 @@
 import math
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from plumbline.functions import geometry as g
@@ -196,3 +198,38 @@ def test_structural_similarity(spark):
     assert math.isclose(got["psnr"], 10 * math.log10(2500 / ((a - b) ** 2).mean()), rel_tol=1e-9)
     same = raster.structural_similarity(frame(a), frame(a), 50.0).first()
     assert math.isclose(same["ssim"], 1.0) and same["psnr"] is None
+
+
+def test_quantiles_of_frequent_values(spark, monkeypatch):
+    """Nine of ten values are equal, keys are null, some have no finite value; no task gets a value's rows."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from plumbline.operators import statistics
+
+    ranked = []
+    plain = statistics.running_sums
+
+    def watched(df, *rest):
+        ranked.append(df.count())
+        return plain(df, *rest)
+
+    monkeypatch.setattr(statistics, "running_sums", watched)
+    rng = np.random.default_rng(4)
+    rows = [(i % 3 if i % 3 else None, 5.0 if rng.random() < 0.9 else float(rng.integers(0, 200))) for i in range(20_000)]
+    rows += [(7, float("nan")), (7, None), (8, float("inf")), (9, 1.5), (10, -0.0), (10, 0.0)]
+    df = spark.createDataFrame(rows, "k long, v double")
+    wanted = {"q": ("linear", 0.37), "near": ("nearest", 0.95), "low": ("floor", 0.02), "top": ("linear", 1.0)}
+    found = {r["k"]: r for r in statistics.quantiles(df, ["k"], F.col("v"), wanted).collect()}
+    assert ranked[0] < 1000
+    for k in {k for k, _ in rows}:
+        v = np.sort([x for q, x in rows if q == k and x is not None and np.isfinite(x)])
+        if not len(v):
+            assert found[k]["q"] is None and found[k]["near"] is None
+            continue
+        assert found[k]["q"] == pytest.approx(np.quantile(v, 0.37))
+        assert found[k]["near"] == v[max(0, int(np.ceil(len(v) * 0.95)) - 1)]
+        assert found[k]["low"] == v[int(np.floor((len(v) - 1) * 0.02))]
+        assert found[k]["top"] == v[-1]
+    every = statistics.quantiles(df, [], F.col("v"), wanted).first()
+    assert every["q"] == 5.0 and every["top"] == 199.0
