@@ -58,7 +58,7 @@ def _hull(points: np.ndarray) -> np.ndarray:
 
 
 def farthest_pair(df: DataFrame, x: str, y: str, parts: int = 64) -> DataFrame:
-    """One row: the greatest distance of two points, `diameter`. The farthest two are corners of the convex hull.
+    """One row: the greatest distance of two points, `diameter`, null without a point. The farthest two are corners of the convex hull.
 
     Each task leaves the hull of its points, then `parts` tasks that of theirs, and one task that of all; a hull
     has few corners however many points there are, and its farthest corners are found in one turn around it.
@@ -83,7 +83,8 @@ def farthest_pair(df: DataFrame, x: str, y: str, parts: int = 64) -> DataFrame:
                 best = max(best, float(np.hypot(*(held[i] - held[j % n]))), *(float(np.hypot(*(held[i] - held[(j + k) % n]))) for k in (-1, 1)))
             yield pd.DataFrame({"diameter": [best]})
 
-    return xy.mapInPandas(corners, "x double, y double").repartition(parts).mapInPandas(corners, "x double, y double").coalesce(1).mapInPandas(widest, "diameter double")
+    hulls = xy.mapInPandas(corners, "x double, y double").repartition(parts).mapInPandas(corners, "x double, y double")
+    return hulls.repartition(1).mapInPandas(widest, "diameter double").agg(F.max("diameter").alias("diameter"))
 
 
 def filled_by_distance(first: DataFrame, others: DataFrame, key: str, item: str, order: list[Column], distance: str, limit: int) -> DataFrame:

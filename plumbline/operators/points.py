@@ -38,7 +38,7 @@ def largest_component(df: DataFrame, row_id: str, labels: DataFrame) -> DataFram
 
 
 def retained(before: DataFrame, after: DataFrame, least: float) -> DataFrame:
-    """One row: how much is left; an error if it is under `least`."""
+    """One row: how much is left, and whether that is enough; nothing left of nothing is not."""
     n = before.agg(F.count(F.lit(1)).alias("n_before")).join(after.agg(F.count(F.lit(1)).alias("n_after")))
     share = F.col("n_after") / F.nullif("n_before", F.lit(0))
     return n.withColumn("retention", share).withColumn("accepted", F.coalesce(share >= least, F.lit(False)))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .lineage import cut
+from .lineage import cut, small
 
 
 def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
@@ -83,7 +83,7 @@ def evenly_spaced(df: DataFrame, order: list[Column], k: int) -> DataFrame:
         wanted = n.select(F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("i"), "n").select(
             F.rint(F.col("i") * (F.col("n") - 1) / (k - 1)).cast("long").alias("wanted")
         )
-    return ranked.join(F.broadcast(wanted.distinct()), F.col("position") == F.col("wanted")).drop("wanted")
+    return ranked.join(small(wanted.distinct(), k), F.col("position") == F.col("wanted")).drop("wanted")
 
 
 def weighted_sample(df: DataFrame, row_id: str, weight: str, k: int, seed: int) -> DataFrame:
@@ -104,9 +104,9 @@ def bounded_history(df: DataFrame, keys: list[str], order: list[Column], n: int)
 
 
 def overlap_flags(df: DataFrame, keys: list[str], start: str, stop: str, row_id: str) -> DataFrame:
-    """Add `overlaps`: whether an interval starts before the one before it in its key's order has stopped."""
+    """Add `overlaps`: whether an interval starts before or where the one before it in its key's order stops; both ends belong to it."""
     before = F.lag(stop).over(Window.partitionBy(*keys).orderBy(start, stop, row_id))
-    return df.withColumn("overlaps", F.coalesce(F.col(start) < before, F.lit(False)))
+    return df.withColumn("overlaps", F.coalesce(F.col(start) <= before, F.lit(False)))
 
 
 def best_grid(df: DataFrame, key: str, cells: Column, most_rows: int) -> DataFrame:

@@ -38,6 +38,11 @@ def token_bucket(df: DataFrame, key: str, at: str, order: list[str], per_second:
     return df.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
 
 
+#: What an event's status makes of a stage, and the states that end one.
+STAGE_STATES = {"processing": "running", "success": "succeeded", "error": "failed", "cancelled": "cancelled"}
+STAGE_ENDS = ("succeeded", "failed", "cancelled")
+
+
 def outbox_step(df: DataFrame, now: Column, lease_seconds: float, most_attempts: int, base: float, cap: float) -> DataFrame:
     """The due rows of an outbox (status, attempts, available_at, locked_at in seconds) and their next state if publishing fails."""
     due = (F.col("status").isin("pending", "failed") & (F.col("available_at") <= now)) | ((F.col("status") == "publishing") & (F.col("locked_at") <= now - lease_seconds))
@@ -48,16 +53,52 @@ def outbox_step(df: DataFrame, now: Column, lease_seconds: float, most_attempts:
     )
 
 
+def overall_status(states: dict[str, str | None], required: list[str]) -> str:
+    """One status from the last states of services: any error, then any cancellation, then success if all services there
+    are succeeded and all required ones are there; without services idle, else processing, as a missing state is."""
+    if not states:
+        return "idle"
+    for first in ("error", "cancelled"):
+        if first in states.values():
+            return first
+    return "success" if set(states.values()) == {"success"} and set(required) <= set(states) else "processing"
+
+
 def status_fold(df: DataFrame, key: str, service: str, status: str, arrival: str, required: list[str]) -> DataFrame:
-    """Last status of each service by arrival, and the key's overall status.
+    """Last status of each service by arrival, and the key's overall status by the rule of `overall_status`.
 
-    Any error comes first, then any cancellation, then success if all required services succeeded; else it
-    is processing.
+    A row with a null service tells that a key is there.
     """
     last = df.groupBy(key, service).agg(F.max_by(status, arrival).alias("state"))
-    done = F.count_distinct(F.when(F.col(service).isin(*required) & (F.col("state") == "success"), F.col(service)))
-    overall = F.when(F.bool_or(F.col("state") == "error"), "error").when(F.bool_or(F.col("state") == "cancelled"), "cancelled").when(done == len(required), "success").otherwise("processing")
-    return last.groupBy(key).agg(overall.alias("overall"), F.count(F.lit(1)).alias("services"))
+    known = F.col(service).isNotNull()
+    state = F.when(known, F.coalesce("state", F.lit("processing")))
+    here = F.count_distinct(F.when(F.col(service).isin(*required), F.col(service))) == len(set(required))
+    overall = (
+        F.when(F.count(service) == 0, "idle").when(F.bool_or(state == "error"), "error").when(F.bool_or(state == "cancelled"), "cancelled")
+        .when(F.bool_and(state == "success") & here, "success").otherwise("processing")
+    )
+    return last.groupBy(key).agg(overall.alias("overall"), F.count(service).alias("services"))
+
+
+def projected_stages(df: DataFrame, key: str, stage: str, status: str, progress: str, order: str, stages: list[str]) -> DataFrame:
+    """The state of each stage of a key (key, stage, status, progress) from its events in the order of a number.
+
+    A stage has the state of its last event (processing is running, success succeeded, error failed, cancelled itself,
+    any other running) and its progress, within 0 and 100. One that has not ended is closed, as succeeded with all
+    progress, by an event of a later stage after its own. A stage without an event is there only if one closes it.
+    """
+    place = F.array_position(F.array(*[F.lit(s) for s in stages]), F.col(stage)).cast("int")
+    state = F.coalesce(F.create_map(*[F.lit(x) for pair in STAGE_STATES.items() for x in pair])[F.col(status)], F.lit("running"))
+    events = df.select(key, place.alias("__p"), F.col(order).alias("__o"), state.alias("__s"), F.greatest(F.lit(0), F.least(F.lit(100), F.coalesce(progress, F.lit(0)))).cast("int").alias("__n")).where("__p > 0")
+    last = events.groupBy(key, "__p").agg(F.max(F.struct("__o", "__s", "__n")).alias("e")).select(key, "__p", "e.*")
+    # A key has one row for each stage here, so the arrays and the window below are that short.
+    every = last.groupBy(key).agg(F.collect_list(F.struct("__p", "__o", "__s", "__n")).alias("own"))
+    spread = every.select(key, "own", F.explode(F.sequence(F.lit(1), F.lit(len(stages)))).alias("__p"))
+    mine = F.get(F.filter("own", lambda e: e["__p"] == F.col("__p")), 0)
+    later = F.array_max(F.transform(F.filter("own", lambda e: e["__p"] > F.col("__p")), lambda e: e["__o"]))
+    closed = F.coalesce(~mine["__s"].isin(*STAGE_ENDS), F.lit(True)) & later.isNotNull() & (later > F.coalesce(mine["__o"], later - 1))
+    out = spread.where(mine.isNotNull() | later.isNotNull()).withColumns({"status": F.when(closed, "succeeded").otherwise(mine["__s"]), "progress": F.when(closed, 100).otherwise(mine["__n"])})
+    return out.select(key, F.array(*[F.lit(s) for s in stages])[F.col("__p") - 1].alias("stage"), "status", "progress")
 
 
 def smoothed_velocity(df: DataFrame, key: str, at: str, value: str, alpha: float = 0.6, reset: float = 2.0) -> DataFrame:

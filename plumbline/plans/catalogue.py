@@ -516,7 +516,7 @@ _STATUS = "CASE WHEN value > 110 THEN 'error' WHEN value > 100 THEN 'cancelled'
 @query(f"""
 WITH l AS (SELECT user_id, event_type, arg_max({_STATUS}, event_id) AS state FROM events GROUP BY user_id, event_type)
 SELECT user_id, CASE WHEN bool_or(state = 'error') THEN 'error' WHEN bool_or(state = 'cancelled') THEN 'cancelled'
-       WHEN count(DISTINCT CASE WHEN event_type IN ('click', 'view') AND state = 'success' THEN event_type END) = 2 THEN 'success' ELSE 'processing' END AS overall, count(*) AS services
+       WHEN bool_and(state = 'success') AND count(DISTINCT CASE WHEN event_type IN ('click', 'view') THEN event_type END) = 2 THEN 'success' ELSE 'processing' END AS overall, count(*) AS services
 FROM l GROUP BY user_id
 """)
 def status_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -525,6 +525,24 @@ def status_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stateful.status_fold(events, "user_id", "event_type", "status", "event_id", ["click", "view"])
 
 
+_STAGES = ["view", "search", "click", "purchase"]
+
+
+@query(f"""
+WITH e AS (SELECT user_id, list_position(['view', 'search', 'click', 'purchase'], event_type) AS p, event_id, {_STATUS} AS s, CAST(greatest(0, least(100, floor(value))) AS INT) AS n FROM events),
+l AS (SELECT user_id, p, max(event_id) AS o, arg_max(s, event_id) AS s, arg_max(n, event_id) AS n FROM e WHERE p > 0 GROUP BY user_id, p),
+a AS (SELECT k.user_id, t.p, l.o, l.n, CASE l.s WHEN 'processing' THEN 'running' WHEN 'success' THEN 'succeeded' WHEN 'error' THEN 'failed' ELSE l.s END AS s, (SELECT max(o) FROM l q WHERE q.user_id = k.user_id AND q.p > t.p) AS later
+      FROM (SELECT DISTINCT user_id FROM l) k CROSS JOIN (SELECT unnest([1, 2, 3, 4]) AS p) t LEFT JOIN l ON l.user_id = k.user_id AND l.p = t.p)
+SELECT user_id, ['view', 'search', 'click', 'purchase'][p] AS stage, CASE WHEN later IS NOT NULL AND (o IS NULL OR (s = 'running' AND later > o)) THEN 'succeeded' ELSE s END AS status,
+       CASE WHEN later IS NOT NULL AND (o IS NULL OR (s = 'running' AND later > o)) THEN 100 ELSE n END AS progress
+FROM a WHERE o IS NOT NULL OR later IS NOT NULL
+""")
+def stage_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state of each user's four stages; a later stage's event closes the earlier ones."""
+    events = table(spark, sf_dir, "events").withColumn("status", F.expr(_STATUS)).withColumn("progress", F.floor("value"))
+    return stateful.projected_stages(events, "user_id", "event_type", "status", "progress", "event_id", _STAGES)
+
+
 _OUTBOX = """
 SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'pending' WHEN 1 THEN 'failed' WHEN 2 THEN 'publishing' ELSE 'published' END AS status, CAST(event_id % 9 AS INT) AS attempts,
        CAST(event_id % 1000 AS DOUBLE) AS available_at, CAST(event_id % 700 AS DOUBLE) AS locked_at FROM events

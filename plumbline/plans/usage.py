@@ -203,11 +203,11 @@ def bounded_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT p_brand, p_partkey, start, stop, coalesce(start < lag(stop) OVER (PARTITION BY p_brand ORDER BY start, stop, p_partkey), false) AS overlaps FROM (SELECT p_brand, p_partkey, p_retailprice AS start, p_retailprice + p_size / 10.0 AS stop FROM part)
+SELECT p_brand, p_partkey, start, stop, coalesce(start <= lag(stop) OVER (PARTITION BY p_brand ORDER BY start, stop, p_partkey), false) AS overlaps FROM (SELECT p_brand, p_partkey, CAST(round(p_retailprice) AS BIGINT) AS start, CAST(round(p_retailprice) AS BIGINT) + p_size AS stop FROM part)
 """)
 def overlapping_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which sorted intervals begin before the one before them has ended."""
-    part = table(spark, sf_dir, "part").select("p_brand", "p_partkey", F.col("p_retailprice").alias("start"), (F.col("p_retailprice") + F.col("p_size") / 10.0).alias("stop"))
+    """Which sorted intervals begin before, or where, the one before them ends."""
+    part = table(spark, sf_dir, "part").select("p_brand", "p_partkey", F.round("p_retailprice").cast("long").alias("start"), (F.round("p_retailprice").cast("long") + F.col("p_size")).alias("stop"))
     return ranking.overlap_flags(part, ["p_brand"], "start", "stop", "p_partkey")
 
 

@@ -7,7 +7,11 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+
+from plumbline.operators.stateful import STAGE_ENDS, STAGE_STATES, overall_status
 
 KINDS = ("status", "control", "dead_letter")
 ENVELOPE = "schema_version int, event_id string, kind string, organization_id string, mission string, service string, status string, message string"
@@ -31,21 +35,21 @@ def _together(batches: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame
     return pd.concat(parts).sort_values(order, kind="stable") if parts else pd.DataFrame()
 
 
-def status_stream(events: DataFrame, key: str, service: str, status: str, order: str) -> DataFrame:
+def status_stream(events: DataFrame, key: str, service: str, status: str, order: str, required: list[str]) -> DataFrame:
     """Running status of each key: the last state of each service by a number that counts arrivals, and the overall one.
 
-    An event that comes after a later one of its service changes nothing.
+    An event that comes after a later one of its service changes nothing; one with a null service only tells that a key
+    is there. The rule is that of `stateful.overall_status`, as in the batch form.
     """
 
     def fold(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         known = {s: (o, v) for s, v, o in zip(*state.get, strict=True)} if state.exists else {}
         rows = _together(batches, [order])
-        for s, v, o in zip(rows[service].astype(str), rows[status].astype(str), rows[order], strict=True):
-            if s not in known or o >= known[s][0]:
-                known[s] = (int(o), v)
+        for s, v, o in zip(rows[service], rows[status], rows[order], strict=True):
+            if s is not None and (s not in known or o >= known[s][0]):
+                known[s] = (int(o), v or "processing")
         state.update((list(known), [v for _, v in known.values()], [o for o, _ in known.values()]))
-        states = {v for _, v in known.values()}
-        overall = next((s for s in ("error", "cancelled") if s in states), "success" if states == {"success"} else "processing")
+        overall = overall_status({s: v for s, (_, v) in known.items()}, required)
         yield pd.DataFrame({"key": [k[0]], "overall": [overall], "services": [len(known)], "n_events": [len(rows)]})
 
     return events.groupBy(key).applyInPandasWithState(
@@ -174,3 +178,55 @@ def once_by_id(path: str, event_id: str = "event_id") -> Callable[[DataFrame, in
         new.write.mode("append").parquet(path)
 
     return run
+
+
+class _StageProjection(StatefulProcessor):
+    """The stages of one key: of each the last event, and the last event of any later stage, which closes it."""
+
+    def __init__(self, key: str, columns: tuple[str, str, str, str], stages: list[str]):
+        self.key, self.columns, self.stages = key, columns, stages
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.known = handle.getMapState("stages", "place int", "own long, status string, progress int, later long")
+
+    def close(self) -> None:
+        pass
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers: object) -> Iterator[pd.DataFrame]:
+        stage, status, progress, order = self.columns
+        known = {k[0]: tuple(v) for k, v in self.known.iterator()}
+        changed = set()
+        events = pd.concat(list(rows))
+        for at, state, done, o in zip(*[events[c] for c in (stage, status, progress, order)], strict=True):
+            if at not in self.stages:
+                continue
+            place, o = self.stages.index(at), int(o)
+            own = known.get(place, (None, None, None, None))
+            if own[0] is None or o >= own[0]:
+                known[place] = (o, STAGE_STATES.get(state, "running"), 0 if pd.isna(done) else max(0, min(100, int(done))), own[3])
+                changed.add(place)
+            for before in range(place):
+                own = known.get(before, (None, None, None, None))
+                if own[3] is None or o > own[3]:
+                    known[before] = (*own[:3], o)
+                    changed.add(before)
+        out = []
+        for place in sorted(changed):
+            self.known.updateValue((place,), known[place])
+            own, state, done, later = known[place]
+            closed = state not in STAGE_ENDS and later is not None and (own is None or later > own)
+            out.append((key[0], self.stages[place], "succeeded" if closed else state, 100 if closed else done))
+        if out:
+            yield pd.DataFrame(out, columns=[self.key, "stage", "status", "progress"])
+
+
+def stage_projection_stream(events: DataFrame, key: str, stage: str, status: str, progress: str, order: str, stages: list[str]) -> DataFrame:
+    """The stages of each key that a micro-batch has touched, in their state after it: key, stage, status, progress.
+
+    A map state keeps a few numbers for each stage. The result does not depend on the order of arrival and is that of
+    `stateful.projected_stages` over all events so far: a late event of a stage that a later one has closed opens
+    nothing, and an event older than the stage's last is ignored. Needs the RocksDB state store
+    (`spark.sql.streaming.stateStore.providerClass`), as Spark's map states do.
+    """
+    schema = StructType([StructField(key, events.schema[key].dataType), StructField("stage", StringType()), StructField("status", StringType()), StructField("progress", IntegerType())])
+    return events.groupBy(key).transformWithStateInPandas(_StageProjection(key, (stage, status, progress, order), stages), schema, "Update", "None")

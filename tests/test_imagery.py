@@ -60,11 +60,13 @@ def test_images(spark, tmp_path):
 
 
 def test_strict_manifests(spark, tmp_path):
-    texts = {"good": '{"id": "a", "n": 3}', "none": "[1]", "less": '{"id": "a"}', "more": '{"id": "a", "n": 1, "z": 0}', "twice": '{"id": "a", "n": 1, "n": 2}', "type": '{"id": "a", "n": "x"}'}
+    texts = {"good": '{"id": "a", "n": 3}', "none": "[1]", "less": '{"id": "a"}', "more": '{"id": "a", "n": 1, "z": 0}', "twice": '{"id": "a", "n": 1, "n": 2}', "inside": '{"id": "a", "n": 1, "f": {"id": "x", "n": {"n": 2}}}', "again": '{"id": "{\\"n\\": 1}", "n": 1, "f": {}, "f": {}}', "type": '{"id": "a", "n": "x"}'}
     for name, text in texts.items():
         (tmp_path / f"{name}.json").write_text(text)
     got = {r["source_file"].rsplit("/", 1)[1][:-5]: r["problem"] for r in im.strict_manifests(spark, str(tmp_path), {"id": "string", "n": "long"}).collect()}
-    assert got == {"good": None, "none": "no object", "less": "missing: n", "more": "unknown: z", "twice": "a field given twice", "type": "a value of another type"}
+    nested = {r["source_file"].rsplit("/", 1)[1][:-5]: r["problem"] for r in im.strict_manifests(spark, str(tmp_path), {"id": "string", "n": "long", "f": "struct<id:string>"}).collect()}
+    assert nested["inside"] is None and nested["again"] == "a field given twice" and nested["good"] == "missing: f"
+    assert {k: v for k, v in got.items() if k not in ("inside", "again")} == {"good": None, "none": "no object", "less": "missing: n", "more": "unknown: z", "twice": "a field given twice", "type": "a value of another type"}
 
 
 def test_markers_and_exports(spark, tmp_path):

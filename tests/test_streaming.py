@@ -1,6 +1,8 @@
 import json
+import random
 import time
 
+from plumbline.operators import stateful
 from plumbline.streaming import events as ev
 
 
@@ -28,10 +30,13 @@ def test_inbox_drops_repeats(spark, tmp_path):
 
 
 def test_status_stream(spark, tmp_path):
-    rows = [("m1", "tiler", "success", 4), ("m1", "viewer", "error", 2), ("m2", "tiler", "success", 9), ("m2", "tiler", "error", 3)]
+    rows = [("m1", "tiler", "success", 4), ("m1", "viewer", "error", 2), ("m2", "tiler", "success", 9), ("m2", "tiler", "error", 3), ("m3", "tiler", "success", 1), ("m3", "viewer", "processing", 2), ("m4", None, None, 1),
+            ("m5", "tiler", "success", 1), ("m5", "viewer", "success", 1), ("m6", "viewer", "success", 1), ("m7", "tiler", None, 1), ("m8", "tiler", "success", 5), ("m8", "x", "cancelled", 5)]
     stream = _stream(spark, rows, "mission string, service string, status string, n long", tmp_path)
-    got = {(r["key"], r["overall"], r["services"]) for r in _drain(ev.status_stream(stream, "mission", "service", "status", "n"), "status", "update")}
-    assert got == {("m1", "error", 2), ("m2", "success", 1)}
+    got = {(r["key"], r["overall"], r["services"]) for r in _drain(ev.status_stream(stream, "mission", "service", "status", "n", ["tiler"]), "status", "update")}
+    assert got == {("m1", "error", 2), ("m2", "success", 1), ("m3", "processing", 2), ("m4", "idle", 0), ("m5", "success", 2), ("m6", "processing", 1), ("m7", "processing", 1), ("m8", "cancelled", 2)}
+    batch = stateful.status_fold(spark.createDataFrame(rows, "mission string, service string, status string, n long"), "mission", "service", "status", "n", ["tiler"])
+    assert {tuple(r) for r in batch.collect()} == got
 
 
 def test_rate_limit_stream(spark, tmp_path):
@@ -101,3 +106,45 @@ def test_timeouts(spark, tmp_path):
     assert _watched(ev.staleness(stream, "k", 500), "stale", want) == want
     allowed = [("a", 1.0, True), ("b", 1.0, True), ("b", 2.0, True)]
     assert _watched(ev.rate_limited(stream, "k", "at", 1.0, 1.0, forget=True), "forgetful", allowed) == allowed
+
+
+STAGES = ["map", "train", "filter", "raster"]
+
+
+def _stages_in_turn(rows):
+    """Stages by folding events one by one in the order of their numbers."""
+    out = {}
+    for key, stage, status, progress, _ in sorted((r for r in rows if r[1] in STAGES), key=lambda r: r[4]):
+        own = out.setdefault(key, {})
+        own[stage] = ({"processing": "running", "success": "succeeded", "error": "failed", "cancelled": "cancelled"}.get(status, "running"), max(0, min(100, progress or 0)))
+        for before in STAGES[: STAGES.index(stage)]:
+            if own.get(before, ("queued",))[0] not in ("succeeded", "failed", "cancelled"):
+                own[before] = ("succeeded", 100)
+    return {(k, s, *v) for k, own in out.items() for s, v in own.items()}
+
+
+def test_stage_projection(spark, tmp_path):
+    rng = random.Random(8)
+    rows = [(f"m{rng.randrange(12)}", rng.choice([*STAGES, "other", None]), rng.choice(["processing", "processing", "success", "error", "cancelled", "odd", None]), rng.choice([None, -5, 20, 70, 400]), n) for n in range(150)]
+    # One success closes a stage for good unless it runs again, which only its own later events tell.
+    schema = "mission string, stage string, status string, progress int, n long"
+    columns = ("mission", "stage", "status", "progress", "n", STAGES)
+    want = _stages_in_turn(rows)
+    batch = spark.createDataFrame(rows, schema)
+    assert {tuple(r) for r in stateful.projected_stages(batch, *columns).collect()} == want
+    assert stateful.projected_stages(batch.limit(0), *columns).count() == 0
+    shuffled = rng.sample(rows, len(rows))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for i in range(3):
+            spark.createDataFrame(shuffled[50 * i : 50 * i + 50], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        seen = []
+        query = ev.stage_projection_stream(stream, *columns).writeStream.outputMode("update").foreachBatch(lambda df, i: seen.extend((i, tuple(r)) for r in df.collect())).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        assert query.awaitTermination(180)
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    last = {}
+    for _, r in sorted(seen, key=lambda x: x[0]):
+        last[r[:2]] = r
+    assert len({i for i, _ in seen}) == 3 and set(last.values()) == want
