@@ -51,8 +51,8 @@ _LAST = 2**63 - 1
 _EMPTY = hashlib.sha256().hexdigest()
 
 
-def _pack(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(data)
+def _pack(data: bytes, level: int = 3) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(data)
 
 
 def _unpack(data: bytes) -> bytes:
@@ -202,7 +202,7 @@ def _blocks(texts: DataFrame, block_bytes: int) -> DataFrame:
         ids, digests, texts = [], [], []
 
         def block() -> pa.RecordBatch:
-            packed = {"ids": np.array(ids, np.int64).tobytes(), "digests": b"".join(digests), "texts": _pack(b"\n".join(texts))}
+            packed = {"ids": np.array(ids, np.int64).tobytes(), "digests": b"".join(digests), "texts": _pack(b"\n".join(texts), 6)}
             return _batch({"block": (pa.string(), [f"{part}-{made}"])} | {k: (pa.binary(), [v]) for k, v in packed.items()})
 
         for batch in batches:
@@ -381,8 +381,8 @@ def _outdone(suffixes: DataFrame, heavy: list[np.ndarray], groups: int, window:
                 starts = np.flatnonzero(np.diff(group[order], prepend=-1))
                 parts = np.split(order, starts[1:])
                 yield _batch({
-                    "group": (pa.int64(), group[order][starts]), "block": (pa.string(), [block] * len(parts)), "number": (pa.binary(), [p.astype(np.int32).tobytes() for p in parts]),
-                    "lines": (pa.binary(), [_pack(b"\n".join([lines[i] for i in p])) for p in parts]), "least": (pa.binary(), [least[p].tobytes() for p in parts]),
+                    "group": (pa.int64(), group[order][starts]), "block": (pa.string(), [block] * len(parts)), "number": (pa.binary(), [_pack(np.diff(p, prepend=0).astype(np.int32).tobytes()) for p in parts]),
+                    "lines": (pa.binary(), [_pack(b"\n".join([lines[i] for i in p])) for p in parts]), "least": (pa.binary(), [_pack(least[p].tobytes()) for p in parts]),
                 })
 
     @frees
@@ -409,7 +409,7 @@ def _outdone(suffixes: DataFrame, heavy: list[np.ndarray], groups: int, window:
                         yield answers()
                         trim()
                     at, held = own, []
-                held.append((block.as_py(), np.frombuffer(number.as_py(), np.int32), _unpack(lines.as_py()).split(b"\n"), np.frombuffer(least.as_py(), np.int64)))
+                held.append((block.as_py(), np.cumsum(_array(number.as_py(), np.int32)).astype(np.int32), _unpack(lines.as_py()).split(b"\n"), _array(least.as_py(), np.int64)))
         if held:
             yield answers()
 
