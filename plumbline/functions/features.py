@@ -172,8 +172,8 @@ def quaternion_matrix(w: Column, x: Column, y: Column, z: Column) -> Column:
 def distorted(model: Column, params: Column, x: Column, y: Column) -> Column:
     """Where a lens puts a normalised point: (x, y). `params` are the model's distortion terms in order.
 
-    Models: SIMPLE_PINHOLE and PINHOLE (none), SIMPLE_RADIAL (k), RADIAL (k1, k2), OPENCV (k1, k2, p1, p2) and
-    OPENCV_FISHEYE (k1 to k4); any other gives null.
+    Models: SIMPLE_PINHOLE and PINHOLE (none), SIMPLE_RADIAL (k), RADIAL (k1, k2), OPENCV (k1, k2, p1, p2), FULL_OPENCV
+    (k1, k2, p1, p2, k3 to k6) and OPENCV_FISHEYE (k1 to k4); any other gives null.
     """
     k = lambda i: F.coalesce(F.try_element_at(params, F.lit(i)), F.lit(0.0))
     r2 = x * x + y * y
@@ -182,6 +182,8 @@ def distorted(model: Column, params: Column, x: Column, y: Column) -> Column:
     t2 = theta * theta
     fish = F.when(r > 1e-12, theta * (1 + t2 * (k(1) + t2 * (k(2) + t2 * (k(3) + t2 * k(4))))) / F.nullif(r, F.lit(0.0))).otherwise(1.0)
     two = 1 + k(1) * r2 + k(2) * r2 * r2
+    full = (two + k(5) * r2 * r2 * r2) / F.nullif(1 + k(6) * r2 + k(7) * r2 * r2 + k(8) * r2 * r2 * r2, F.lit(0.0))
+    tilt_x, tilt_y = 2 * k(3) * x * y + k(4) * (r2 + 2 * x * x), 2 * k(4) * x * y + k(3) * (r2 + 2 * y * y)
     cv_x = x * two + 2 * k(3) * x * y + k(4) * (r2 + 2 * x * x)
     cv_y = y * two + 2 * k(4) * x * y + k(3) * (r2 + 2 * y * y)
     pair = lambda u, v: F.struct(u.alias("x"), v.alias("y"))
@@ -190,6 +192,7 @@ def distorted(model: Column, params: Column, x: Column, y: Column) -> Column:
         .when(model == "SIMPLE_RADIAL", pair(x * (1 + k(1) * r2), y * (1 + k(1) * r2)))
         .when(model == "RADIAL", pair(x * two, y * two))
         .when(model == "OPENCV", pair(cv_x, cv_y))
+        .when(model == "FULL_OPENCV", pair(x * full + tilt_x, y * full + tilt_y))
         .when(model == "OPENCV_FISHEYE", pair(x * fish, y * fish))
     )
 
