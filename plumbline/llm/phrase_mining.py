@@ -175,6 +175,7 @@ def phrase_counts(docs: DataFrame, most_words: int = MOST_WORDS, least: int = LE
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("binary").alias("text")).where("text IS NOT NULL")
     size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    most_bytes = 6 * shard_words
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // bucket_bytes))
 
     @frees
@@ -192,16 +193,17 @@ def phrase_counts(docs: DataFrame, most_words: int = MOST_WORDS, least: int = LE
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own, size = held.setdefault(lang, {}), sizes.get(lang, 0)
                 for piece in text.as_py().translate(_LOWER).split(b"\n"):
-                    own = held.setdefault(lang, {})
                     if piece in own:
                         own[piece] += 1
                     elif piece and not piece.isspace():
                         own[piece] = 1
-                        sizes[lang] = sizes.get(lang, 0) + 1 + piece.count(b" ") + piece.count(b"\t")
-                        if sizes[lang] >= shard_words:
+                        size += len(piece)
+                        if size >= most_bytes:
                             yield flushed(lang)
-                            sizes[lang] = 0
+                            own, size = held.setdefault(lang, {}), 0
+                sizes[lang] = size
         for lang in list(held):
             if held[lang]:
                 yield flushed(lang)
