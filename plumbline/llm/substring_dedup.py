@@ -296,7 +296,9 @@ def _suffixes(blocks: DataFrame, hashes: DataFrame, window: int) -> DataFrame:
                 at, text = block.at[chosen], block.text[chosen]
                 node, least, one = _deep_nodes(block.suffixes(chosen), ids[text])
                 beaten = ids[text] > least[node]
+                # In the order of the text, as suffixes that follow each other pack well.
                 sent = np.flatnonzero(elsewhere[chosen][one])
+                sent = sent[np.argsort(one[sent], kind="stable")]
                 number = np.full(len(least), -1)
                 number[sent] = np.arange(len(sent))
                 waits = ~beaten & (number[node] >= 0)
