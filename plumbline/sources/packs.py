@@ -249,7 +249,7 @@ class _PlyWriter(DataSourceArrowWriter):
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> _Written:
         kind = np.dtype([(n, "<f4" if k == "float" else "<f8") for n, k in self.columns])
-        at, end = self.starts[str(TaskContext.get().partitionId())]
+        at, end = self.starts.get(str(TaskContext.get().partitionId()), (0, 0))  # a task without rows was not counted
         with open(self.draft, "r+b") as file:
             file.seek(at)
             for batch in batches:
@@ -295,8 +295,8 @@ def write_ply(df: DataFrame, path: str) -> None:
     header = ply_header(columns, sum(counts.values()))
     width = sum(4 if k == "float" else 8 for _, k in columns)
     starts, at = {}, len(header)
-    for p in range(kept.rdd.getNumPartitions()):
-        starts[str(p)] = (at, at + width * counts.get(p, 0))
+    for p in sorted(counts):
+        starts[str(p)] = (at, at + width * counts[p])
         at = starts[str(p)][1]
     target = path.removeprefix("file://")
     draft = f"{target}.{uuid.uuid4().hex}.draft"
