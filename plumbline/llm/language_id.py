@@ -8,7 +8,7 @@ as digits, marks and white space belong to no language.
 
 Defined results: a null text or one without a letter is `und`, with score 0, and rejected. Ties go to the
 language with more labelled rows, then to the smaller name. Rows with a null language or a text without
-a letter teach nothing; of a very long text `SAMPLE_TEXT` characters teach. Each language with a row that
+a letter teach nothing; what rows of the sample teach, they teach whole. Each language with a row that
 teaches is learned. With no such row at all every text is `und`; with one language it is always chosen, with
 score 0. Rows with null or repeated ids teach as others do, repeated rows are told alike, and no column but
 those named is read.
@@ -16,10 +16,10 @@ those named is read.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,15 +30,15 @@ from .common import frees
 UNDETERMINED = "und"
 #: Bytes of a dictionary.
 DICTIONARY_BYTES = 131_072
-#: The labelled sample that dictionaries are built from: rows for each language, and characters of a row, at most.
+#: Rows of each language, at most, that its dictionary is built from.
 SAMPLE_ROWS = 600
-SAMPLE_TEXT = 20_000
 #: Words encoded at once.
 PIECE = 300
 #: Relative saving over the next best language below which a choice is rejected.
 MIN_MARGIN = 0.005
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+#: A word begins with a letter; marks belong to it, as do the joiners inside words of some scripts.
+_LETTERS = regex.compile(r"\p{L}(?:[\p{L}\p{M}]|[\u200C\u200D](?=\p{L}))*")
 
 
 @dataclass(frozen=True)
@@ -48,13 +48,25 @@ class LanguageModel:
     dictionaries: tuple[tuple[str, bytes], ...]
 
 
+def _first_words(text: str, most_bytes: int) -> list[str]:
+    """A text's words, each once and in order, until they fill a dictionary."""
+    words: dict[str, None] = {}
+    size = 0
+    for found in _LETTERS.finditer(text.lower()):
+        if size >= most_bytes:
+            break
+        if found[0] not in words:
+            words[found[0]] = None
+            size += len(found[0].encode()) + 1
+    return list(words)
+
+
 def train(
     labelled: DataFrame,
     text_col: str = "text",
     lang_col: str = "lang",
     id_col: str = "doc_id",
     sample_rows: int = SAMPLE_ROWS,
-    sample_text: int = SAMPLE_TEXT,
     dictionary_bytes: int = DICTIONARY_BYTES,
 ) -> LanguageModel:
     """Build the dictionaries from a sample of labelled rows, chosen by a hash of the id."""
@@ -70,19 +82,24 @@ def train(
     rate = F.lit(0.0)
     for lang, n in counts.items():
         rate = F.when(F.col("lang") == lang, F.lit(min(1.0, 2 * sample_rows / n))).otherwise(rate)
-    taught = F.substring(F.regexp_extract("text", r"(?s)\p{L}.*", 0), 1, sample_text)
-    sample = rows.where(F.pmod("hash", F.lit(1_000_003)) < rate * 1_000_003).select("lang", "hash", taught.alias("text"))
+    sample = rows.where(F.pmod("hash", F.lit(1_000_003)) < rate * 1_000_003)
     order = Window.partitionBy("lang").orderBy("hash", "text")
     sample = sample.withColumn("row", F.row_number().over(order)).where(F.col("row") <= sample_rows).select("lang", "row", "text")
-    texts: dict[str, list[tuple[int, str]]] = {}
-    for r in sample.collect():
-        texts.setdefault(r["lang"], []).append((r["row"], r["text"]))
+
+    @F.arrow_udf("array<string>")
+    @frees
+    def words_of(column: pa.Array) -> pa.Array:
+        return pa.array([_first_words(t.as_py(), dictionary_bytes) for t in column], pa.list_(pa.string()))
+
+    texts: dict[str, list[tuple[int, list[str]]]] = {}
+    for r in sample.select("lang", "row", words_of("text").alias("words")).collect():
+        texts.setdefault(r["lang"], []).append((r["row"], r["words"]))
     built = []
     for lang in sorted(texts, key=lambda k: (-counts[k], k)):
         words: dict[str, None] = {}
         size = 0
         for _, text in sorted(texts[lang]):
-            for word in _LETTERS.findall(text.lower()):
+            for word in text:
                 if word not in words:
                     words[word] = None
                     size += len(word.encode()) + 1

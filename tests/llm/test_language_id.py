@@ -56,3 +56,28 @@ def test_whole_texts_are_encoded(spark):
     lang, score, rejected = language_id.classify(text, coders, language_id.MIN_MARGIN)
     assert lang == min(sizes, key=sizes.get) and score == (max(sizes.values()) - min(sizes.values())) / max(sizes.values())
     assert rejected == (score < language_id.MIN_MARGIN)
+
+
+def test_words_keep_their_marks(spark):
+    """Hindi, Thai, decomposed French and Persian joiners: marks belong to words, so that languages of one script differ."""
+    assert language_id._LETTERS.findall("हिन्दी भाषा, กำลัง été می‌خواهم x1y_z 12") == ["हिन्दी", "भाषा", "กำลัง", "été", "می‌خواهم", "x", "y", "z"]
+    texts = {"hi": "हिन्दी भाषा में लिखा गया यह वाक्य किसी पुस्तक का है", "mr": "मराठी भाषेत लिहिलेले हे वाक्य एका पुस्तकातील आहे", "th": "ภาษาไทย เป็น ภาษา ที่ ใช้ ใน ประเทศไทย", "fr": "l'été a été très chaud cette année"}
+    rows = [(i, t, k) for i, (k, t) in enumerate(texts.items())] * 3 + [(90, "word " * 80_000 + "ende", "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(docs)
+    found = docs.select("lang", language_id.language(F.col("text"), model).alias("x")).select("lang", "x.lang_pred").distinct().collect()
+    assert {(r["lang"], r["lang_pred"]) for r in found} == {(k, k) for k in [*texts, "de"]}
+    assert b"ende" in dict(model.dictionaries)["de"]  # a long text teaches whole
+
+
+def test_fifty_languages(spark):
+    """Each of fifty made-up languages is told from words that its dictionary holds."""
+    import random
+
+    rng = random.Random(2)
+    words = {f"l{i:02}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 9))) for _ in range(120)] for i in range(50)}
+    rows = [(i * 10 + k, " ".join(rng.choice(words[lang]) for _ in range(60)), lang) for i, lang in enumerate(words) for k in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(docs)
+    tests = spark.createDataFrame([(" ".join(rng.choice(w) for _ in range(40)), lang) for lang, w in words.items()], "text string, lang string")
+    assert tests.select((language_id.language(F.col("text"), model)["lang_pred"] == F.col("lang")).alias("ok")).where("ok").count() == 50
