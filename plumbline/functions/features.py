@@ -93,21 +93,20 @@ def ring_contains(ring: Column, x: Column, y: Column) -> Column:
     return F.when(n >= 3, edge | point_in_ring(x, y, ring)).otherwise(False)
 
 
-def clip_ring(ring: Column, west: float, south: float, east: float, north: float) -> Column:
+def clip_ring(ring: Column, west: Column | float, south: Column | float, east: Column | float, north: Column | float) -> Column:
     """The part of a ring (an array of x, y structs) inside a rectangle: cut by one half-plane after another.
 
     Each cut reads the whole ring before it, which nested expressions cannot do without doubling themselves.
     """
-    planes = ((0, west, 1.0), (0, east, -1.0), (1, south, 1.0), (1, north, -1.0))
 
     @F.pandas_udf("array<struct<x:double,y:double>>")
-    def clipped(rings: pd.Series) -> pd.Series:
+    def clipped(rings: pd.Series, w: pd.Series, s: pd.Series, e: pd.Series, n: pd.Series) -> pd.Series:
         out = []
-        for corners in rings:
+        for corners, *bounds in zip(rings, w, s, e, n, strict=True):
             points = None if corners is None else [(float(p["x"]), float(p["y"])) for p in corners]
-            for axis, bound, sign in planes if points else ():
+            for axis, bound, sign in zip((0, 1, 0, 1), bounds, (1.0, 1.0, -1.0, -1.0), strict=True):
                 kept = []
-                for before, now in zip(points[-1:] + points[:-1], points, strict=True):
+                for before, now in zip(points[-1:] + points[:-1], points, strict=True) if points else ():
                     was, is_in = sign * before[axis] >= sign * bound, sign * now[axis] >= sign * bound
                     if was != is_in:
                         t = (bound - before[axis]) / (now[axis] - before[axis])
@@ -115,11 +114,12 @@ def clip_ring(ring: Column, west: float, south: float, east: float, north: float
                         kept.append((bound, other) if axis == 0 else (other, bound))
                     if is_in:
                         kept.append(now)
-                points = kept
+                points = kept if points is not None else None
             out.append(None if points is None else [{"x": x, "y": y} for x, y in points])
         return pd.Series(out)
 
-    return clipped.asNondeterministic()(ring)  # so that Catalyst keeps it out of the lambdas that read its result
+    sides = [side if isinstance(side, Column) else F.lit(float(side)) for side in (west, south, east, north)]
+    return clipped.asNondeterministic()(ring, *sides)  # so that Catalyst keeps it out of the lambdas that read its result
 
 
 def to_web_mercator(lat: Column, lon: Column) -> tuple[Column, Column]:

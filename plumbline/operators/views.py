@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plumbline.functions.features import distorted
+from plumbline.functions.features import clip_ring, distorted, stable_ceil, stable_floor
+from plumbline.functions.geometry import ring_area
 
 from .lineage import cut
 
@@ -194,3 +195,71 @@ def views(points: DataFrame, cameras: DataFrame, cell: float, margin: float = 0.
     rank = F.row_number().over(Window.partitionBy("point").orderBy("score", "image")).cast("long")
     ranked = found.select("point", "image", "pixel_x", "pixel_y", "score", rank.alias("rank"))
     return ranked if limit is None else ranked.where(F.col("rank") <= limit)
+
+
+def block_crops(
+    cameras: DataFrame, blocks: DataFrame, low: float, high: float, margin: int = 128, most_incidence: float = 75.0, least_overlap: float = 1.0, least_crop: int = 32
+) -> DataFrame:
+    """The part of an image that shows a block of ground between two heights: image, block, x, y, width, height, overlap, incidence.
+
+    `cameras` has image, width, height, fx, fy, cx, cy and pose (no lens), `blocks` has block, west, south, east, north. A camera's
+    footprint at either height is the quadrangle of its corner rays; a camera one of whose rays misses the ground, that
+    looks away from straight down by more than the incidence, or is not above the ground has none. A pair is kept if
+    at one height the block has at least that area of the footprint. The crop holds the clipped footprints of both heights and a
+    margin, within the image.
+
+    Footprints and blocks meet in cells as large as a block is on average, a pair once, in the cell of the lower left corner
+    of what their boxes have in common.
+    """
+    if margin < 0 or not 0 < most_incidence < 90:
+        raise ValueError("a margin is not negative, an incidence within 0 and 90 degrees")
+    pose = F.col("pose")
+    centre = [-sum((pose[4 * r + i] * pose[4 * r + 3] for r in range(3)), F.lit(0.0)) for i in range(3)]
+    posed = cameras.withColumn("c", F.array(*centre)).withColumn("incidence", F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), -pose[10])))))
+    posed = posed.where((F.col("incidence") <= most_incidence) & (F.col("c")[2] > high))
+
+    def ray(u: Column, v: Column) -> Column:
+        x, y = (u - F.col("cx")) / F.col("fx"), (v - F.col("cy")) / F.col("fy")
+        return F.array(*[pose[i] * x + pose[4 + i] * y + pose[8 + i] for i in range(3)])
+
+    zero = F.lit(0.0)
+    rays = F.array(ray(zero, zero), ray(F.col("width"), zero), ray(F.col("width"), F.col("height")), ray(zero, F.col("height")))
+    posed = posed.withColumn("rays", rays).where(F.forall("rays", lambda r: r[2] < -1e-9))
+    at = lambda level: F.transform("rays", lambda r: F.struct(*[(F.col("c")[i] + (level - F.col("c")[2]) / r[2] * r[i]).alias("xy"[i]) for i in range(2)]))
+    posed = posed.withColumns({"low": at(low), "high": at(high)})
+    edge = lambda pick, c: pick(F.transform(F.concat("low", "high"), lambda p: p[c]))
+    boxed = cut(posed.withColumns({"w": edge(F.array_min, "x"), "s": edge(F.array_min, "y"), "e": edge(F.array_max, "x"), "n": edge(F.array_max, "y")}))
+    side = blocks.agg(F.avg(F.greatest(F.col("east") - F.col("west"), F.col("north") - F.col("south")))).first()[0]
+    size = max(float(side or 1.0), 1e-6)
+    extent = blocks.agg(F.min("west"), F.min("south"), F.max("east"), F.max("north")).first()
+    cell = lambda c: F.floor(c / size).cast("long")
+
+    def spread(df: DataFrame, west: Column, south: Column, east: Column, north: Column) -> DataFrame:
+        return df.where((west <= east) & (south <= north)).withColumn("gx", F.explode(F.sequence(cell(west), cell(east)))).withColumn("gy", F.explode(F.sequence(cell(south), cell(north))))
+
+    if extent[0] is None:
+        extent = (0.0, 0.0, -1.0, -1.0)
+    # A footprint beyond all blocks fills no cells there.
+    w, s, e, n = (f(F.col(c), F.lit(float(b))) for f, c, b in zip((F.greatest, F.greatest, F.least, F.least), "wsen", extent, strict=True))
+    met = spread(boxed, w, s, e, n).join(spread(blocks, *[F.col(c) for c in ("west", "south", "east", "north")]), ["gx", "gy"])
+    met = met.where((cell(F.greatest("w", "west")) == F.col("gx")) & (cell(F.greatest("s", "south")) == F.col("gy")) & (F.col("w") <= F.col("east")) & (F.col("west") <= F.col("e")) & (F.col("s") <= F.col("north")) & (F.col("south") <= F.col("n")))
+    bounds = [F.col(c) for c in ("west", "south", "east", "north")]
+    shaped = met.withColumns({"low": clip_ring(F.col("low"), *bounds), "high": clip_ring(F.col("high"), *bounds)})
+    shaped = shaped.withColumns({"a_low": F.abs(ring_area(F.col("low"))), "a_high": F.abs(ring_area(F.col("high")))})
+    shaped = shaped.withColumn("overlap", F.greatest("a_low", "a_high")).where(F.col("overlap") >= least_overlap)
+
+    def pixels(ring: str, level: float) -> Column:
+        def pixel(p: Column) -> Column:
+            d = [p["x"] - F.col("c")[0], p["y"] - F.col("c")[1], F.lit(level) - F.col("c")[2]]
+            x, y, z = (sum((pose[4 * r + i] * d[i] for i in range(3)), F.lit(0.0)) for r in range(3))
+            return F.struct((F.col("fx") * x / z + F.col("cx")).alias("u"), (F.col("fy") * y / z + F.col("cy")).alias("v"))
+
+        return F.when(F.col(f"a_{ring}") > 0, F.transform(ring, pixel)).otherwise(F.array().cast("array<struct<u:double,v:double>>"))
+
+    shown = shaped.withColumn("pixels", F.concat(pixels("low", low), pixels("high", high)))
+    along = lambda pick, c: pick(F.transform("pixels", lambda p: p[c]))
+    shown = shown.withColumns({"l": along(F.array_min, "u"), "t": along(F.array_min, "v"), "r": along(F.array_max, "u"), "b": along(F.array_max, "v")})
+    left, top = (F.greatest(F.lit(0).cast("long"), stable_floor(F.col(c)) - margin) for c in "lt")
+    right, bottom = (F.least(F.col(most).cast("long"), stable_ceil(F.col(c)) + margin) for c, most in (("r", "width"), ("b", "height")))
+    crop = shown.select("image", "block", left.alias("x"), top.alias("y"), (right - left).alias("width"), (bottom - top).alias("height"), "overlap", "incidence")
+    return crop.where((F.col("width") >= least_crop) & (F.col("height") >= least_crop))

@@ -103,3 +103,63 @@ def test_camera_index(spark, tmp_path):
     assert good["pose"] == [float(v) for row in pose for v in row]
     at = spark.createDataFrame([good], views.read_camera_index(spark, str(tmp_path)).schema).select(views.projected(F.col("model"), F.col("params"), F.col("pose"), F.lit(2.0), F.lit(4.0), F.lit(2.0)).alias("p")).first()["p"]
     assert tuple(at) == (6.0, 7.0)
+
+
+def _crop(camera, block, low, high, margin):
+    """One camera and one block, by plain geometry: clip the footprint with a fine polygon clipper, project its corners."""
+    _, w, h, fx, fy, cx, cy, pose = camera
+    m = np.array(pose).reshape(3, 4)
+    turn, centre = m[:, :3], -m[:, :3].T @ m[:, 3]
+    incidence = math.degrees(math.acos(np.clip(-turn[2, 2], -1, 1)))
+    if incidence > 75 or centre[2] <= high:
+        return None
+    pixels, best = [], 0.0
+    for level in (low, high):
+        ring = []
+        for u, v in ((0, 0), (w, 0), (w, h), (0, h)):
+            ray = turn.T @ np.array([(u - cx) / fx, (v - cy) / fy, 1.0])
+            if ray[2] >= -1e-9:
+                return None
+            ring.append(centre + (level - centre[2]) / ray[2] * ray)
+        ring = [p[:2] for p in ring]
+        for axis, bound, sign in ((0, block[1], 1), (0, block[3], -1), (1, block[2], 1), (1, block[4], -1)):
+            out = []
+            for a, b in zip(ring[-1:] + ring[:-1], ring, strict=True):
+                if (sign * a[axis] >= sign * bound) != (sign * b[axis] >= sign * bound):
+                    out.append(a + (bound - a[axis]) / (b[axis] - a[axis]) * (b - a))
+                if sign * b[axis] >= sign * bound:
+                    out.append(b)
+            ring = out
+        x, y = np.array([p[0] for p in ring]), np.array([p[1] for p in ring])
+        area = abs(x @ np.roll(y, 1) - y @ np.roll(x, 1)) / 2 if len(ring) > 2 else 0.0
+        best = max(best, area)
+        if area > 0:
+            for p in ring:
+                q = turn @ (np.array([*p, level]) - centre)
+                pixels.append((fx * q[0] / q[2] + cx, fy * q[1] / q[2] + cy))
+    if best < 1 or not pixels:
+        return None
+    u, v = zip(*pixels, strict=True)
+    tell = lambda f, x, d: int(f(x + d * 1e-9 * max(1, abs(x))))
+    left, top = max(0, tell(math.floor, min(u), 1) - margin), max(0, tell(math.floor, min(v), 1) - margin)
+    right, bottom = min(w, tell(math.ceil, max(u), -1) + margin), min(h, tell(math.ceil, max(v), -1) + margin)
+    return (left, top, right - left, bottom - top, best) if right - left >= 32 and bottom - top >= 32 else None
+
+
+def test_block_crops(spark):
+    rng = random.Random(6)
+    cameras = []
+    for i in range(40):
+        _, w, h, _, _, pose = _camera(rng, i)
+        cameras.append((f"i{i}", w, h, 500.0, 520.0, 400.0, 300.0, pose))
+    blocks = [(f"b{c}{r}", c * 40.0 - 5, r * 40.0 - 5, c * 40.0 + 45, r * 40.0 + 45) for c in range(5) for r in range(5)]
+    cams = spark.createDataFrame(cameras, "image string, width long, height long, fx double, fy double, cx double, cy double, pose array<double>")
+    table = spark.createDataFrame(blocks, "block string, west double, south double, east double, north double")
+    found = {(r["image"], r["block"]): (r["x"], r["y"], r["width"], r["height"], r["overlap"]) for r in views.block_crops(cams, table, 0.0, 4.0, 20).collect()}
+    want = {(c[0], b[0]): crop for c in cameras for b in blocks if (crop := _crop(c, b, 0.0, 4.0, 20))}
+    assert len(want) > 60 and found.keys() == want.keys()
+    for k, crop in want.items():
+        assert found[k][:4] == crop[:4] and found[k][4] == pytest.approx(crop[4])
+    assert views.block_crops(cams, table.limit(0), 0.0, 4.0).count() == 0 and views.block_crops(cams.limit(0), table, 0.0, 4.0).count() == 0
+    with pytest.raises(ValueError):
+        views.block_crops(cams, table, 0.0, 4.0, most_incidence=90.0)
