@@ -54,10 +54,11 @@ def deduplicated(df: DataFrame, row_id: str, kind: str, confidence: str, ring: s
     ring has under three corners are kept and suppress nothing. Ties in area and confidence go by id. A null
     class is a class.
     """
-    polygons = df.where(F.size(ring) >= 3).select(
+    # Kept once, as rings are read many times below.
+    polygons = cut(df.where(F.size(ring) >= 3).select(
         F.col(row_id).alias("id"), F.coalesce(F.col(kind), F.lit("")).alias("kind"), F.col(kind).isNull().alias("nameless"), F.coalesce(confidence, F.lit(0.0)).alias("confidence"),
         F.col(ring).alias("ring"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"),
-    )
+    ))
     group = F.concat("kind", F.when(F.col("nameless"), F.lit("\n0")).otherwise("\n1"))
     placed = polygons.withColumns(dict(zip("wsen", _box(F.col("ring")), strict=True))).withColumn("group", group).withColumn("area", ring_area(F.col("ring")))
     order = [F.desc("area"), F.desc("confidence"), F.asc("id")]

@@ -213,6 +213,7 @@ def block_crops(
     """
     if margin < 0 or not 0 < most_incidence < 90:
         raise ValueError("a margin is not negative, an incidence within 0 and 90 degrees")
+    cameras = cut(cameras.select("image", "width", "height", "fx", "fy", "cx", "cy", "pose"))
     pose = F.col("pose")
     centre = [-sum((pose[4 * r + i] * pose[4 * r + 3] for r in range(3)), F.lit(0.0)) for i in range(3)]
     posed = cameras.withColumn("c", F.array(*centre)).withColumn("incidence", F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), -pose[10])))))
