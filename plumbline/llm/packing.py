@@ -10,8 +10,9 @@ into powers of two, which need no padding.
 Each task packs the documents of its own partition in one pass with a pool of bounded size: there is no
 shuffle, no group, and a lost task is simply run again.
 
-Defined results: a null or empty text is the end id alone. Documents with one id are packed as separate
-documents. Empty input gives an empty result.
+Defined results: a null or empty text is the end id alone. Documents with one id, a null one among them, are packed as separate
+documents. Of remainders of equal length the one that came last is taken first. A text of any length is cut over as many
+windows as it needs. Empty input gives an empty result. Columns beyond id and text are not read.
 """
 
 from __future__ import annotations

@@ -10,6 +10,8 @@ Moments are sums, taken by Spark over all labelled rows; only those sums reach t
 Defined results: a null or empty text has the statistics of an empty text and a score like any other.
 Labels other than 0 and 1, and null ones, teach nothing; a document with several labels counts for each.
 If a label value has no rows, every score is the share of ones among the labelled rows (0.5 without any).
+Repeated rows are scored alike and each teach once; texts of any length are measured whole; an empty table has no scores.
+A row with a null id is held out and scored. Columns beyond those named are not read.
 """
 
 from __future__ import annotations

@@ -8,7 +8,9 @@ separator before it stands) then stitches documents that cross block boundaries.
 Defined results: ids after a file's last separator form a document that is not terminated. Two
 separators in a row enclose a document of 0 tokens. An empty file has no documents. Bytes that do not
 fill an id at a file's end are an error, as the file is not what it is said to be. A text that spells out
-`<|endoftext|>` has that token's id among its own; streams of texts are therefore closed by `STREAM_END`.
+`<|endoftext|>` has that token's id among its own; streams of texts are therefore closed by `STREAM_END`. Documents are
+counted by their place in a stream, so rows with null or repeated ids, and rows alike in all, are counted one by one, and there
+are no ties. A null text counts as empty. Columns beyond id and text are not read, whatever they are called.
 """
 
 from __future__ import annotations
