@@ -9,11 +9,11 @@ too few vectors for a whole result walks on, and one that still lacks neighbours
 
 Leaves meet the queries that visit them in a co-grouped join, the first leaves of each query before the
 others, so that of the others only what is near enough comes back. Large leaves are split into chunks of
-bounded size, and of vectors that are exactly alike only as many are kept as a result can hold, so that
-neither makes a group grow with the input.
+bounded size, their queries into blocks, and of vectors that are exactly alike only as many are kept as a result can
+hold, so that none of them makes a group grow with the input.
 
-Defined results: vectors that are null, empty, all zero, or hold a null or non-finite component take no part,
-nor do those whose length is not the most common one (the smaller of two equally common). Ties go to the
+Defined results: vectors that are null, empty, all zero, or hold a null or non-finite component take no part.
+Vectors of different lengths have no distance: a query finds those of its own length. Ties go to the
 smaller id. A query's own id is never in its result. Rows alike in id and vector count once; rows of one id
 with different vectors are different queries and different candidates, so that a result can hold an id more
 than once. With no more candidates than wanted neighbours all are returned. Rows with a null id take no part.
@@ -48,6 +48,8 @@ RECALL = 0.95
 FIRST = 8
 #: Vectors of a leaf that meet the queries in one group, about.
 CHUNK = 4096
+#: Queries of a leaf that meet a chunk in one group, about.
+QUERY_BLOCK = 4096
 
 
 @dataclass
@@ -191,19 +193,27 @@ def search(
     recall: float = RECALL,
     sample: int | None = None,
 ) -> DataFrame:
-    """The k nearest vectors of each query row: query_id, rank, vec_id, score (Euclidean distance)."""
+    """The k nearest vectors of each query row: query_id, rank, vec_id, score (Euclidean distance).
+
+    Vectors have neighbours of their own length only: each length is searched by itself, one after the other.
+    """
     spark = vectors.sparkSession
     rows = (
         vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").alias("v"), is_query.alias("is_query"))
         .where(F.col("id").isNotNull())
         .where(usable(F.col("v")))
     )
-    common = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
+    out = None
+    for length in rows.groupBy(F.size("v").alias("n")).agg(F.count_if("is_query").alias("asked")).where("asked > 0").orderBy("n").collect():
+        found = _search_length(rows.where(F.size("v") == length["n"]), length["n"], k, recall, sample)
+        out = found if out is None else out.unionByName(found)
+    return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double") if out is None else out
+
+
+def _search_length(rows: DataFrame, dimension: int, k: int, recall: float, sample: int | None) -> DataFrame:
+    """`search` among vectors (id, v, is_query) of one length."""
+    spark = rows.sparkSession
     result = "query_id long, rank int, vec_id long, score double"
-    if common is None:
-        return spark.createDataFrame([], result)
-    dimension, total = common["n"], common["count"]
-    rows = rows.where(F.size("v") == dimension)
     # Of equal vectors a result can hold the k + 1 smallest ids at most (one may be the query's own).
     alike = Window.partitionBy("v").orderBy("id")
     candidates = saved(
@@ -257,7 +267,17 @@ def search(
         turns = queries.select("rep", "q", F.posexplode("leaves").alias("turn", "leaf")).join(chunks, "leaf")
         return turns.select("turn", "leaf", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "rep", "q")
 
-    visited = in_chunks(walked)
+    def dealt(queries: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        """Points and queries by leaf, chunk and block: of a leaf that many queries visit, some meet each copy of its points."""
+        # One row for each leaf.
+        sizes = queries.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("blocks"))
+        sizes = F.broadcast(saved(sizes, name))
+        copies = left.join(sizes, "leaf").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+        asking = in_chunks(queries).join(sizes, "leaf").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).drop("blocks")
+        return copies, asking
+
+    by = ["leaf", "chunk", "block"]
+    copies, visited = dealt(walked, "ann-blocks")
 
     def meet(points: pa.Table, queries: pa.Table) -> pa.Table:
         reps, ids, scores = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
@@ -273,8 +293,8 @@ def search(
         return pa.table({"rep": np.concatenate(reps), "vec_id": np.concatenate(ids), "score": np.concatenate(scores)})
 
     def met_by(right: DataFrame) -> DataFrame:
-        right = right.select("leaf", "chunk", "rep", "q", "bound")
-        both = left.groupBy("leaf", "chunk").cogroup(right.groupBy("leaf", "chunk"))
+        right = right.select(*by, "rep", "q", "bound")
+        both = copies.groupBy(*by).cogroup(right.groupBy(*by))
         return both.applyInArrow(meet, "rep long, vec_id long, score double")
 
     nearest = Window.partitionBy("rep").orderBy("score", "vec_id")
@@ -301,7 +321,8 @@ def search(
         return done.drop("rep")
     # Rows of the query's own id took the place of others: these queries meet all leaves, and what is theirs is left out at once.
     everywhere = walked.join(short.select("rep").distinct(), "rep", "left_semi").withColumn("leaves", F.lit(np.flatnonzero(held).tolist()))
-    again = in_chunks(everywhere).join(short, "rep").select("leaf", "chunk", "query_id", "rep", "q")
+    others, again = dealt(everywhere, "ann-blocks")
+    again = again.join(short, "rep").select(*by, "query_id", "rep", "q")
 
     def meet_others(points: pa.Table, queries: pa.Table) -> pa.Table:
         out: list[tuple] = []
@@ -317,6 +338,6 @@ def search(
         kinds = [("query_id", pa.int64()), ("rep", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())]
         return pa.table({name: pa.array(column, kind) for (name, kind), column in zip(kinds, columns, strict=True)})
 
-    exact = left.groupBy("leaf", "chunk").cogroup(again.groupBy("leaf", "chunk")).applyInArrow(meet_others, "query_id long, rep long, vec_id long, score double")
+    exact = others.groupBy(*by).cogroup(again.groupBy(*by)).applyInArrow(meet_others, "query_id long, rep long, vec_id long, score double")
     exact = exact.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
     return done.join(short, ["query_id", "rep"], "left_anti").select("query_id", "rank", "vec_id", "score").unionByName(exact)

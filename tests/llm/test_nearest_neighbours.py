@@ -93,3 +93,21 @@ def test_recall_on_the_whole_table(spark):
     assert all(len(got[q]) == 10 for q in queries)
     exact = {(q, v): d for q in queries for v, d in zip(ids, np.sqrt(np.square(x - x[ids.index(q)]).sum(axis=1)), strict=True)}
     assert all(exact[q, v] == d for q, found in got.items() for v, d in found)
+
+
+def test_lengths_and_blocks_of_queries(spark, monkeypatch):
+    """Each length is searched by itself; queries of a leaf meet its points in blocks, all of them."""
+    monkeypatch.setattr(nn, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(nn, "CHUNK", 20)
+    rng = np.random.default_rng(8)
+    rows, want = [], {}
+    for first, n, dimension in ((0, 300, 5), (1000, 60, 3), (2000, 4, 2)):
+        x = rng.normal(size=(n, dimension))
+        ids = list(range(first, first + n))
+        rows += [(i, v.tolist()) for i, v in zip(ids, x, strict=True)]
+        want |= _brute(ids, x, [i for i in ids if i % 2 == 0], 6)
+    vectors = spark.createDataFrame([*rows, (5001, [1.0])], "vec_id long, embedding array<double>").repartition(4)
+    got = _rows(nn.search(vectors, F.col("vec_id") % 2 == 0, k=6, recall=1.0))
+    assert got.keys() == want.keys()
+    for q, near in want.items():
+        assert [v for v, _ in got[q]] == [v for v, _ in near] and np.allclose([d for _, d in got[q]], [d for _, d in near])
