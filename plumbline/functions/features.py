@@ -217,3 +217,29 @@ def parameter_matches(actual: Column, expected: Column, tolerance: float = 1e-9)
     a, b = actual.try_cast("double"), expected.try_cast("double")
     numbers = F.abs(a - b) <= tolerance * F.greatest(F.lit(1.0), F.abs(a), F.abs(b))
     return F.coalesce(numbers, F.lower(F.trim(actual)) == F.lower(F.trim(expected)), actual.isNull() & expected.isNull())
+
+
+def gravity(pitch: Column, roll: Column) -> Column:
+    """The direction of gravity in a camera's axes (x right, y down, z ahead) from its gimbal's angles in degrees.
+
+    Pitch is elevation, -90 straight down; roll is about the axis of view; yaw does not matter. Null for an angle that is
+    null or not finite.
+    """
+    p, r = F.radians(pitch), F.radians(roll)
+    down = F.struct((F.sin(r) * F.cos(p)).alias("x"), (F.cos(r) * F.cos(p)).alias("y"), (-F.sin(p)).alias("z"))
+    finite = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
+    return F.when(finite(pitch.cast("double")) & finite(roll.cast("double")), down)
+
+
+def mask_polygons(polygons: Column, dx: Column | float = 0.0, dy: Column | float = 0.0) -> Column:
+    """Polygons of a mask (arrays of rings of [x, y]) moved by an offset; null if one is not sound.
+
+    A polygon has an outer ring at least; a ring has four points at least, is closed, and its points are pairs of finite numbers.
+    """
+    dx, dy = (v if isinstance(v, Column) else F.lit(float(v)) for v in (dx, dy))
+    number = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))
+    pair = lambda p: (F.size(p) == 2) & F.forall(p, number)
+    sound = lambda ring: (F.size(ring) >= 4) & F.forall(ring, pair) & (F.get(ring, 0) == F.element_at(ring, -1))
+    good = F.forall(polygons, lambda polygon: (F.size(polygon) > 0) & F.forall(polygon, lambda ring: F.when(F.size(ring) >= 4, sound(ring)).otherwise(False)))
+    moved = F.transform(polygons, lambda polygon: F.transform(polygon, lambda ring: F.transform(ring, lambda p: F.array(F.get(p, 0) + dx, F.get(p, 1) + dy))))
+    return F.when(F.coalesce(good, F.lit(False)), moved)

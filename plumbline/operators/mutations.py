@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from plumbline.functions.shapes import geometry_problem
+from plumbline.functions.text import colour, tags
+
 
 def optimistic_update(table: DataFrame, changes: DataFrame, key: str, version: str, value: str) -> DataFrame:
     """The table after changes (key, expected version, value), with `outcome`: updated, conflict or null.
@@ -136,3 +139,20 @@ def run_states(events: DataFrame, run: str, order: str, state: str) -> DataFrame
             "run", "n_events", F.coalesce("__n.to", "state").alias("state"), F.coalesce("__n.at", "since").alias("since"), (F.col("n_taken") + F.col("__n").isNotNull().cast("int")).alias("n_taken")
         )
     return settled.select(F.col("run").alias(run), "state", (F.col("n_events") - F.col("n_taken")).alias("n_refused"))
+
+
+def inserted_features(requests: DataFrame, at: Column) -> tuple[DataFrame, DataFrame]:
+    """Features that requests create, and the audit rows of their creation.
+
+    `requests` has id, mission, geometry (GeoJSON), name, description, color, tags, actor. Names and descriptions are trimmed,
+    colours and tags brought into their forms. A request with an unsound geometry or an empty name creates nothing; its
+    audit row has the problem instead of the new state. Of requests with one id the smallest geometry counts.
+    """
+    one = requests.groupBy("id").agg(F.min(F.struct("geometry", *[c for c in requests.columns if c not in ("id", "geometry")])).alias("r")).select("id", "r.*")
+    named = one.withColumns({"name": F.trim(F.coalesce("name", F.lit(""))), "description": F.trim(F.coalesce("description", F.lit(""))), "color": colour(F.col("color")), "tags": tags(F.coalesce("tags", F.array().cast("array<string>")))})
+    judged = named.withColumn("problem", F.when(F.col("name") == "", "name").otherwise(geometry_problem(F.col("geometry"))))
+    judged = judged.withColumns({"source": F.lit("manual"), "created_at": at})
+    created = judged.where("problem IS NULL").drop("problem")
+    after = F.when(F.col("problem").isNull(), F.to_json(F.struct("color", "description", "geometry", "mission", "name", "source", "tags")))
+    audit = judged.select("id", "mission", F.when(F.col("problem").isNull(), "created").otherwise("refused").alias("action"), F.lit(None).cast("string").alias("before_state"), after.alias("after_state"), "problem", F.col("actor"), F.col("created_at").alias("at"))
+    return created, audit

@@ -120,3 +120,23 @@ def smoothed_velocity(df: DataFrame, key: str, at: str, value: str, alpha: float
 
     # One number is kept from row to row.
     return rates.repartition(key).sortWithinPartitions(key, at).mapInPandas(smooth, schema)
+
+
+def planned_stages(selected: DataFrame, needs: DataFrame, given: DataFrame, version: str) -> DataFrame:
+    """The first attempt of each selected stage: run, stage, status, inputs, idempotency_key.
+
+    `selected` has run, stage and parameters (canonical JSON), `needs` has stage and upstream, `given` the artifacts that take the
+    place of stages: run, stage, artifact. A stage is blocked while it needs another selected stage for which nothing is given,
+    else queued. Its inputs are the artifacts given for what it needs, in order; the key is the SHA-256 of all that tells two
+    attempts apart. Rows with a null run or stage are left out, repeated ones count once.
+    """
+    chosen = selected.where("run IS NOT NULL AND stage IS NOT NULL").dropDuplicates(["run", "stage"])
+    wanted = chosen.select("run", "stage").join(needs.select("stage", "upstream").distinct(), "stage")
+    inputs = given.groupBy("run", F.col("stage").alias("upstream")).agg(F.min("artifact").alias("artifact"))
+    also = chosen.select("run", F.col("stage").alias("upstream"), F.lit(True).alias("here"))
+    met = wanted.join(inputs, ["run", "upstream"], "left").join(also, ["run", "upstream"], "left")
+    waits = F.coalesce(F.bool_or(F.col("artifact").isNull() & F.col("here").isNotNull()), F.lit(False))
+    state = met.groupBy("run", "stage").agg(waits.alias("waits"), F.array_sort(F.collect_list("artifact")).alias("inputs"))
+    out = chosen.join(state, ["run", "stage"], "left").withColumn("inputs", F.coalesce("inputs", F.array().cast("array<string>")))
+    key = F.to_json(F.struct(F.lit(0).alias("attempt"), "inputs", "parameters", F.col("run").cast("string").alias("run"), "stage", F.lit(version).alias("version")), {"ignoreNullFields": "false"})
+    return out.select("run", "stage", F.when(F.coalesce("waits", F.lit(False)), "blocked").otherwise("queued").alias("status"), "inputs", F.sha2(key, 256).alias("idempotency_key"))

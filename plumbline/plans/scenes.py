@@ -137,3 +137,21 @@ def camera_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("block"), (west - 20).alias("west"), (south - 20).alias("south"), (west + 220).alias("east"), (south + 220).alias("north"))
     found = views.block_crops(cameras, blocks, 0.0, 12.0)
     return found.select("image", "block", "x", "y", "width", "height", _r(F.col("overlap"), 2).alias("overlap"))
+
+
+@query("""
+WITH s AS (SELECT DISTINCT user_id AS run, event_type AS stage FROM events WHERE value > 5),
+needs(stage, upstream) AS (VALUES ('search', 'view'), ('click', 'search'), ('purchase', 'click'), ('purchase', 'view')),
+given AS (SELECT user_id AS run, event_type AS stage, 'a' || min(event_id) AS artifact FROM events WHERE value > 60 GROUP BY ALL),
+m AS (SELECT s.run, s.stage, n.upstream, g.artifact, h.run IS NOT NULL AS here FROM s LEFT JOIN needs n USING (stage) LEFT JOIN given g ON g.run = s.run AND g.stage = n.upstream LEFT JOIN s h ON h.run = s.run AND h.stage = n.upstream),
+p AS (SELECT run, stage, CASE WHEN bool_or(here AND artifact IS NULL) THEN 'blocked' ELSE 'queued' END AS status, COALESCE(list_sort(list(artifact) FILTER (artifact IS NOT NULL)), []) AS inputs FROM m GROUP BY run, stage)
+SELECT run, stage, status, array_to_string(inputs, ',') AS inputs,
+       sha256('{"attempt":0,"inputs":[' || array_to_string(list_transform(inputs, lambda x: '"' || x || '"'), ',') || '],"parameters":"{}","run":"' || run || '","stage":"' || stage || '","version":"1"}') AS idempotency_key FROM p
+""")
+def stage_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which stages of each user can start, what they start from, and the key of the attempt."""
+    events = table(spark, sf_dir, "events")
+    selected = events.where("value > 5").select(F.col("user_id").alias("run"), F.col("event_type").alias("stage")).distinct().withColumn("parameters", F.lit("{}"))
+    needs = spark.createDataFrame([("search", "view"), ("click", "search"), ("purchase", "click"), ("purchase", "view")], "stage string, upstream string")
+    given = events.where("value > 60").groupBy(F.col("user_id").alias("run"), F.col("event_type").alias("stage")).agg(F.concat(F.lit("a"), F.min("event_id").cast("string")).alias("artifact"))
+    return stateful.planned_stages(selected, needs, given, "1").withColumn("inputs", F.array_join("inputs", ","))
