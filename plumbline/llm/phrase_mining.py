@@ -16,13 +16,13 @@ phrase, give no rows. Columns beyond those named are not read.
 
 from __future__ import annotations
 
-import gc
+from collections import defaultdict
 from collections.abc import Iterator
 from itertools import chain
-from operator import add
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -40,7 +40,9 @@ SUBSUMED_PERCENT = 50
 TOP = 2_000
 #: Words of one automaton, about, and bytes of text for which a bucket is made.
 SHARD_WORDS = 300_000
-BUCKET_BYTES = 4_000_000
+BUCKET_BYTES = 8_000_000
+#: Bytes of unpacked phrases and counts between two sums of a bucket.
+HELD_BYTES = 64_000_000
 #: Parts that a language's phrases are ranked in first.
 SALTS = 64
 
@@ -48,86 +50,113 @@ _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r", b"abcdef
 
 
 class PhraseAutomaton:
-    """A generalised suffix automaton of symbol sequences, exact for substrings of up to `depth` symbols."""
+    """A generalised suffix automaton of symbol sequences, exact for substrings of up to `depth` symbols.
+
+    It is built from all sequences at once: suffix links form the tree of the reversed prefixes, so that the states, which
+    are its nodes, stand together once the prefixes are sorted by their last symbols.
+    """
 
     def __init__(self, depth: int):
         self.depth = depth
-        self.link = [-1]
-        self.length = [0]
-        self.count = [0]
-        #: Steps from each state by symbol; None where there is none.
-        self.next: list[dict[int, int] | None] = [{}]
-
-    def _split(self, p: int, symbol: int, q: int, length: int) -> int:
-        """Part the strings of at most `length` symbols from state q, which p reaches by the symbol."""
-        part = len(self.length)
-        self.length.append(length)
-        self.link.append(self.link[q])
-        self.count.append(0)
-        self.next.append(dict(self.next[q]) if self.next[q] else None)
-        self.link[q] = part
-        while p >= 0 and self.next[p].get(symbol) == q:
-            self.next[p][symbol] = part
-            p = self.link[p]
-        return part
+        self._sequences: list[list[int]] = []
+        self._weights: list[int] = []
 
     def add(self, symbols: list[int], weight: int) -> None:
         """Add a sequence that occurs `weight` times."""
-        length, link, count, following = self.length, self.link, self.count, self.next
-        most = self.depth - 1
-        p = 0
-        for symbol in symbols:
-            known = length[p]
-            if known > most:
-                known = most
-                if length[link[p]] == most:
-                    p = link[p]
-            steps = following[p]
-            q = steps.get(symbol) if steps else None
-            if q is not None:
-                p = q if length[q] == known + 1 else self._split(p, symbol, q, known + 1)
-                count[p] += weight
-                continue
-            now = len(length)
-            length.append(known + 1)
-            link.append(0)
-            count.append(weight)
-            following.append(None)
-            while p >= 0:
-                steps = following[p]
-                if steps is None:
-                    following[p] = {symbol: now}
-                elif symbol in steps:
-                    q, known = steps[symbol], length[p]
-                    if known > most:
-                        known = most
-                    link[now] = q if length[q] == known + 1 else self._split(p, symbol, q, known + 1)
-                    break
-                else:
-                    steps[symbol] = now
-                p = link[p]
-            p = now
+        self._sequences.append(symbols)
+        self._weights.append(weight)
+
+    def build(self) -> None:
+        """Number the states, root first, and set `length`, `link` and `count` of each and its steps.
+
+        State s has the steps from first[s] to first[s + 1], by `symbols` to `states`.
+        """
+        sizes = np.fromiter(map(len, self._sequences), np.int64, len(self._sequences))
+        text = np.fromiter(chain.from_iterable(self._sequences), np.int64, sizes.sum())
+        weights = np.repeat(np.array(self._weights, np.int64), sizes)
+        known = np.minimum(np.arange(len(text)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1, self.depth)
+
+        # Prefixes by their last symbols, the very last first; 0 stands before a sequence.
+        base = int(text.max(initial=0)) + 2
+        columns = [text + 1]
+        for n in range(1, self.depth):
+            column = np.zeros(len(text), np.int64)
+            column[n:] = columns[0][:-n]
+            column[known <= n] = 0
+            columns.append(column)
+        key, span = columns[0], base
+        for column in columns[1:]:
+            if span * base >= 1 << 63:
+                values, key = np.unique(key, return_inverse=True)
+                span = len(values)
+            key, span = key * base + column, span * base
+        order = np.argsort(key)
+
+        # Strings of each length: where they begin in that order. A string has the state of the one longer by a symbol
+        # that stands before all its occurrences, or one of its own.
+        begins, ends, differs = [], [], np.zeros(len(text), bool)
+        differs[:1] = True
+        for column in columns:
+            column = column[order]
+            differs[1:] |= column[1:] != column[:-1]
+            begin = np.flatnonzero(differs)
+            end = np.append(begin, len(text))[1:]
+            real = column[begin] > 0
+            begins.append(begin[real])
+            ends.append(end[real])
+        made, own = 1, []
+        length = [np.zeros(1, np.int64)]
+        longer, longer_end = np.zeros(len(text), np.int64), np.zeros(len(text), np.int64)
+        for n in range(self.depth, 0, -1):
+            begin, end = begins[n - 1], ends[n - 1]
+            state = longer[begin]
+            fresh = longer_end[begin] != end
+            state[fresh] = np.arange(made, made + fresh.sum())
+            made += int(fresh.sum())
+            length.append(np.full(fresh.sum(), n))
+            own.insert(0, state)
+            longer_end[:] = 0
+            longer[begin], longer_end[begin] = state, end
+        self.length, self.link, self.count = np.concatenate(length), np.full(made, -1), np.zeros(made, np.int64)
+
+        # Of each occurrence, the state of its last n symbols; steps lead there from the state of the n - 1 before the last.
+        before, edges = np.zeros(len(text), np.int64), []
+        for n, (begin, end, state) in enumerate(zip(begins, ends, own, strict=True), 1):
+            at = order[begin]
+            source = before[at - 1] if n > 1 else np.zeros(len(at), np.int64)
+            # The longest string that can be followed has all steps of its state.
+            most = np.minimum(self.length[source], self.depth - 1) == n - 1
+            edges.append((source[most], text[at[most]], state[most]))
+            parted = before[at]
+            apart = parted != state
+            self.link[state[apart]] = parted[apart]
+            sizes = end - begin
+            inside = np.repeat(begin - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+            reached = np.zeros(len(text), np.int64)
+            reached[order[inside]] = np.repeat(state, sizes)
+            deepest = known == n
+            np.add.at(self.count, reached[deepest], weights[deepest])
+            before = reached
+        for n in range(self.depth, 0, -1):
+            those = np.flatnonzero(self.length == n)
+            np.add.at(self.count, self.link[those], self.count[those])
+        source, symbols, states = map(np.concatenate, zip(*edges, strict=True))
+        order = np.argsort(source, kind="stable")
+        self.symbols, self.states = symbols[order], states[order]
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(source, minlength=made))])
 
     def substrings(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each length from 1 to `depth` a matrix with a row of symbols for each substring, and their counts.
 
         Rows with the same first symbols stand together.
         """
-        length, link, ends = np.array(self.length), np.array(self.link), np.array(self.count, np.int64)
-        for n in range(self.depth, 0, -1):
-            own = np.flatnonzero(length == n)
-            np.add.at(ends, link[own], ends[own])
-        steps = [d or {} for d in self.next]
-        sizes = np.fromiter(map(len, steps), np.int64, len(steps))
-        first = np.concatenate([[0], np.cumsum(sizes)])
-        symbols = np.fromiter(chain.from_iterable(steps), np.int64, first[-1])
-        states = np.fromiter(chain.from_iterable(map(dict.values, steps)), np.int64, first[-1])
+        self.build()
         rows, at = np.zeros((1, 0), np.int64), np.zeros(1, np.int64)
         for _ in range(self.depth):
-            n = sizes[at]
-            edge = np.repeat(first[at] - np.cumsum(n) + n, n) + np.arange(n.sum())
-            rows, at = np.column_stack([np.repeat(rows, n, axis=0), symbols[edge]]), states[edge]
-            yield rows, ends[at]
+            n = self.first[at + 1] - self.first[at]
+            edge = np.repeat(self.first[at] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            rows, at = np.column_stack([np.repeat(rows, n, axis=0), self.symbols[edge]]), self.states[edge]
+            yield rows, self.count[at]
 
 
 def _buckets(hashes: np.ndarray, buckets: int) -> np.ndarray:
@@ -135,21 +164,22 @@ def _buckets(hashes: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _shard_rows(lang: str, pieces: dict[bytes, int], most_words: int, buckets: int) -> Iterator[tuple]:
-    """(lang, bucket, phrases, counts, words) of one shard; phrases and counts packed."""
-    numbers: dict[bytes, int] = {}
+    """(lang, bucket, phrases, counts, words) of one shard; phrases, a line each, and counts packed."""
+    numbers: defaultdict[bytes, int] = defaultdict()
+    numbers.default_factory = numbers.__len__
     automaton = PhraseAutomaton(most_words)
     words = 0
     for piece, weight in pieces.items():
-        symbols = [numbers.setdefault(w, len(numbers)) for w in piece.split()]
+        symbols = list(map(numbers.__getitem__, piece.split()))
         words += weight * len(symbols)
         automaton.add(symbols, weight)
-    names = list(numbers)
-    spaced = [w + b" " for w in names]
-    drawn = np.fromiter(map(xxhash.xxh3_64_intdigest, names), np.uint64, len(names))
+    names = pa.array(numbers, pa.large_binary())
+    # A phrase's words stand before a space, the last one before a line's end.
+    spaced, closed = (pc.binary_join_element_wise(names, pa.scalar(b"", pa.large_binary()), pa.scalar(end, pa.large_binary())) for end in (b" ", b"\n"))
+    drawn = np.fromiter(map(xxhash.xxh3_64_intdigest, numbers), np.uint64, len(numbers))
     packer = zstandard.ZstdCompressor(level=1)
+    lengths = []
     for rows, counts in automaton.substrings():
-        if not len(rows):
-            break
         hashes = np.full(len(rows), rows.shape[1], np.uint64)
         for column in rows.T:
             hashes = (hashes ^ drawn[column]) * np.uint64(0x9E3779B97F4A7C15)
@@ -157,13 +187,18 @@ def _shard_rows(lang: str, pieces: dict[bytes, int], most_words: int, buckets: i
         bucket = _buckets(hashes, buckets)
         # Phrases with the same first words stay together, which packs well.
         order = np.argsort(bucket.astype(np.uint16) if buckets < 65_536 else bucket, kind="stable")
-        rows, counts, bucket = rows[order], counts[order], bucket[order]
-        lines = list(map(names.__getitem__, rows[:, -1].tolist()))
-        for column in rows.T[-2::-1]:
-            lines = list(map(add, map(spaced.__getitem__, column.tolist()), lines))
-        starts = np.flatnonzero(np.diff(bucket, prepend=-1))
-        for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(bucket)], strict=True):
-            yield lang, int(bucket[lo]), packer.compress(b"\n".join(lines[lo:hi])), packer.compress(counts[lo:hi].tobytes()), words
+        rows = rows[order]
+        parts = [*(spaced.take(pa.array(column)) for column in rows.T[:-1]), closed.take(pa.array(rows[:, -1]))]
+        lines = pc.binary_join_element_wise(*parts, pa.scalar(b"", pa.large_binary()))
+        if len(lines):
+            begins = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            at = np.frombuffer(lines.buffers()[1], np.int64)[begins]
+            lengths.append((memoryview(lines.buffers()[2]), at.tolist(), counts[order], begins.tolist()))
+    for bucket in range(buckets):
+        lines = b"".join(text[at[bucket] : at[bucket + 1]] for text, at, _, _ in lengths)
+        if lines:
+            counts = b"".join(n[begins[bucket] : begins[bucket + 1]] for _, _, n, begins in lengths)
+            yield lang, bucket, packer.compress(lines), packer.compress(counts), words
             words = 0
 
 
@@ -184,9 +219,7 @@ def phrase_counts(docs: DataFrame, most_words: int = MOST_WORDS, least: int = LE
         sizes: dict[str, int] = {}
 
         def flushed(lang: str) -> pa.RecordBatch:
-            gc.disable()  # an automaton is many small objects, none of them garbage
             made = list(zip(*_shard_rows(lang, held.pop(lang), most_words, buckets), strict=True))
-            gc.enable()
             trim()
             kinds = (pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.int64())
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(made or [()] * 5, kinds, strict=True)], names=["lang", "bucket", "phrases", "counts", "words"])
@@ -211,22 +244,36 @@ def phrase_counts(docs: DataFrame, most_words: int = MOST_WORDS, least: int = LE
     @frees
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
-        key, sums, totals = None, {}, {}
+        key, totals = None, {}
+        held: list[pa.RecordBatch] = []
+        size = 0
+
+        def summed() -> pa.RecordBatch:
+            sums = pa.Table.from_batches(held).group_by("phrase", use_threads=False).aggregate([("f", "sum")])
+            return pa.RecordBatch.from_arrays([sums["phrase"].combine_chunks(), sums["f_sum"].combine_chunks()], names=["phrase", "f"])
 
         def frequent() -> pa.RecordBatch:
-            found = [(p, n) for p, n in sums.items() if n >= least]
-            return pa.RecordBatch.from_arrays([pa.array([key[0]] * len(found), pa.string()), pa.array([p.decode() for p, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())], names=["lang", "phrase", "f"])
+            found = summed()
+            found = found.filter(pc.greater_equal(found["f"], least))
+            phrases = pc.utf8_rtrim(found["phrase"].cast(pa.string()), "\n")
+            return pa.RecordBatch.from_arrays([pa.array([key[0]] * len(phrases), pa.string()), phrases, found["f"]], names=["lang", "phrase", "f"])
 
         for batch in batches:
             for lang, bucket, phrases, counts, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), *batch.columns[2:4], batch.column(4).to_pylist(), strict=True):
                 totals[lang] = totals.get(lang, 0) + words
                 if (lang, bucket) != key:
-                    if sums:
+                    if held:
                         yield frequent()
-                    key, sums = (lang, bucket), {}
-                for phrase, n in zip(unpack(phrases.as_py()).split(b"\n"), np.frombuffer(unpack(counts.as_py()), np.int64).tolist(), strict=True):
-                    sums[phrase] = sums.get(phrase, 0) + n
-        if sums:
+                    key, held, size = (lang, bucket), [], 0
+                lines, ns = unpack(phrases.as_py()), unpack(counts.as_py())
+                ends = np.append(-1, np.flatnonzero(np.frombuffer(lines, np.uint8) == 10)).astype(np.int32) + np.int32(1)
+                arrays = [pa.Array.from_buffers(t, len(ends) - 1, [None, *map(pa.py_buffer, own)]) for t, own in ((pa.binary(), (ends, lines)), (pa.int64(), (ns,)))]
+                held.append(pa.RecordBatch.from_arrays(arrays, names=["phrase", "f"]))
+                size += held[-1].nbytes
+                if size >= HELD_BYTES:
+                    held = [summed()]
+                    size = 0
+        if held:
             yield frequent()
         yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.string()), pa.nulls(len(totals), pa.string()), pa.array(list(totals.values()), pa.int64())], names=["lang", "phrase", "f"])
 

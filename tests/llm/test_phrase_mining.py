@@ -1,9 +1,12 @@
 import random
 import re
+import time
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
+import zstandard
 
 from plumbline.llm import phrase_mining
 from plumbline.llm.queries import ORACLE_SQL, op12_phrase_mining
@@ -27,6 +30,74 @@ def test_automaton_counts_all_short_substrings():
         assert len(got) == len(want) and dict(got) == want
 
 
+def test_automaton_states_are_classes_of_end_positions():
+    random.seed(2)
+    for _ in range(100):
+        depth, symbols = random.choice([1, 2, 3, 4]), random.choice([1, 2, 3, 5])
+        automaton, ends = phrase_mining.PhraseAutomaton(depth), {}
+        for k in range(random.randint(1, 8)):
+            sequence = [random.randrange(symbols) for _ in range(random.randint(1, 14))]
+            automaton.add(sequence, 1)
+            for i in range(len(sequence)):
+                for n in range(1, min(depth, i + 1) + 1):
+                    ends.setdefault(tuple(sequence[i - n + 1 : i + 1]), set()).add((k, i))
+        automaton.build()
+        classes = {}
+        for string, where in ends.items():
+            classes.setdefault(frozenset(where), []).append(string)
+        assert len(automaton.length) == len(classes) + 1 and automaton.link[0] == -1
+        for where, strings in classes.items():
+            state = 0
+            for symbol in max(strings, key=len):
+                steps = slice(*automaton.first[state : state + 2])
+                state = automaton.states[steps][automaton.symbols[steps] == symbol].item()
+            assert automaton.length[state] == max(map(len, strings)) and automaton.count[state] == len(where)
+            assert automaton.length[automaton.link[state]] == min(map(len, strings)) - 1
+
+
+def test_automaton_without_sequences():
+    assert [len(rows) for rows, _ in phrase_mining.PhraseAutomaton(3).substrings()] == [0, 0, 0]
+
+
+def _counted(pieces):
+    found = Counter()
+    for piece, weight in pieces.items():
+        words = piece.split()
+        for n in (1, 2, 3):
+            for phrase in zip(*(words[i:] for i in range(n)), strict=False):
+                found[phrase] += weight
+    return found
+
+
+def test_shard_costs_less_than_its_phrases_counted_one_by_one():
+    random.seed(5)
+    words = [f"w{i}".encode() for i in range(20_000)]
+    pieces = {b" ".join(random.choices(words[:2000], k=4) + random.choices(words, k=4)): 1 for _ in range(20_000)}
+    costs = {}
+    for name, run in (("shard", lambda: list(phrase_mining._shard_rows("en", pieces, 3, 8))), ("plain", lambda: _counted(pieces))):
+        for _ in range(4):
+            began = time.process_time()
+            run()
+            costs[name] = min(costs.get(name, np.inf), time.process_time() - began)
+    assert costs["shard"] < costs["plain"]
+
+
+def test_shard_has_one_row_for_each_bucket():
+    random.seed(6)
+    pieces = {b" \t".join(random.choices([b"a", b"b", b"\xc3\x9f", b"\x00", b"w1"], k=random.randint(1, 9))): random.randint(1, 3) for _ in range(200)}
+    found, rows = Counter(), list(phrase_mining._shard_rows("en", pieces, 3, 16))
+    unpack = zstandard.ZstdDecompressor().decompress
+    for _, _, phrases, counts, _ in rows:
+        lines = unpack(phrases).split(b"\n")
+        assert lines.pop() == b""
+        for line, n in zip(lines, np.frombuffer(unpack(counts), np.int64).tolist(), strict=True):
+            assert tuple(line.split(b" ")) not in found
+            found[tuple(line.split(b" "))] = n
+    assert found == _counted(pieces)
+    assert len({bucket for _, bucket, *_ in rows}) == len(rows) == 16
+    assert sum(words for *_, words in rows) == sum(weight * len(piece.split()) for piece, weight in pieces.items())
+
+
 def _mined(rows, most=3, least=10, percent=50, top=2000):
     counts, totals = {}, Counter()
     for lang, text in rows:
@@ -74,6 +145,13 @@ def test_against_brute_force(spark, shard_words, top, most):
     assert sorted(str(tuple(r)) for r in found.collect()) == _mined(_rows(), most=most, top=top)
 
 
+def test_buckets_summed_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(phrase_mining, "HELD_BYTES", 100)
+    df = spark.createDataFrame(_rows(), "lang string, text string")
+    found = phrase_mining.collocations(df, shard_words=50).select(*COLUMNS)
+    assert sorted(str(tuple(r)) for r in found.collect()) == _mined(_rows())
+
+
 def test_large_counts_are_exact(spark):
     rows = [(3_037_000_500, 3_037_000_501, 3_037_000_503), (10**15, 10**15, 10**15), (10**15 - 1, 10**15, 10**15), (7, 2**62, 2**62), (999_999, 1_000_000, 999_999)]
     df = spark.createDataFrame(rows, "a long, l long, r long").selectExpr("a", "l", "r", f"{phrase_mining._SCORE} AS score")
