@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .lineage import cut
 
+#: Edges that one task scans at most when a matching ends.
+SCANNED_EDGES = 100_000
+
 
 def reachable(edges: DataFrame, roots: DataFrame, src: str, dst: str) -> DataFrame:
     """Nodes that can be reached from the roots (`node`), with the fewest steps (`depth`): breadth-first."""
@@ -86,25 +92,57 @@ def suppress(items: DataFrame, item: str, rank: str, pairs: DataFrame) -> DataFr
     return items.join(gone, F.col(item) == F.col("__gone"), "left").withColumn("kept", F.col("__gone").isNull()).drop("__gone")
 
 
-def greedy_matching(edges: DataFrame, a: str, b: str, cost: str) -> DataFrame:
+def _scanned(group: pd.DataFrame) -> pd.DataFrame:
+    """The pairs that a greedy scan in (cost, a, b) order is sure to pick among a block's edges.
+
+    An edge that leaves the block may or may not be picked: from its turn on its end here is in doubt, and so are both
+    ends of an edge with an end in doubt. Doubt ends where the node is picked before.
+    """
+    group = group.sort_values(["cost", "a", "b"], kind="stable")
+    used, doubt, picked = set(), set(), []
+    for place, (a, b, inner) in enumerate(zip(group["a"].tolist(), group["b"].tolist(), group["inner"].tolist(), strict=True)):
+        if a in used or b in used:
+            continue
+        if not inner or a in doubt or b in doubt:
+            doubt.update((a, b))
+        else:
+            used.update((a, b))
+            picked.append(place)
+    return group.iloc[picked][["a", "b", "cost"]]
+
+
+def greedy_matching(edges: DataFrame, a: str, b: str, cost: str, span: int | None = None) -> DataFrame:
     """Disjoint pairs as a greedy scan in (cost, a, b) order picks them.
 
-    An edge that comes first at both of its ends is picked by that scan whatever else there is, so each
-    round picks all such edges at once and removes their ends. Self-edges and repeats of a pair go first.
+    Where nodes are numbers and most edges join near ones, `span` numbers make a block; a task scans a block's edges and
+    picks those that no edge out of the block can change. Else, or where that picks none, a round picks all edges that come
+    first at both of their ends, which the scan picks whatever else there is. Either way their ends leave, and
+    the last `SCANNED_EDGES` edges are one block. Self-edges and repeats of a pair go first.
     """
     low, high = F.least(a, b), F.greatest(a, b)
     left = edges.where(F.col(a) != F.col(b)).select(low.alias("a"), high.alias("b"), F.col(cost).alias("cost"))
     left = cut(left.groupBy("a", "b").agg(F.min("cost").alias("cost")))
-    picked = left.limit(0)
-    while left.limit(1).count():
-        ends = left.select(F.col("a").alias("node"), F.struct("cost", "a", "b").alias("e")).union(left.select("b", F.struct("cost", "a", "b")))
-        first = ends.groupBy("node").agg(F.min("e").alias("e"))
-        both = cut(first.groupBy("e").agg(F.count(F.lit(1)).alias("n")).where("n = 2").select("e.a", "e.b", "e.cost"))
-        picked = picked.union(both)
+    picked, n, turn, blocks = [left.limit(0)], left.count(), 0, span is not None
+    while n:
+        if n <= SCANNED_EDGES:
+            picked.append(cut(left.withColumns({"inner": F.lit(True), "block": F.lit(0)}).groupBy("block").applyInPandas(_scanned, left.schema)))
+            break
+        if blocks:
+            # Every other round the borders are in the middle of the blocks before.
+            at = lambda c: F.floor((F.col(c) + turn % 2 * (span // 2)) / span)  # noqa: E731, B023
+            dealt = left.withColumn("inner", at("a") == at("b")).withColumn("block", F.explode(F.array_distinct(F.array(at("a"), at("b")))))
+            both = cut(dealt.groupBy("block").applyInPandas(_scanned, left.schema))
+        else:
+            ends = left.select(F.col("a").alias("node"), F.struct("cost", "a", "b").alias("e")).union(left.select("b", F.struct("cost", "a", "b")))
+            first = ends.groupBy("node").agg(F.min("e").alias("e"))
+            both = cut(first.groupBy("e").agg(F.count(F.lit(1)).alias("n")).where("n = 2").select("e.a", "e.b", "e.cost"))
+        picked.append(both)
         used = both.select(F.col("a").alias("__u")).union(both.select("b"))
         left = left.join(used, F.col("a") == F.col("__u"), "left_anti").join(used, F.col("b") == F.col("__u"), "left_anti")
-        left = cut(left)
-    return picked
+        left, before = cut(left), n
+        n = left.count()
+        turn, blocks = turn + 1, span is not None and n < before
+    return reduce(DataFrame.union, picked)
 
 
 def ancestors(edges: DataFrame, child: str, parent: str) -> DataFrame:

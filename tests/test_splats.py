@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions import harmonics
-from plumbline.operators import generations
+from plumbline.operators import generations, graph
 
 SCHEMA = "tile long, id long, x double, y double, z double, scale array<double>, rotation array<double>, opacity double, opacity_sh array<double>, colour array<double>, error double"
 
@@ -162,3 +162,33 @@ def test_coarser_until_the_limit(spark):
     assert generations.coarser(df, 100).count() == 200
     with pytest.raises(ValueError):
         generations.coarser(df, 0)
+
+
+def test_coarser_in_tasks_is_coarser_by_generations(spark, monkeypatch):
+    # Equal costs in a row, and splats in one place.
+    line = [(7, 9000 + i, float(i), 0.0, 0.0, *_splats(1)[0][5:]) for i in range(40)]
+    rows = _splats(120, 3, tiles=2) + line + [(8, 6000 + i, 1.0, 1.0, 1.0, *_splats(1)[0][5:]) for i in range(45)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    found = {r["id"]: r for r in generations.coarser(df, 30).collect()}
+    monkeypatch.setattr(generations, "TASK_SPLATS", 0)
+    rounds = generations.coarser(df, 30)
+    want = {r["id"]: r for r in rounds.collect()}
+    assert set(found) == set(want) and len(want) == 120
+    for i, r in want.items():
+        for c in df.columns:
+            assert np.allclose(found[i][c], r[c], atol=1e-7)
+
+
+def test_a_matching_by_blocks_is_the_scan(spark, monkeypatch):
+    monkeypatch.setattr(graph, "SCANNED_EDGES", 5)
+    for costs in (range(50), range(1)):  # equal costs make one chain through all blocks
+        edges = [(i, i + k, float(i * 37 % 1009 * k % len(costs))) for i in range(70) for k in (1, 2, 3)]
+        free, want = set(range(80)), set()
+        for _, a, b in sorted((c, a, b) for a, b, c in edges):
+            if {a, b} <= free:
+                free -= {a, b}
+                want.add((a, b))
+        df = spark.createDataFrame(edges, "a long, b long, cost double")
+        for span in (None, 10):
+            got = graph.greedy_matching(df, "a", "b", "cost", span).collect()
+            assert {(r["a"], r["b"]) for r in got} == want and len(got) == len(want)
