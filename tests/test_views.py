@@ -163,3 +163,19 @@ def test_block_crops(spark):
     assert views.block_crops(cams, table.limit(0), 0.0, 4.0).count() == 0 and views.block_crops(cams.limit(0), table, 0.0, 4.0).count() == 0
     with pytest.raises(ValueError):
         views.block_crops(cams, table, 0.0, 4.0, most_incidence=90.0)
+
+
+def test_shortlist_keeps_the_best_and_little_else(spark, monkeypatch):
+    rng = random.Random(4)
+    cams = spark.createDataFrame([_camera(rng, i) for i in range(200)], "image string, width long, height long, model string, params array<double>, pose array<double>")
+    rows = cams.withColumn("camera", F.lit(0)).collect()
+    c = views._numbers(cams.withColumn("camera", F.monotonically_increasing_id())).toPandas()[views._NUMBERS].to_numpy(float)
+    xyz = np.array([[rng.uniform(0, 200), rng.uniform(0, 200), rng.uniform(0, 12)] for _ in range(300)] + [[70.0, 70.0, 5.0]] * 40)
+    monkeypatch.setattr(views, "LEAF_PAIRS", 64)
+    points, cameras = views._shortlist(xyz, c, 0.05, 3)
+    got = set(zip(points.tolist(), cameras.tolist(), strict=True))
+    assert len(got) == len(points) <= 3 * len(xyz)
+    for i, p in enumerate(xyz):
+        at = {j: _pixel(tuple(r)[:6], p) for j, r in enumerate(rows)}
+        hits = sorted((math.hypot((u - 400) / 400, (v - 300) / 300), j) for j, (u, v) in ((j, a) for j, a in at.items() if a) if 40 <= u < 760 and 30 <= v < 570)
+        assert {(i, j) for _, j in hits[:3]} <= got
