@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import geometry as g
 from plumbline.functions import text as tx
-from plumbline.operators import graph, points, ranking, raster, relational, sequences, spatial, stateful, statistics
+from plumbline.operators import graph, neighbours, points, ranking, raster, relational, sequences, spatial, stateful, statistics
 
 
 def _one(spark, *columns):
@@ -60,6 +60,24 @@ def test_k_nearest_is_exact(spark):
     assert spatial.k_nearest(df.limit(1), "id", "x", "y", 5, 0.5).count() == 0
 
 
+def test_nearest_with_copies_lines_and_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(neighbours, "LEAF_ROWS", 4)
+    rng = random.Random(8)
+    places = [(rng.random(), rng.random()) for _ in range(150)] + [(i / 4, float(i % 3)) for i in range(90)] + [(50.0, 60.0), (-0.0, 7.0), (0.0, 7.0)]
+    spots = [p for i, p in enumerate(places) for _ in range((1, 1, 3, 9)[i % 4])] + [(2.0, 2.0)] * 60
+    rows = [(i * 7919 % 10007, *p) for i, p in enumerate(spots)]
+    df = spark.createDataFrame([*rows, (20000, None, 1.0), (20001, float("nan"), 1.0)], "id long, x double, y double")
+    for radius in (None, 0.3):
+        want = {}
+        for a, x, y in rows:
+            d = sorted((math.sqrt((x - u) * (x - u) + (y - v) * (y - v)), b) for b, u, v in rows if a != b)
+            want |= {(a, n): p for n, p in enumerate(d[:4], 1) if radius is None or p[0] <= radius}
+        found = spatial.k_nearest(df, "id", "x", "y", 4) if radius is None else spatial.radius_top_k(df, "id", "x", "y", radius, 4)
+        got = found.collect()
+        assert {(r["a"], r["rank"]): (r["distance"], r["b"]) for r in got} == want and len(got) == len(want)
+
+
 def test_overlapping_pairs_of_any_size(spark):
     rng, boxes = random.Random(4), []
     for i in range(160):
