@@ -1,16 +1,15 @@
-"""Duplicate detections of objects: polygons that overlap, found on a grid and suppressed in order of size."""
+"""Duplicate detections of objects: polygons that overlap, suppressed in order of size in blocks of the plane."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.features import ring_centroid, ring_contains
-from plumbline.functions.geometry import box_iou, ring_area
+from plumbline.functions.features import ring_centroid
+from plumbline.functions.geometry import ring_area
 
-from .graph import suppress
-from .lineage import cut
-from .ranking import global_rank
+from .suppression import Hits, scanned
 
 
 def _box(ring: Column) -> list[Column]:
@@ -18,32 +17,15 @@ def _box(ring: Column) -> list[Column]:
     return [F.array_min(x), F.array_min(y), F.array_max(x), F.array_max(y)]
 
 
-def _meeting_boxes(boxes: DataFrame, group: str, cell: float) -> DataFrame:
-    """Pairs (a < b) of `id` of one group whose closed boxes (w, s, e, n) meet.
-
-    Each box has a level at which it covers four cells at most. A box meets its like in the cells of its level,
-    and every smaller box also goes to the levels above its own that any box has. A pair counts only in the cell
-    of the lower left corner of what both have in common.
-    """
-    extent = F.greatest(F.col("e") - F.col("w"), F.col("n") - F.col("s"))
-    level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(extent, F.lit(1e-9)) / cell))).cast("int")
-    leveled = cut(boxes.withColumn("level", level))
-    levels = sorted(r[0] for r in leveled.select("level").distinct().collect())  # one for each doubling of size
-
-    def spread(rows: DataFrame, side: str) -> DataFrame:
-        size = cell * F.pow(F.lit(2.0), F.col("level"))
-        at = lambda c: F.floor(F.col(c) / size).cast("long")
-        rows = rows.withColumn("cx", F.explode(F.sequence(at("w"), at("e")))).withColumn("cy", F.explode(F.sequence(at("s"), at("n"))))
-        return rows.select(group, "level", "cx", "cy", *[F.col(c).alias(f"{side}_{c}") for c in ("id", "w", "s", "e", "n", "own")])
-
-    own = leveled.withColumn("own", F.lit(True))
-    up = leveled.withColumn("__up", F.explode(F.array(*[F.lit(x) for x in levels]))).where("__up > level").withColumn("level", F.col("__up")).drop("__up").withColumn("own", F.lit(False))
-    met = spread(own, "a").join(spread(own.unionByName(up), "b"), [group, "level", "cx", "cy"])
-    touch = (F.col("a_w") <= F.col("b_e")) & (F.col("b_w") <= F.col("a_e")) & (F.col("a_s") <= F.col("b_n")) & (F.col("b_s") <= F.col("a_n"))
-    size = cell * F.pow(F.lit(2.0), F.col("level"))
-    home = (F.floor(F.greatest("a_w", "b_w") / size) == F.col("cx")) & (F.floor(F.greatest("a_s", "b_s") / size) == F.col("cy"))
-    once = ~F.col("b_own") | (F.col("a_id") < F.col("b_id"))
-    return met.where((F.col("a_id") != F.col("b_id")) & touch & home & once).select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"))
+def _contains(xs: list[float], ys: list[float], x: float, y: float) -> bool:
+    """`ring_contains` for plain numbers: whether a point lies in a ring or on its edge."""
+    odd = False
+    for ax, ay, bx, by in zip(xs, ys, xs[1:] + xs[:1], ys[1:] + ys[:1], strict=True):
+        if (bx - ax) * (y - ay) == (by - ay) * (x - ax) and min(ax, bx) <= x <= max(ax, bx) and min(ay, by) <= y <= max(ay, by):
+            return True
+        if (ay > y) != (by > y) and x < (bx - ax) * (y - ay) / (by - ay) + ax:
+            odd = not odd
+    return odd
 
 
 def deduplicated(df: DataFrame, row_id: str, kind: str, confidence: str, ring: str, x: str, y: str, near: float = 40.0, iou: float = 0.05) -> DataFrame:
@@ -54,27 +36,33 @@ def deduplicated(df: DataFrame, row_id: str, kind: str, confidence: str, ring: s
     ring has under three corners are kept and suppress nothing. Ties in area and confidence go by id. A null
     class is a class.
     """
-    # Kept once, as rings are read many times below.
-    polygons = cut(df.where(F.size(ring) >= 3).select(
-        F.col(row_id).alias("id"), F.coalesce(F.col(kind), F.lit("")).alias("kind"), F.col(kind).isNull().alias("nameless"), F.coalesce(confidence, F.lit(0.0)).alias("confidence"),
-        F.col(ring).alias("ring"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"),
-    ))
-    group = F.concat("kind", F.when(F.col("nameless"), F.lit("\n0")).otherwise("\n1"))
-    placed = polygons.withColumns(dict(zip("wsen", _box(F.col("ring")), strict=True))).withColumn("group", group).withColumn("area", ring_area(F.col("ring")))
-    order = [F.desc("area"), F.desc("confidence"), F.asc("id")]
-    ranked = cut(global_rank(placed.select("id", "area", "confidence"), order, "priority"))
-    extent = placed.agg(F.avg(F.greatest(F.col("e") - F.col("w"), F.col("n") - F.col("s")))).first()[0]
-    pairs = _meeting_boxes(placed.select("id", "group", "w", "s", "e", "n"), "group", max(float(extent or 1.0), 1e-6))
-    with_rank = placed.drop("area", "confidence").join(ranked, "id")
-    one = lambda side: with_rank.select(*[F.col(c).alias(f"{side}_{c}") for c in ("id", "priority", "ring", "x", "y", "w", "s", "e", "n")])
-    both = pairs.join(one("a"), F.col("a") == F.col("a_id")).join(one("b"), F.col("b") == F.col("b_id"))
-    first_a = F.col("a_priority") < F.col("b_priority")
-    big, small = ({c: F.when(first_a == own, F.col(f"a_{c}")).otherwise(F.col(f"b_{c}")) for c in ("ring", "x", "y", "w", "s", "e", "n")} for own in (True, False))
-    shaped = both.select("a", "b", *[v.alias(f"big_{k}") for k, v in big.items()], *[v.alias(f"small_{k}") for k, v in small.items()]).withColumn("centre", ring_centroid(F.col("small_ring")))
-    outer = F.col("big_ring")
-    holds = ring_contains(outer, F.col("centre.x"), F.col("centre.y")) | F.exists("small_ring", lambda p: ring_contains(outer, p["x"], p["y"]))
-    boxes = [tuple(F.col(f"{s}_{c}") for c in "wsen") for s in ("big", "small")]
-    close = (F.abs(F.col("big_x") - F.col("small_x")) <= near) & (F.abs(F.col("big_y") - F.col("small_y")) <= near) & (box_iou(*boxes) >= iou)
-    kept = suppress(ranked, "id", "priority", shaped.where(holds | close).select("a", "b"))
-    out = df.join(kept.select(F.col("id").alias("__id"), F.col("kept").alias("__kept")), F.col(row_id) == F.col("__id"), "left")
-    return out.withColumn("kept", F.coalesce("__kept", F.lit(True))).drop("__id", "__kept")
+    number = lambda c: F.col(c).cast("double")
+    sure = F.coalesce(number(confidence), F.lit(0.0))
+    polygons = df.where(F.size(ring) >= 3).select(
+        F.col(row_id).alias("id"), F.concat(F.coalesce(F.col(kind).cast("string"), F.lit("")), F.when(F.col(kind).isNull(), "\n0").otherwise("\n1")).alias("group"),
+        *[c.alias(name) for name, c in zip("wsen", _box(F.col(ring)), strict=True)], number(x).alias("x"), number(y).alias("y"), ring_centroid(F.col(ring)).alias("centre"),
+        F.transform(ring, lambda p: p["x"].cast("double")).alias("ring_x"), F.transform(ring, lambda p: p["y"].cast("double")).alias("ring_y"), ring_area(F.col(ring)).alias("area"), F.when(F.isnan(sure), float("inf")).otherwise(sure).alias("sure"),
+    )
+    placed = polygons.select("*", F.col("centre.x").alias("centre_x"), F.col("centre.y").alias("centre_y")).drop("centre")
+
+    def test(rows: pd.DataFrame) -> Hits:
+        w, s, e, n, at_x, at_y, centre_x, centre_y = (rows[c].tolist() for c in ("w", "s", "e", "n", "x", "y", "centre_x", "centre_y"))
+        xs, ys = ([list(map(float, r)) for r in rows[c]] for c in ("ring_x", "ring_y"))
+        size = [(x - u) * (y - v) for u, v, x, y in zip(w, s, e, n, strict=True)]
+
+        def hits(j: int, i: int) -> bool:
+            if abs(at_x[j] - at_x[i]) <= near and abs(at_y[j] - at_y[i]) <= near:
+                both = max(0.0, min(e[i], e[j]) - max(w[i], w[j])) * max(0.0, min(n[i], n[j]) - max(s[i], s[j]))
+                union = size[i] + size[j] - both
+                if (both / union if union > 0 else 0.0) >= iou:
+                    return True
+            left, low, right, top = w[j], s[j], e[j], n[j]
+            inside = lambda x, y: left <= x <= right and low <= y <= top and _contains(xs[j], ys[j], x, y)
+            return inside(centre_x[i], centre_y[i]) or any(map(inside, xs[i], ys[i]))
+
+        return hits
+
+    kept = scanned(placed, "group", [-F.col("area"), -F.col("sure"), F.col("id")], ["x", "y", "centre_x", "centre_y", "ring_x", "ring_y"], test)
+    out = df.join(kept.select(F.col("id").alias("__id")), F.col(row_id) == F.col("__id"), "left")
+    polygon = F.coalesce(F.size(ring) >= 3, F.lit(False)) & F.col(row_id).isNotNull()
+    return out.withColumn("kept", ~polygon | F.col("__id").isNotNull()).drop("__id")

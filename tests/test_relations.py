@@ -162,3 +162,17 @@ def test_detections_are_suppressed_in_order(spark):
         if not any(duplicate(row, k) for k in kept):
             kept.append(row)
     assert got == {r[0] for r in kept} | {900, 901} and len(kept) < 150
+
+
+def test_detections_are_suppressed_alike_in_small_blocks(spark, monkeypatch):
+    from plumbline.operators import suppression
+
+    rng, rows = random.Random(13), []
+    for i in range(150):
+        x, y, w, h = rng.random() * 60, rng.random() * 30, rng.choice([1, 3, 25]), rng.choice([1, 2, 6])
+        rows.append((i, "car", 0.5, [(x, y), (x + w, y), (x + w, y + h), (x, y + h)], x, y))
+    df = spark.createDataFrame(rows, "id long, kind string, confidence double, ring array<struct<x:double,y:double>>, x double, y double")
+    want = {r["id"] for r in detections.deduplicated(df, "id", "kind", "confidence", "ring", "x", "y", near=2.0, iou=0.3).where("kept").collect()}
+    monkeypatch.setattr(suppression, "BLOCK_BOXES", 30)
+    got = {r["id"] for r in detections.deduplicated(df, "id", "kind", "confidence", "ring", "x", "y", near=2.0, iou=0.3).where("kept").collect()}
+    assert got == want and 20 < len(got) < 150
