@@ -95,6 +95,23 @@ def test_overlapping_pairs_of_any_size(spark):
         assert sorted((r["a"], r["b"]) for r in got) == want and len(want) > 20
 
 
+def test_overlapping_pairs_of_copies(spark, monkeypatch):
+    places = [(0.0, 0.0), (0.2, 0.0), (5.0, 5.0), (5.0, 5.1)]
+    boxes = [(i * 13 % 101, "pq"[i % 8 // 4], x, y, x + 1, y + (i % 4 != 3)) for i in range(64) for x, y in [places[i % 4]]] + [(500, None, 0.0, 0.0, 1.0, 1.0)]
+    met, inner = [], spatial._unlike_pairs
+    monkeypatch.setattr(spatial, "_unlike_pairs", lambda df, *rest: met.append(df.count()) or inner(df, *rest))
+    df = spark.createDataFrame(boxes, "id long, cls string, x0 double, y0 double, x1 double, y1 double")
+    got = [(r["cls"], r["a"], r["b"], round(r["iou"], 6)) for r in spatial.overlapping_pairs(df, "id", ["cls"], ("x0", "y0", "x1", "y1"), 1.0, 0.4).collect()]
+    want = []
+    for p in boxes:
+        for q in boxes:
+            both = (min(p[4], q[4]) - max(p[2], q[2])) * max(0, min(p[5], q[5]) - max(p[3], q[3])) if p[4] > q[2] and q[4] > p[2] else 0
+            if p[0] < q[0] and p[1] and p[1] == q[1] and both and both / (2 - both) >= 0.4:
+                want.append((p[1], p[0], q[0], round(both / (2 - both), 6)))
+    # Nine boxes meet, not 65.
+    assert sorted(got) == sorted(want) and len(got) > 200 and met == [9]
+
+
 def test_suppression_is_the_greedy_one(spark):
     rng = random.Random(2)
     n, pairs = 80, {tuple(sorted(rng.sample(range(80), 2))) for _ in range(150)}
